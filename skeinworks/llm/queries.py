@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stash import shared_dir
-from . import huffman, packing, token_counts
+from . import huffman, packing, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,5 +33,9 @@ def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_dataset(spark, folder).drop("ids")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_vector_packing, op6_token_counts, op7_huffman_ids)}
+def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_vector_packing, op6_token_counts, op7_huffman_ids, op10_simhash_groups)}
 ORACLE: dict[str, str] = {}
