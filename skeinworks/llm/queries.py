@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stash import shared_dir
-from . import chat_bytes, huffman, line_labels, packing, simhash, token_counts
+from . import chat_bytes, huffman, line_labels, packing, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.scored(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_vector_packing, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op10_simhash_groups)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_recurrent_toxicity, op3_vector_packing, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op10_simhash_groups)}
 ORACLE: dict[str, str] = {
     "op8_chat_bytes": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
