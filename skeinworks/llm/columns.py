@@ -127,3 +127,55 @@ def own_places(counts: np.ndarray) -> np.ndarray:
     counts = np.asarray(counts, np.int64)
     before = np.cumsum(counts) - counts
     return np.arange(int(counts.sum()), dtype=np.int64) - np.repeat(before, counts)
+
+
+LETTER = np.zeros(256, bool)
+LETTER[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+LETTER[128:] = True
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def hash_column(column: pa.Array) -> np.ndarray:
+    """64-bit hashes of a large binary column without nulls: sums over bytes times powers of a constant, mixed."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    sizes = np.diff(offsets)
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    powers = np.cumprod(np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[own_places(sizes)], dtype=np.uint64)])
+    at = offsets - offsets[0]
+    return mixed(total[at[1:]] - total[at[:-1]])
+
+
+def plain_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Lower-cased runs of letters and digits (bytes over 127 count as letters): codes, distinct words, words of each row."""
+    data, offsets = text_bytes(texts)
+    data = lower_ascii(data)
+    keep = LETTER[data]
+    start, end, row = spans(data, offsets, ~keep)
+    counts = np.bincount(row, minlength=len(offsets) - 1)
+    if not len(start):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary()), counts
+    coded = binary_array(data[keep], end - start).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, counts
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The different keys in order. Sorting beats numpy's hashing here."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def last_seen(keys: np.ndarray) -> np.ndarray:
+    """How far back each key stands before itself; a large number where it doesn't."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), 1 << 40, np.int64)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out[order[1:][same]] = order[1:][same] - order[:-1][same]
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stash import shared_dir
-from . import chat_bytes, huffman, line_labels, packing, simhash, token_counts, toxicity
+from . import chat_bytes, decontam, huffman, line_labels, packing, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,11 +51,15 @@ def op8_chat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_bytes.digests(chat_bytes.format_chats(chats))
 
 
+def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_recurrent_toxicity, op3_vector_packing, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op10_simhash_groups)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_recurrent_toxicity, op3_vector_packing, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op9_latent_decontamination, op10_simhash_groups)}
 ORACLE: dict[str, str] = {
     "op8_chat_bytes": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
