@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stash import shared_dir
-from . import chat_bytes, decontam, huffman, line_labels, packing, simhash, token_counts, toxicity
+from . import chat_bytes, decontam, fixity, huffman, line_labels, packing, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages against a replica of them with planted faults: changed letters, lost and added records."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    ours = fixity.warc_records(pages)
+    hit = F.pmod("page_id", F.lit(97)) == 5
+    changed = pages.where(F.pmod("page_id", F.lit(101)) != 7).withColumn("html", F.when(hit, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
+    added = pages.where(F.pmod("page_id", F.lit(211)) == 3).withColumn("page_id", F.col("page_id") + (1 << 40))
+    report = fixity.report(ours, fixity.warc_records(changed.union(added)))
+    return report.withColumnRenamed("key", "page_id")
+
+
 def op2_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.scored(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
@@ -59,8 +70,22 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_recurrent_toxicity, op3_vector_packing, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op9_latent_decontamination, op10_simhash_groups)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_merkle_fixity, op2_recurrent_toxicity, op3_vector_packing, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op9_latent_decontamination, op10_simhash_groups)}
 ORACLE: dict[str, str] = {
+    "op1_merkle_fixity": r"""
+WITH head AS (SELECT page_id, url, html FROM pages),
+theirs AS (SELECT page_id, url, CASE WHEN page_id % 97 = 5 THEN '#' || substring(html, 2) ELSE html END AS html FROM head WHERE page_id % 101 <> 7
+           UNION ALL SELECT page_id + (1::BIGINT << 40), url, html FROM head WHERE page_id % 211 = 3),
+rec AS (SELECT 1 AS side, * FROM head UNION ALL SELECT 2, * FROM theirs),
+w AS (SELECT side, page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html AS r FROM rec),
+h AS (SELECT side, page_id, page_id >> 12 AS archive, CAST(strlen(r) AS BIGINT) AS bytes, sha256(r) AS hash FROM w),
+o AS (SELECT *, CAST(coalesce(sum(bytes + 4) OVER (PARTITION BY side, archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM h)
+SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.page_id, b.page_id) AS page_id, 1 AS nth, a."offset", a.bytes, a.hash,
+       CASE WHEN a.hash IS NULL THEN 'extra' WHEN b.hash IS NULL THEN 'missing' WHEN a.hash <> b.hash THEN 'corrupt' ELSE 'ok' END AS status,
+       CASE WHEN a.hash = b.hash THEN NULL ELSE b.hash END AS hash_b
+FROM (SELECT * FROM o WHERE side = 1) a FULL OUTER JOIN (SELECT * FROM o WHERE side = 2) b USING (page_id)""",
     "op8_chat_bytes": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
