@@ -119,7 +119,7 @@ def tokenized(df: DataFrame, id_col: str, text_col: str, path: str, end: int) ->
     """``doc_id, n, ids`` with the ids as little-endian 16- or 32-bit numbers."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, "text", 24 << 20):
+        for batch in gathered(batches, "text", 6 << 20):
             ids, counts = with_end(*encoder(path).encode(batch.column("text")), end)
             ends = np.concatenate([[0], np.cumsum(counts)])
             wide = "<u4" if len(ids) and ids.max() > 0xFFFF else "<u2"

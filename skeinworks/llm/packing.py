@@ -168,7 +168,7 @@ def packed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows.clear()
             return batch
 
-        for batch in gathered(batches, "text", 16 << 20):
+        for batch in gathered(batches, "text", 6 << 20):
             ids, counts = with_end(*encoder(path).encode(batch.column("text")), end)
             raw = memoryview(ids.astype("<u4").tobytes())
             at = 0

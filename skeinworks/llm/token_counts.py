@@ -107,7 +107,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cols = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, "text", 16 << 20):
+        for batch in gathered(batches, "text", 6 << 20):
             texts = batch.column("text")
             _, offsets = text_bytes(texts)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), pa.array(counter(path).counts(texts))], ["id", "n_bytes", "n_tokens"])

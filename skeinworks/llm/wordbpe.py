@@ -27,7 +27,7 @@ def default_path() -> str:
 class WordEncoder:
     """Ids of distinct words; ``most`` words are remembered from batch to batch."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,9 +67,8 @@ class WordEncoder:
         letter = ((last | 32) >= 97) & ((last | 32) <= 122)
         letter |= (before == 0xC3) & (at - 2 >= low) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7)
         stem[cut[letter]] = at[letter]
-        special = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(data == 0x7C, out=special[1:])  # a bar may belong to a special token, so the word stays whole and as it is
-        bar = special[end] > special[start]
+        bars = np.flatnonzero(data == 0x7C)  # a bar may belong to a special token, so the word stays whole and as it is
+        bar = np.searchsorted(bars, end) > np.searchsorted(bars, start) if len(bars) else np.zeros(len(end), bool)
         stem = np.where(bar, end, stem)
         cut = stem < end
         n = 1 + cut.astype(np.int64)
@@ -80,8 +79,9 @@ class WordEncoder:
         packed = w.packed
         upper = (packed >= 65) & (packed <= 90)
         if upper.any():
-            keep = np.repeat(bar, w.lengths)
-            packed = np.where(upper & ~keep, packed + 32, packed).astype(np.uint8)
+            if bar.any():
+                upper &= ~np.repeat(bar, w.lengths)
+            packed = np.where(upper, packed + np.uint8(32), packed)
         coded = binary_array(packed, lengths).dictionary_encode()
         flat, sizes = self.distinct(coded.dictionary)
         codes = coded.indices.to_numpy()
