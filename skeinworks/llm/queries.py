@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stash import shared_dir
-from . import chat_bytes, decontam, fixity, huffman, line_labels, packing, simhash, token_counts, toxicity
+from . import backoff, chat_bytes, decontam, fixity, huffman, line_labels, packing, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.backoff_scores(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
+
+
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     chain = line_labels.train(documents, table(spark, sf_dir, "labels"))
@@ -70,7 +74,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_merkle_fixity, op2_recurrent_toxicity, op3_vector_packing, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op9_latent_decontamination, op10_simhash_groups)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_merkle_fixity, op2_recurrent_toxicity, op3_vector_packing, op4_stupid_backoff, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op9_latent_decontamination, op10_simhash_groups)}
 ORACLE: dict[str, str] = {
     "op1_merkle_fixity": r"""
 WITH head AS (SELECT page_id, url, html FROM pages),
@@ -86,6 +90,20 @@ SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.page_id, b.page_id)
        CASE WHEN a.hash IS NULL THEN 'extra' WHEN b.hash IS NULL THEN 'missing' WHEN a.hash <> b.hash THEN 'corrupt' ELSE 'ok' END AS status,
        CASE WHEN a.hash = b.hash THEN NULL ELSE b.hash END AS hash_b
 FROM (SELECT * FROM o WHERE side = 1) a FULL OUTER JOIN (SELECT * FROM o WHERE side = 2) b USING (page_id)""",
+    "op4_stupid_backoff": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT k, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),
+p AS (SELECT k, w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM t),
+n AS (SELECT count(*) AS n FROM p),
+c1 AS (SELECT w, count(*) AS c FROM p GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w),
+cv AS (SELECT v, sum(c) AS c FROM c2 GROUP BY v),
+s AS (SELECT p.k, CASE WHEN c2.c >= 2 THEN ln(c2.c) - ln(cv.c) ELSE ln(0.4) + ln(c1.c) - ln(n.n) END AS s,
+             CASE WHEN c2.c >= 2 THEN 0 ELSE 1 END AS b
+      FROM p CROSS JOIN n JOIN c1 USING (w) LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN cv ON cv.v = p.v)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(sum(s.b), 0) AS BIGINT) AS backed_off,
+       round(coalesce(sum(s.s), 0), 4) AS log_score
+FROM d LEFT JOIN s USING (k) GROUP BY d.k, d.doc_id, d.ws""",
     "op8_chat_bytes": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
