@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import binary_array, pieces, sums, words
+from .rows import kept
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -233,6 +234,16 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return fit(f.lines, f.features, gold)
 
 
+def verdict(texts: pa.Array, chain: Chain, share: float) -> tuple[Facts, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, labels of lines, content shares, base failures and verdicts of a column."""
+    f = facts(texts)
+    label = viterbi(chain, f.lines, f.features)
+    at = np.concatenate([[0], np.cumsum(f.lines)])
+    content = sums(f.line_chars * (label == 0), at) / np.maximum(f.word_chars, 1)
+    failed = (f.n_words < 10) | (100 * f.n_repeat_words > 20 * f.n_words)
+    return f, label, content, failed, ~failed & (content >= share)
+
+
 OUT = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long, n_boilerplate long"
 
 
@@ -247,12 +258,14 @@ def judged(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 4 << 20):
-            f = facts(batch.column("text"))
-            label = viterbi(chain, f.lines, f.features)
-            at = np.concatenate([[0], np.cumsum(f.lines)])
-            content = sums(f.line_chars * (label == 0), at) / np.maximum(f.word_chars, 1)
-            failed = (f.n_words < 10) | (100 * f.n_repeat_words > 20 * f.n_words)
-            columns = [batch.column("id"), f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, failed, ~failed & (content >= share), content, f.lines, sums(label.astype(np.int64), at)]
+            f, label, content, failed, good = verdict(batch.column("text"), chain, share)
+            boilerplate = sums(label.astype(np.int64), np.concatenate([[0], np.cumsum(f.lines)]))
+            columns = [batch.column("id"), f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, failed, good, content, f.lines, boilerplate]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
     return cols.mapInArrow(judge, OUT).withColumnRenamed("id", id_col)
+
+
+def keep(documents: DataFrame, chain: Chain, text_col: str = "text", share: float = CONTENT_SHARE) -> DataFrame:
+    """Rows of ``documents``, all columns, that :func:`judged` keeps."""
+    return kept(documents, text_col, lambda: lambda texts: verdict(texts, chain, share)[4])

@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.stash import stash
-from .columns import own_places, pieces, words
+from .columns import distinct, hash_column, mixed, own_places, pieces, words
 
 BITS = 64
 
@@ -66,9 +68,9 @@ def word_hashes(texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
     from xxhash import xxh64_intdigest
 
     w = words(texts, lower=True)
-    codes, distinct = w.coded()
-    keys = np.unique(w.row.astype(np.int64) << 32 | codes)
-    table = np.array([xxh64_intdigest(k, seed) for k in distinct.to_pylist()], np.uint64)
+    codes, names = w.coded()
+    keys = distinct(w.row.astype(np.int64) << 32 | codes)
+    table = np.array([xxh64_intdigest(k, seed) for k in names.to_pylist()], np.uint64)
     counts = np.bincount(keys >> 32, minlength=len(w.counts))
     return table[keys & 0xFFFFFFFF], counts
 
@@ -431,3 +433,126 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(first, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near duplicates of whole texts
+
+#: Words in a shingle and least Jaccard similarity of near duplicates; bits that the search lets their fingerprints differ.
+SHINGLE, SIMILAR, SEARCH_BITS = 5, 0.8, 10
+
+
+def shingle_set(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted hashes of each text's distinct shingles of lower-cased words; fewer words make one shingle, none make none."""
+    w = words(texts, lower=True)
+    codes, names = w.coded()
+    h = hash_column(names)[codes]
+    counts = np.where(w.counts, np.maximum(w.counts - size + 1, 1), 0)
+    first = np.repeat(w.firsts()[:-1], counts) + own_places(counts)
+    end = np.repeat(w.firsts()[1:], counts)
+    total = np.zeros(len(first), np.uint64)
+    for k in range(size):
+        at = np.minimum(first + k, len(h) - 1)
+        total = mixed(total * np.uint64(31) + np.where(first + k < end, h[at], np.uint64(0)) + np.uint64(k)) if len(first) else total
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    return [distinct(total[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def text_prints(df: DataFrame, id_col: str, text_col: str, seed: int = 42) -> DataFrame:
+    """``id, same, fp``: ``same`` is a 128-bit digest of the lower-cased words, ``fp`` the fingerprint of the distinct ones."""
+    cols = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 4 << 20):
+            texts = batch.column("text")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), digests(texts), pa.array(majority(*word_hashes(texts, seed)).view(np.int64))], ["id", "same", "fp"])
+
+    return cols.mapInArrow(work, "id long, same binary, fp long")
+
+
+def digests(texts: pa.Array) -> pa.Array:
+    import hashlib
+
+    w = words(texts, lower=True)
+    joined = np.full(len(w.packed) + len(w.start), 32, np.uint8)
+    joined[np.arange(len(w.packed)) + np.repeat(np.arange(len(w.start)), w.lengths)] = w.packed
+    ends = np.concatenate([[0], np.cumsum(w.lengths + 1)])[w.firsts()]
+    raw = memoryview(joined)
+    return pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+
+
+def verified(edges: DataFrame, texts: DataFrame, similar: float, size: int) -> DataFrame:
+    """The ``edges(a, b)`` whose texts' shingle sets have a Jaccard similarity of at least ``similar``. ``texts(node, text)``."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 4 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in shingle_set(batch.column("text"), size)], pa.binary())], ["node", "set"])
+
+    sets = texts.mapInArrow(shingles, "node long, set binary")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(p) + len(q) - len(distinct(np.concatenate([p, q])))
+                ok.append(both >= similar * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    paired = edges.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return paired.select("a", "b", "x", "y").mapInArrow(close, "a long, b long")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = SEARCH_BITS, similar: float = SIMILAR, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Rows of near-duplicate groups: ``id, same, group_id`` for each row of ``df``, and the rows ``id, same`` that one keeper makes superfluous.
+
+    Texts of the same lower-cased words are one class. Classes whose fingerprints, of the distinct words,
+    differ in at most ``tau`` bits are linked by a spanning forest of the least distances; a link
+    counts if the texts' shingles of ``size`` words have a Jaccard similarity of at least ``similar``.
+    ``group_id`` is the smallest id reached. Texts without words are one class; null ids come last.
+    """
+    prints = stash(text_prints(df, id_col, text_col), "prints")
+    node = F.coalesce("least", -1 - F.abs(F.xxhash64("same") % (1 << 62)))
+    classes = prints.groupBy("same").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.count("*").alias("n")).withColumn("node", node)
+    classes = stash(classes, "classes")
+    heads = stash(classes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = classes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    how = planned(heads, tau)
+    near = links(heads, how, tau).select("a", "b").distinct()
+    name = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    edges = stash(equal.union(near), "pairs")
+    # A row of each class that is in an edge lends its text.
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    wanted = classes.join(ends, "node").select(F.col("least").alias("id"), "same", "node")
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    lent = wanted.alias("w").join(texts.alias("t"), F.col("w.id").eqNullSafe(F.col("t.id"))).select("node", "same", "text")
+    lent = lent.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"])
+    roots = components(verified(edges, stash(lent, "texts"), similar, size))
+    named = classes.join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("root"))
+    first = named.groupBy("root").agg(F.min("least").alias("group_id"))
+    groups = prints.join(named.join(first, "root").select("same", "least", "group_id"), "same").select("id", "same", "group_id")
+    extra = groups.where(~F.col("id").eqNullSafe(F.col("group_id"))).select("id", "same").distinct()
+    return groups, extra
+
+
+def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where an id stands for several texts, the class's own."""
+    for batch in pieces(batches, "text", 4 << 20):
+        texts = batch.column("text")
+        ok = pc.equal(digests(texts), batch.column("same"))
+        yield batch.select(["node", "text"]).filter(ok)
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each near-duplicate group of ``df``, all columns: the one with the smallest id."""
+    _, extra = near_duplicates(df, id_col, text_col, **how)
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_col, 4 << 20):
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests(batch.column(text_col))], [*batch.schema.names, "__same"])
+
+    tagged = df.mapInArrow(tag, T.StructType([*df.schema.fields, T.StructField("__same", T.BinaryType())]))
+    extra = extra.select(F.col("id").alias("__id"), F.col("same").alias("__twin"))
+    left = tagged.join(extra, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__same") == F.col("__twin")), "left_anti")
+    return left.dropDuplicates([id_col, "__same"]).drop("__same")
+

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import binary_array, lower_ascii, own_places, pieces, spans, text_bytes
+from .rows import kept
 
 WINDOW, STRIDE = 32, 16
 WIDTH, STATE = 16, 8
@@ -318,3 +319,14 @@ def scored(documents: DataFrame, net: Network, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
     return cols.mapInArrow(score, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def clean(documents: DataFrame, net: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Rows of ``documents``, all columns, whose texts score under ``threshold``."""
+    shared = documents.sparkSession.sparkContext.broadcast(net.p)
+
+    def choose():
+        own = Network(shared.value)
+        return lambda texts: score_texts(own, texts) < threshold
+
+    return kept(documents, text_col, choose)
