@@ -128,43 +128,58 @@ def vec_to_tensor(v: Column | str) -> Column:
     return F.array(*(v[i] * v[j] for i in range(3) for j in range(i, 3)))
 
 
-def eigenvalues(t: Column | str) -> list[Column]:
-    """Eigenvalues of a flat symmetric tensor, largest first, in closed form."""
-    t = col(t)
-    a, d, e, b, f, c = (t[i] for i in range(6))
+def let(x: Column, body) -> Column:
+    """``body`` of ``x``, which is computed once: a lambda's variable isn't spelled out at each use."""
+    return F.transform(F.array(x), body)[0]
+
+
+def _eigen(m: Column) -> Column:
+    """Struct with ``q, p, phi``: the eigenvalues are q + 2 p cos(phi + 2 pi k / 3)."""
+    a, d, e, b, f, c = (m[i] for i in range(6))
+
+    def scaled(s: Column) -> Column:
+        safe = F.when(s["p"] > 0, s["p"]).otherwise(F.lit(1.0))
+        u, v, w, x, y, z = ((k / safe) for k in (a - s["q"], b - s["q"], c - s["q"], d, e, f))
+        half = (u * (v * w - z * z) - x * (x * w - z * y) + y * (x * z - v * y)) / 2
+        phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3
+        return F.struct(s["q"].alias("q"), s["p"].alias("p"), phi.alias("phi"))
+
     q = (a + b + c) / 3
-    off = d * d + e * e + f * f
-    p = F.sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * off) / 6)
-    safe = F.when(p > 0, p).otherwise(F.lit(1.0))
-    u, v, w = (a - q) / safe, (b - q) / safe, (c - q) / safe
-    x, y, z = d / safe, e / safe, f / safe
-    half = (u * (v * w - z * z) - x * (x * w - z * y) + y * (x * z - v * y)) / 2
-    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3
-    first = q + 2 * p * F.cos(phi)
-    last = q + 2 * p * F.cos(phi + F.lit(2 * np.pi / 3))
-    return [first, 3 * q - first - last, last]
+    return let(q, lambda q: let(F.struct(q.alias("q"), F.sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (d * d + e * e + f * f)) / 6).alias("p")), scaled))
+
+
+def eigenvalues(t: Column | str) -> Column:
+    """Array of the eigenvalues of a flat symmetric tensor, largest first, in closed form."""
+    third = F.lit(2 * np.pi / 3)
+    of = lambda s, k: s["q"] + 2 * s["p"] * F.cos(s["phi"] + k * third)
+    return let(col(t), lambda m: let(_eigen(m), lambda s: F.array(of(s, 0), of(s, 2), of(s, 1))))
 
 
 def tensor_to_vec(t: Column | str, least: float = 1e-3) -> Column:
     """The largest eigenvalue times its unit eigenvector, sign free; zero where that is shorter than ``least``."""
-    t = col(t)
-    top = eigenvalues(t)[0]
-    a, d, e, b, f, c = (t[i] for i in range(6))
-    rows = [(a - top, d, e), (d, b - top, f), (e, f, c - top)]
 
     def cross(p, q):
-        return [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
-
-    # The longest cross product of two rows is the best direction; a tensor without any has its largest axis.
-    products = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
-    size = [p[0] * p[0] + p[1] * p[1] + p[2] * p[2] for p in products]
-    big = F.greatest(*size)
-    pick = lambda k: F.when(size[0] == big, products[0][k]).when(size[1] == big, products[1][k]).otherwise(products[2][k])
-    axis = [F.when((a >= b) & (a >= c), 1.0).otherwise(0.0), F.when((b > a) & (b >= c), 1.0).otherwise(0.0), F.when((c > a) & (c > b), 1.0).otherwise(0.0)]
-    tiny = F.lit(1e-24)
-    out = [F.when(big > tiny, top * pick(k) / F.sqrt(big)).otherwise(top * axis[k]) for k in range(3)]
-    zero = F.abs(top) < least
-    return F.array(*(F.when(zero, F.lit(0.0)).otherwise(x) for x in out))
+        return F.array(p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
+
+    def size(p: Column) -> Column:
+        return p[0] * p[0] + p[1] * p[1] + p[2] * p[2]
+
+    def vector(m: Column, top: Column) -> Column:
+        a, d, e, b, f, c = (m[i] for i in range(6))
+        rows = [(a - top, d, e), (d, b - top, f), (e, f, c - top)]
+        # The longest cross product of two rows is the best direction; a tensor without any has its largest axis.
+        products = F.array(*(cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))))
+        longest = F.array_max(F.transform(products, lambda p: F.struct(size(p).alias("s"), p.alias("v"))))
+        one = F.array(*_axis(a, b, c))
+        direction = let(longest, lambda w: F.when(w["s"] > 1e-24, F.transform(w["v"], lambda x: x / F.sqrt(w["s"]))).otherwise(one))
+        return F.transform(direction, lambda x: F.when(F.abs(top) < least, F.lit(0.0)).otherwise(x * top))
+
+    return let(col(t), lambda m: let(eigenvalues(m)[0], lambda top: vector(m, top)))
+
+
+def _axis(a: Column, b: Column, c: Column) -> list[Column]:
+    first, second = (a >= b) & (a >= c), b >= c
+    return [F.when(first, 1.0).otherwise(0.0), F.when(~first & second, 1.0).otherwise(0.0), F.when(~first & ~second, 1.0).otherwise(0.0)]
 
 
 def fractional_anisotropy(l1: Column, l2: Column, l3: Column) -> Column:

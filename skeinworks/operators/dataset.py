@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import _euler, flip_component, rotate_euler, rotate_tensor, unit_hash
+from ..functions.vectors import _euler, flip_component, let, rotate_euler, rotate_tensor, tensor_to_vec, unit_hash, vec_norm, vec_to_tensor
 from . import voxels as V
 from .voxels import CELL, IMAGE
 
@@ -150,20 +150,18 @@ def batch_score(df: DataFrame, model: Callable, axes: tuple[str, ...] = ("x", "y
 
     Out: ``subject, bundle, x, y, z, direction (1, 2, 3), sample, prob``. The model goes along with the task; a slice is one group.
     """
-    out = []
-    for d, axis in enumerate(axes, 1):
+    import pandas as pd
 
-        def run(pdf, d=d):
-            import pandas as pd
+    def scorer(direction: int) -> Callable:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            subject = pdf["subject"].iloc[0]
+            got = [model(pdf).assign(subject=subject, direction=direction, sample=s) for s in range(samples)]
+            return pd.concat(got)[["subject", "bundle", *CELL, "direction", "sample", "prob"]]
 
-            parts = []
-            for s in range(samples):
-                got = model(pdf)
-                got = got.assign(subject=pdf["subject"].iloc[0], direction=d, sample=s)
-                parts.append(got[["subject", "bundle", *CELL, "direction", "sample", "prob"]])
-            return pd.concat(parts)
+        return run
 
-        out.append(df.groupBy("subject", axis).applyInPandas(run, "subject int, bundle string, x int, y int, z int, direction int, sample int, prob double"))
+    schema = "subject int, bundle string, x int, y int, z int, direction int, sample int, prob double"
+    out = [df.groupBy("subject", axis).applyInPandas(scorer(k), schema) for k, axis in enumerate(axes, 1)]
     return reduce(lambda a, b: a.union(b), out)
 
 
@@ -180,14 +178,10 @@ def majority_fusion(pred: DataFrame, thr: float = 0.5, by: list[str] | None = No
 
 def mean_fusion_vectors(pred: DataFrame, by: list[str], v: str = "v") -> DataFrame:
     """A3: the main axis of the mean of the vectors' outer products."""
-    from ..functions.vectors import tensor_to_vec, vec_to_tensor
-
     t = pred.withColumn("t_", vec_to_tensor(v)).groupBy(*by).agg(F.array(*(F.avg(F.col("t_")[k]) for k in range(6))).alias("t_"))
     # An outer product has a vector's squared length as eigenvalue.
-    top = tensor_to_vec("t_", 0.0)
-    from ..functions.vectors import unit, vec_norm
-
-    return t.withColumn(v, F.transform(unit(top), lambda x: x * F.sqrt(vec_norm(top)))).drop("t_")
+    top = let(tensor_to_vec("t_", 0.0), lambda w: F.transform(w, lambda x: x / F.sqrt(vec_norm(w) + 1e-20)))
+    return t.withColumn(v, top).drop("t_")
 
 
 def uncertainty(pred: DataFrame, by: list[str] | None = None) -> DataFrame:

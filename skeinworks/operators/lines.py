@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
 from ..plans.components import components
 from .voxels import CELL
 
@@ -42,16 +43,20 @@ def resampled(points: Column, n: Column) -> Column:
     """
     cum = F.aggregate(gaps(points), F.array(F.lit(0.0)), lambda s, g: F.concat(s, F.array(F.element_at(s, -1) + g)))
 
-    def at(i: Column) -> Column:
-        target = F.element_at(cum, -1) * i / F.greatest(n - 1, F.lit(1))
-        # The last place at or before the target, but never the line's end itself.
-        k = F.least(F.greatest(F.size(F.filter(cum, lambda c: c <= target)), F.lit(1)), F.greatest(F.size(cum) - 1, F.lit(1)))
-        low = F.element_at(cum, k)
-        high = F.element_at(cum, F.least(k + 1, F.size(cum)))
+    def placed(k: Column, cum: Column, target: Column) -> Column:
+        low, high = F.element_at(cum, k), F.element_at(cum, F.least(k + 1, F.size(cum)))
         w = F.when(high > low, (target - low) / (high - low)).otherwise(F.lit(0.0))
-        return lerp(F.element_at(points, k), F.element_at(points, F.least(k + 1, F.size(points))), F.greatest(F.lit(0.0), F.least(w, F.lit(1.0))))
+        return let(F.greatest(F.lit(0.0), F.least(w, F.lit(1.0))), lambda w: lerp(F.element_at(points, k), F.element_at(points, F.least(k + 1, F.size(points))), w))
 
-    return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), at)
+    def at(i: Column, cum: Column, n: Column) -> Column:
+        def found(target: Column) -> Column:
+            # The last place at or before the target, but never the line's end itself.
+            k = F.least(F.greatest(F.size(F.filter(cum, lambda c: c <= target)), F.lit(1)), F.greatest(F.size(cum) - 1, F.lit(1)))
+            return let(k, lambda k: placed(k, cum, target))
+
+        return let(F.element_at(cum, -1) * i / F.greatest(n - 1, F.lit(1)), found)
+
+    return let(cum, lambda cum: let(n.cast("int"), lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(i, cum, n))))
 
 
 def resample(lines: DataFrame, n: int | Column) -> DataFrame:

@@ -289,6 +289,8 @@ def bundle_specific_postprocess(prob: DataFrame, shape: Shape, rules: dict[str,
     """Masks from probabilities: > 0.5, but for a bridged bundle with two big blobs its lower threshold, then closed."""
     rules = BRIDGED if rules is None else rules
     plain = prob.where(F.col("value") > 0.5).select(*IMAGE, *CELL)
+    if not rules:
+        return plain
     special = F.col("bundle").isin(list(rules))
     two = has_two_big_blobs(plain.where(special), {b: n for b, (n, _) in rules.items()}, shape).where("two_big").select(*IMAGE)
     low = F.create_map(*(F.lit(x) for b, (_, t) in rules.items() for x in (b, t)))[F.col("bundle")]
