@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..plans.stash import shared_dir
 from . import backoff, chat_bytes, decontam, fixity, huffman, line_labels, packing, simhash, token_counts, toxicity
+from .rows import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

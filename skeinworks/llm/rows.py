@@ -6,11 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .columns import pieces
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Spark hand over at most ``rows`` rows at a time: texts are long, and both sides hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, rows)
+
+
 def kept(df: DataFrame, text_col: str, choose: Callable[[], Callable[[pa.Array], np.ndarray]], most: int = 4 << 20) -> DataFrame:
     """Rows of ``df``, all columns, for which the function that ``choose`` makes in a task says so. No shuffle."""
 
