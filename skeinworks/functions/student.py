@@ -31,9 +31,10 @@ def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     a, b, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, b, x))
-    gamma = np.frompyfunc(math.lgamma, 1, 1)
+    log_gamma = np.frompyfunc(math.lgamma, 1, 1)
+    gamma = lambda v: np.asarray(log_gamma(v), float)
     inside = np.clip(x, 1e-300, 1 - 1e-16)
-    front = np.exp(gamma(a + b).astype(float) - gamma(a).astype(float) - gamma(b).astype(float) + a * np.log(inside) + b * np.log1p(-inside))
+    front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(inside) + b * np.log1p(-inside))
     near = inside < (a + 1) / (a + b + 2)
     direct = front * _fraction(np.where(near, a, b), np.where(near, b, a), np.where(near, inside, 1 - inside)) / np.where(near, a, b)
     out = np.where(near, direct, 1 - direct)

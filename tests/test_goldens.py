@@ -76,7 +76,7 @@ def test_tensor_to_vec(spark):
     rng = np.random.default_rng(0)
     m = rng.standard_normal((50, 3, 3))
     m = m + m.transpose(0, 2, 1)
-    flat = [[float(t[i, j]) for i in range(3) for j in range(i, 3)] for t in m] + [[2.0, 0, 0, 1.0, 0, 0.5], [0.0] * 6, [1.0, 0, 0, 1.0, 0, 1.0]]
+    flat = [[float(t[i, j]) for i in range(3) for j in range(i, 3)] for t in m] + [[2.0, 0.0, 0.0, 1.0, 0.0, 0.5], [0.0] * 6, [1.0, 0.0, 0.0, 1.0, 0.0, 1.0]]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(flat)], "k int, t array<double>").select("k", X.tensor_to_vec("t").alias("v"), X.eigenvalues("t").alias("l")).orderBy("k").collect()
     for t, r in zip(m, rows, strict=False):
         w, u = np.linalg.eigh(t)
