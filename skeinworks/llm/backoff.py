@@ -22,40 +22,84 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stash import stash
-from .columns import gathered, hash_column, mixed, own_places, words
+from .columns import gathered, hash_column, mixed, own_places, release, words
+from .rows import small_batches
 
 #: Words with a larger share in a sample of documents count as frequent. This places pairs and changes no count.
-HOT, HOT_SAMPLE, HOT_BYTES = 1 / 1000, 1000, 20_000
+HOT, HOT_SAMPLE, HOT_BYTES = 1 / 1000, 100, 10_000
 CUTOFF, DISCOUNT = 2, 0.4
 #: Bytes of text, and documents, in a block; words in a partition, about.
-BLOCK_BYTES, BLOCK_ROWS, PART_WORDS = 12 << 20, 60_000, 4_000_000
+BLOCK_BYTES, BLOCK_ROWS, PART_WORDS = 10 << 20, 60_000, 2_000_000
 
 #: What a packed row holds. ``keys`` with ``runs`` are sorted first words, ``seconds`` their second ones; ``counts`` and
 #: ``entries`` belong to n-grams, ``blocks``, ``docs`` and ``uses`` to entries; ``sums`` to documents.
 WORDS, PAIRS, HOT_PAIRS, OWED, DEBT, SUMS, TABLE = range(7)
-FIELDS = ("keys", "runs", "seconds", "counts", "entries", "blocks", "docs", "uses", "sums")
-TYPES = {"keys": "<u8", "runs": "<u4", "seconds": "<u8", "counts": "<u4", "entries": "<u4", "blocks": "<u4", "docs": "<u2", "uses": "<u4", "sums": "<f8"}
+FIELDS = ("ids", "keys", "runs", "seconds", "counts", "entries", "blocks", "docs", "uses", "sums")
+#: Words go by 48 bits of their hashes, and partial sums as floats without their last two bytes; both take six bytes.
+TYPES = {"ids": "<i8", "keys": "6", "runs": "<u4", "seconds": "6", "counts": "<u4", "entries": "<u4", "blocks": "<u4", "docs": "<u2", "uses": "<u4", "sums": "f"}
 PACKED = "part int, kind int, block long, " + ", ".join(f"{f} binary" for f in FIELDS)
 
 
+def six_bytes(x: np.ndarray) -> bytes:
+    return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def of_six(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def to_bytes(field: str, x: np.ndarray) -> bytes:
+    """Second words are numbered within the row; all is compressed, since the shuffle's own codec has no entropy stage."""
+    kind = TYPES[field]
+    if not len(x):
+        return b""
+    if field == "seconds":
+        names, at = np.unique(x, return_inverse=True)
+        raw = len(names).to_bytes(4, "little") + six_bytes(names) + at.astype("<u4").tobytes()
+    elif kind == "f":
+        raw = six_bytes((np.ascontiguousarray(x, np.float64).view(np.uint64) + np.uint64(0x8000)) >> np.uint64(16))
+    elif kind == "6":
+        raw = six_bytes(x)
+    else:
+        raw = np.ascontiguousarray(x, dtype=kind).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def from_bytes(field: str, raw: bytes) -> np.ndarray:
+    kind = TYPES[field]
+    raw = zstandard.ZstdDecompressor().decompress(raw) if raw else b""
+    if field == "seconds" and raw:
+        n = int.from_bytes(raw[:4], "little")
+        return of_six(raw[4 : 4 + 6 * n])[np.frombuffer(raw, "<u4", offset=4 + 6 * n)]
+    if kind in "6f":
+        x = of_six(raw)
+        return (x << np.uint64(16)).view(np.float64) if kind == "f" else x
+    return np.frombuffer(raw, kind)
+
+
 def packed(part: int, kind: int, block: int = 0, **arrays: np.ndarray) -> pa.RecordBatch:
-    own = [np.ascontiguousarray(arrays[f], dtype=TYPES[f]).tobytes() if f in arrays else b"" for f in FIELDS]
+    return raw_row(part, kind, block, [to_bytes(f, arrays[f]) if f in arrays else b"" for f in FIELDS])
+
+
+def raw_row(part: int, kind: int, block: int, own: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in own)], ["part", "kind", "block", *FIELDS])
 
 
 def together(rows: list[dict], field: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, TYPES[field]), *(np.frombuffer(r[field], TYPES[field]) for r in rows)])
+    return np.concatenate([from_bytes(field, b""), *(from_bytes(field, r[field]) for r in rows)])
 
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the column's words (split at ASCII white space, as they stand) and words of each text."""
+    """48-bit hashes of the column's words (split at ASCII white space, as they stand) and words of each text."""
     w = words(texts)
     codes, names = w.coded()
-    return hash_column(names)[codes], w.counts
+    return (hash_column(names) & np.uint64(0xFFFFFFFFFFFF))[codes], w.counts
 
 
 def begins(*keys: np.ndarray) -> np.ndarray:
@@ -130,7 +174,7 @@ def pack(cols: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                 first = own_places(counts) == 0
                 ids = batch.column("id")
                 null = ids.is_null().to_numpy(zero_copy_only=False)
-                yield packed(block % parts, TABLE, block, keys=ids.fill_null(0).to_numpy().view(np.uint64), runs=null, counts=counts)
+                yield packed(block % parts, TABLE, block, ids=ids.fill_null(0).to_numpy(), runs=null, counts=counts)
                 order = np.lexsort((h, dealt(h, parts)))
                 key = h[order]
                 k = begins(key)
@@ -164,6 +208,8 @@ def by_part(rows: DataFrame, key: str, work: Callable[[int, dict[int, list[dict]
                 held.setdefault(row["kind"], []).append(row)
         if held:
             yield from work(now, held)
+            held = {}
+        release()
 
     return rows.repartition(key).sortWithinPartitions(key, "kind").mapInArrow(run, schema)
 
@@ -187,7 +233,7 @@ def score_pairs(parts: int, cutoff: int) -> Callable:
     def work(_: int, held: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
         for kind in (WORDS, OWED, TABLE):
             for r in held.get(kind, []):
-                yield packed(r["part"], kind, r["block"], **{f: np.frombuffer(r[f], TYPES[f]) for f in FIELDS if r[f]})
+                yield raw_row(r["part"], kind, r["block"], [r[f] for f in FIELDS])
         for kind in (PAIRS, HOT_PAIRS):
             rows = held.pop(kind, [])
             if not rows:
@@ -195,7 +241,7 @@ def score_pairs(parts: int, cutoff: int) -> Callable:
             v = np.repeat(together(rows, "keys"), together(rows, "runs"))
             w, counts, entries = together(rows, "seconds"), together(rows, "counts").astype(np.int64), together(rows, "entries")
             doc, uses = together(rows, "docs").astype(np.int64), together(rows, "uses").astype(np.int64)
-            block = np.repeat(np.array([r["block"] for r in rows], np.int64), [len(r["docs"]) // 2 for r in rows])
+            block = np.repeat(np.array([r["block"] for r in rows], np.int64), [int(from_bytes("entries", r["entries"]).sum()) for r in rows])
             rows.clear()
             order = np.lexsort((w, v))
             gram = begins(v[order], w[order])
@@ -224,7 +270,7 @@ def score_words(parts: int, discount: float) -> Callable:
     def work(_: int, held: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
         for kind in (SUMS, TABLE):
             for r in held.get(kind, []):
-                yield packed(r["part"], kind, r["block"], **{f: np.frombuffer(r[f], TYPES[f]) for f in FIELDS if r[f]})
+                yield raw_row(r["part"], kind, r["block"], [r[f] for f in FIELDS])
         rows = held.get(WORDS, [])
         key = together(rows, "keys")
         order = np.argsort(key, kind="stable")
@@ -250,13 +296,13 @@ TOTALS = "id long, score double, backed_off long, n_words long"
 
 def totals(_: int, held: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
     table = held[TABLE][0]
-    counts = np.frombuffer(table["counts"], "<u4").astype(np.int64)
+    counts = from_bytes("counts", table["counts"]).astype(np.int64)
     value, back = np.zeros(len(counts)), np.zeros(len(counts))
     for r in held.get(SUMS, []):
-        docs = np.frombuffer(r["docs"], "<u2")
-        value[docs] += np.frombuffer(r["sums"], "<f8")
-        back[docs] += np.frombuffer(r["uses"], "<u4")
-    ids = pa.array(np.frombuffer(table["keys"], "<i8"), mask=np.frombuffer(table["runs"], "<u4") > 0)
+        docs = from_bytes("docs", r["docs"])
+        value[docs] += from_bytes("sums", r["sums"])
+        back[docs] += from_bytes("uses", r["uses"])
+    ids = pa.array(from_bytes("ids", table["ids"]), mask=from_bytes("runs", table["runs"]) > 0)
     yield pa.RecordBatch.from_arrays([ids, pa.array(value), pa.array(back.astype(np.int64)), pa.array(counts)], ["id", "score", "backed_off", "n_words"])
 
 
@@ -267,6 +313,7 @@ def backoff_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     words and score 0. Repeated rows count each, as part of the corpus. Null ids stay null.
     """
     spark = documents.sparkSession
+    small_batches(spark, 32)  # a packed row may have a few hundred KB
     cols = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     some = cols.where(F.octet_length("text") <= HOT_BYTES).orderBy(F.xxhash64("text")).limit(HOT_SAMPLE).toPandas()["text"]
     h, _ = hashed(pa.array(some, pa.large_string()))
