@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import binary_array, pieces, sums, words
+from .columns import binary_array, pieces, release, sums, words
 from .rows import kept
 
 SYMBOLS = np.zeros(256, bool)
@@ -231,7 +231,10 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     f = facts(pa.array(rows["text"], pa.large_string()))
     bad = rows["y"].to_numpy() == 0
     gold = np.repeat(bad, f.lines).astype(np.int64)
-    return fit(f.lines, f.features, gold)
+    chain = fit(f.lines, f.features, gold)
+    del rows, f, bad, gold
+    release()
+    return chain
 
 
 def verdict(texts: pa.Array, chain: Chain, share: float) -> tuple[Facts, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

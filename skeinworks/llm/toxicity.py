@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import binary_array, lower_ascii, own_places, pieces, spans, text_bytes
+from .columns import binary_array, lower_ascii, own_places, pieces, release, spans, text_bytes
 from .rows import kept
 
 WINDOW, STRIDE = 32, 16
@@ -298,8 +298,11 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if len(rows) and rows["y"].nunique() == 2:
         texts, y = pa.array(rows["text"], pa.large_string()), rows["y"].to_numpy()
         centre(learn(net, texts, y), texts, y)
+        del texts, y
     else:
         net.p["out"][:] = 0
+    del rows
+    release()
     return net
 
 
