@@ -34,7 +34,7 @@ from .rows import small_batches
 HOT, HOT_SAMPLE, HOT_BYTES = 1 / 1000, 100, 10_000
 CUTOFF, DISCOUNT = 2, 0.4
 #: Bytes of text, and documents, in a block; words in a partition, about.
-BLOCK_BYTES, BLOCK_ROWS, PART_WORDS = 10 << 20, 60_000, 2_000_000
+BLOCK_BYTES, BLOCK_ROWS, PART_WORDS = 12 << 20, 60_000, 2_800_000
 
 #: What a packed row holds. ``keys`` with ``runs`` are sorted first words, ``seconds`` their second ones; ``counts`` and
 #: ``entries`` belong to n-grams, ``blocks``, ``docs`` and ``uses`` to entries; ``sums`` to documents.
