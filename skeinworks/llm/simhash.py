@@ -404,8 +404,10 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 # Near duplicates of whole texts
 
-#: Words in a shingle and least Jaccard similarity of near duplicates; bits that the search lets their fingerprints differ.
+#: Words in a shingle and least Jaccard similarity of near duplicates; bits that the first search lets their fingerprints differ.
 SHINGLE, SIMILAR, SEARCH_BITS = 5, 0.8, 10
+#: How far apart the classes of a shingle are compared in the first round of the exact search.
+NEAR = 2
 
 
 def shingle_set(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -424,16 +426,132 @@ def shingle_set(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     return [distinct(total[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def text_prints(df: DataFrame, id_col: str, text_col: str, seed: int = 42) -> DataFrame:
-    """``id, same, fp``: ``same`` is a 128-bit digest of the lower-cased words, ``fp`` the fingerprint of the distinct ones."""
+#: Documents, about, whose shingles say which ones are common, and the most that count as such.
+SAMPLE, COMMONEST = 20_000, 1 << 16
+
+
+def common_shingles(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several documents of a sample have, ascending, and how many have them.
+
+    They bear on the order in which shingles are searched by, hence on the cost, and not on what is found.
+    """
+    some = df.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(max(1, df.count() // SAMPLE))) == 0).select(F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 1 << 20):
+            sets = shingle_set(batch.column("text"), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    rows = some.mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(COMMONEST).toPandas()
+    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
+    """The first shingles, rare ones before common ones, of which two sets with that Jaccard similarity share one (Chaudhuri et al., 2006)."""
+    known, n = common
+    rank = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank = np.where(known[at] == shingles, n[at], 0)
+    most = len(shingles) - int(np.ceil(similar * len(shingles) - 1e-9)) + 1
+    return shingles[np.argsort(rank, kind="stable")][: most if len(shingles) else 0]
+
+
+def text_prints(df: DataFrame, id_col: str, text_col: str, seed: int = 42, similar: float = SIMILAR, size: int = SHINGLE) -> DataFrame:
+    """``id, same, fp, size, prefix``: ``same`` is a 128-bit digest of the lower-cased words, ``fp`` the fingerprint of the distinct ones.
+
+    ``size`` is the number of distinct shingles, ``prefix`` the hashes of those that the text is searched by.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(common_shingles(df, id_col, text_col, size))
     cols = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 4 << 20):
             texts = batch.column("text")
-            yield pa.RecordBatch.from_arrays([batch.column("id"), digests(texts), pa.array(majority(*word_hashes(texts, seed)).view(np.int64))], ["id", "same", "fp"])
+            sets = shingle_set(texts, size)
+            firsts = pa.array([prefix(s, shared.value, similar).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), digests(texts), pa.array(majority(*word_hashes(texts, seed)).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), firsts], ["id", "same", "fp", "size", "prefix"])
+
+    return cols.mapInArrow(work, "id long, same binary, fp long, size int, prefix binary")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 17) -> Iterator[pa.Table]:
+    """Joins batches sorted by ``h`` into tables in which each ``h`` has all its rows."""
+    held, size, stop = [], 0, least
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= stop:
+            t = pa.Table.from_batches(held)
+            h = t["h"].to_numpy()
+            at = int(np.searchsorted(h, h[-1]))
+            if at:
+                yield t.slice(0, at)
+            held, size = t.slice(at).combine_chunks().to_batches(), len(h) - at
+            stop = max(least, 2 * size)
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def mates(classes: DataFrame) -> DataFrame:
+    """``h, node, size, place, n``: the prefix shingles that ``n`` > 1 classes have; ``place`` is the shingle's in the class's prefix."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = [np.frombuffer(b, np.int64) for b in batch.column("prefix").to_pylist()]
+            counts = np.array([len(x) for x in firsts], np.int64)
+            if counts.sum():
+                node, size = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("node", "size"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(node), pa.array(size), pa.array(own_places(counts).astype(np.int32))], ["h", "node", "size", "place"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            n = np.diff(np.append(_starts(t["h"].to_numpy()), t.num_rows))
+            n = np.repeat(n, n)
+            yield from t.append_column("n", pa.array(n)).filter(pa.array(n > 1)).combine_chunks().to_batches()
+
+    rows = classes.select("node", "size", "prefix").mapInArrow(deal, "h long, node long, size int, place int")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(several, "h long, node long, size int, place int, n long")
+
+
+def _starts(h: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+
+
+def mate_pairs(rows: DataFrame, low: int, high: int, similar: float) -> DataFrame:
+    """``a, b``: classes of different roots that stand over ``low`` and up to ``high`` places apart among those of a shingle, by size.
 
-    return cols.mapInArrow(work, "id long, same binary, fp long")
+    Left out are pairs whose sizes, or whose shingles behind their first common one, are too few for the
+    similarity. A row with a null ``a`` tells of a shingle that has pairs further apart.
+    ``rows(h, node, size, place, n, root)``.
+    """
+    share = similar / (1 + similar)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            h, node, size, place, root = (t[c].to_numpy() for c in ("h", "node", "size", "place", "root"))
+            starts = _starts(h)
+            n = np.diff(np.append(starts, len(h)))
+            mixed_roots = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            on = np.repeat(mixed_roots, n)
+            h, node, size, place, root = (x[on] for x in (h, node, size, place, root))
+            found = [np.zeros((0, 2), np.int64)]
+            for d in range(low + 1, high + 1):
+                i = np.flatnonzero(h[d:] == h[:-d]) if d < len(h) else []
+                if not len(i):
+                    break
+                i = i[(root[i] != root[i + d]) & (size[i] >= similar * size[i + d] - 1e-9)]
+                i = i[np.minimum(size[i] - place[i], size[i + d] - place[i + d]) >= share * (size[i].astype(np.int64) + size[i + d]) - 1e-9]
+                x, y = node[i], node[i + d]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            if (mixed_roots & (n - 1 > high)).any():
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64())], ["a", "b"])
+
+    return rows.repartition("h").sortWithinPartitions("h", "size", "node").mapInArrow(work, "a long, b long").distinct()
 
 
 def digests(texts: pa.Array) -> pa.Array:
@@ -472,29 +590,47 @@ def verified(edges: DataFrame, texts: DataFrame, similar: float, size: int) -> D
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = SEARCH_BITS, similar: float = SIMILAR, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Rows of near-duplicate groups: ``id, same, group_id`` for each row of ``df``, and the rows ``id, same`` that one keeper makes superfluous.
 
-    Texts of the same lower-cased words are one class. Classes whose fingerprints, of the distinct words,
-    differ in at most ``tau`` bits are linked by a spanning forest of the least distances; a link
-    counts if the texts' shingles of ``size`` words have a Jaccard similarity of at least ``similar``.
-    ``group_id`` is the smallest id reached. Texts without words are one class; null ids come last.
+    Texts of the same lower-cased words are one class. Two classes are linked if their shingles of ``size``
+    words have a Jaccard similarity of at least ``similar``; ``group_id`` is the smallest id that links reach.
+    Fingerprints of the distinct words that differ in at most ``tau`` bits join most copies at little cost.
+    The rest is exact: classes that share a shingle of their prefixes and aren't joined yet are compared,
+    in rounds that reach further and further among the classes of a shingle, until none is left.
+    Texts without words are one class; null ids come last.
     """
-    prints = stash(text_prints(df, id_col, text_col), "prints")
+    prints = stash(text_prints(df, id_col, text_col, similar=similar, size=size), "prints")
     node = F.coalesce("least", -1 - F.abs(F.xxhash64("same") % (1 << 62)))
-    classes = prints.groupBy("same").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.count("*").alias("n")).withColumn("node", node)
+    firsts = [F.first(c).alias(c) for c in ("fp", "size", "prefix")]
+    classes = prints.groupBy("same").agg(F.min("id").alias("least"), *firsts, F.count("*").alias("n")).withColumn("node", node)
     classes = stash(classes, "classes")
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def true_links(edges: DataFrame) -> DataFrame:
+        # A row of each class that is in an edge lends its text.
+        ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        wanted = classes.join(ends, "node").select(F.col("least").alias("id"), "same", "node")
+        lent = wanted.alias("w").join(texts.alias("t"), F.col("w.id").eqNullSafe(F.col("t.id"))).select("node", "same", "text")
+        lent = lent.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"])
+        return stash(verified(edges, stash(lent, "texts"), similar, size), "links")
+
     heads = stash(classes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     equal = classes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     how = planned(heads, tau)
     near = links(heads, how, tau).select("a", "b").distinct()
     name = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
     near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-    edges = stash(equal.union(near), "pairs")
-    # A row of each class that is in an edge lends its text.
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    wanted = classes.join(ends, "node").select(F.col("least").alias("id"), "same", "node")
-    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    lent = wanted.alias("w").join(texts.alias("t"), F.col("w.id").eqNullSafe(F.col("t.id"))).select("node", "same", "text")
-    lent = lent.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"])
-    roots = components(verified(edges, stash(lent, "texts"), similar, size))
+    found = true_links(stash(equal.union(near), "pairs"))
+    roots = components(found)
+    shared = stash(mates(classes), "mates")
+    low, high, more = 0, NEAR, True
+    while more:
+        rows = shared.where(F.col("n") > low + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = stash(mate_pairs(rows, low, high, similar), "pairs")
+        more = pairs.where("a IS NULL").limit(1).count() > 0
+        new = true_links(pairs.where("a IS NOT NULL"))
+        if new.limit(1).count():
+            found = found.union(new)
+            roots = components(found)
+        low, high = high, 8 * high
     named = classes.join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min("least").alias("group_id"))
     groups = prints.join(named.join(first, "root").select("same", "least", "group_id"), "same").select("id", "same", "group_id")

@@ -299,6 +299,15 @@ def test_near_duplicates_of_planted_copies(spark):
     assert sorted(str(r["doc_id"]) for r in twice) == ["1", "2"]
 
 
+def test_near_duplicates_behind_another_head(spark):
+    rng = random.Random(3)
+    ws = [f"w{k}" for k in range(300)]
+    changed = [*ws[:150], "changed", *ws[151:]]
+    other = rng.sample(ws, 300)  # the same distinct words, hence the same fingerprint, but other shingles
+    left = {r["doc_id"] for r in simhash.deduplicated(documents(spark, [" ".join(x) for x in (other, ws, changed)])).collect()}
+    assert left == {0, 1}
+
+
 def test_backoff_of_odd_rows(spark):
     rows = backoff.backoff_scores(odd(spark), parts=3).collect()
     assert len(rows) == len(ODD) + 2
