@@ -308,6 +308,32 @@ def test_near_duplicates_behind_another_head(spark):
     assert left == {0, 1}
 
 
+def far_copies():
+    """Texts with copies: foreign words appended, a block replaced, or a chain of copies of copies; some are too far."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for k in range(60):
+        ws = [word() for _ in range(rng.randrange(50, 400))]
+        n = len(ws) * (22 if k % 4 else 30) // 100
+        block = len(ws) * (9 if k % 5 else 15) // 100
+        at = rng.randrange(len(ws) - block)
+        texts += [ws, ws + [word() for _ in range(n)], ws[:at] + [word() for _ in range(block)] + ws[at + block :]]
+    line = [word() for _ in range(60)]
+    texts += [line + [word() for _ in range(rng.randrange(2, 30))] for _ in range(60)]
+    return [" ".join(t) for t in texts]
+
+
+def test_near_duplicates_are_those_of_brute_force(spark):
+    texts = far_copies()
+    sets = [{tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} for ws in map(str.split, texts)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 100
+    groups, _ = simhash.near_duplicates(documents(spark, texts))
+    got = {r["id"]: r["group_id"] for r in groups.collect()}
+    assert [got[i] for i in range(len(texts))] == roots(len(texts), pairs)
+
+
 def test_backoff_of_odd_rows(spark):
     rows = backoff.backoff_scores(odd(spark), parts=3).collect()
     assert len(rows) == len(ODD) + 2
