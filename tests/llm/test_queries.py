@@ -218,6 +218,21 @@ def test_leaks_are_found(spark):
     assert decontam.leaks(odd(spark), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def planted_words(rng):
+    return lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+
+
+def test_copies_of_a_large_benchmark_are_found(spark):
+    rng = random.Random(17)
+    word = planted_words(rng)
+    vocabulary = word(4000)
+    items = [rng.choices(vocabulary, k=36) for _ in range(1200)]
+    texts = [" ".join(w for item in items[k : k + 8] for w in [*word(70), *item]) for k in range(0, len(items), 8)]
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(documents(spark, texts), bench).collect()}
+    assert found >= {(i // 8, i) for i in range(len(items))}
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(6)
     for _ in range(50):
