@@ -233,6 +233,16 @@ def test_copies_of_a_large_benchmark_are_found(spark):
     assert found >= {(i // 8, i) for i in range(len(items))}
 
 
+def test_copies_of_a_common_item_are_found(spark):
+    rng = random.Random(18)
+    word = planted_words(rng)
+    item = word(36)
+    texts = [" ".join([*word(64 + k % 16), *(item if k % 3 == 0 else []), *word(80)]) for k in range(300)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(word(36)))], "item_id long, text string")
+    rows = decontam.leaks(documents(spark, texts), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(k, 1) for k in range(0, 300, 3)]
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(6)
     for _ in range(50):
