@@ -7,12 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that lets go of a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where the setting is missing (tests)."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where the setting is missing, a session that runs in one process (tests) gets a temporary one;
+    on a cluster, where executors don't share such a folder, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="skeinworks-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -21,8 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 
-    What follows reads files that outlive any executor, and the work above is not done twice.
+    What follows reads files that outlive any executor, and the work above is not done twice; its
+    shuffle files go at once.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def unstash(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`stash` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
