@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .columns import pieces
+from .columns import pieces, release
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -27,3 +28,21 @@ def kept(df: DataFrame, text_col: str, choose: Callable[[], Callable[[pa.Array],
             yield batch.filter(pa.array(which(batch.column(text_col)), pa.bool_()))
 
     return df.mapInArrow(work, df.schema)
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of a bounded sample, whose rows meet in one task: neither texts nor the fit take the driver's memory.
+
+    ``sample`` ends in an ordered limit, so the task has its rows in that order; should its executor be
+    lost, another one repeats it. The driver gets the pickled result alone.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(held)))], pa.binary())], ["model"])
+        del held
+        release()
+
+    got = sample.mapInArrow(work, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else None

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import binary_array, lower_ascii, own_places, pieces, release, spans, text_bytes
-from .rows import kept
+from .columns import binary_array, lower_ascii, own_places, pieces, spans, text_bytes
+from .rows import fitted, kept
 
 WINDOW, STRIDE = 32, 16
 WIDTH, STATE = 16, 8
@@ -285,25 +285,30 @@ def held_out(id_col: str) -> F.Column:
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
     """Fits the network on at most ``SAMPLE`` documents of each label that aren't held out, those with the smallest hashes
-    of id. Nothing else reaches the driver. Without labels of both kinds every text scores low."""
+    of id. They meet in one task that fits; the driver gets the
+    parameters. Without labels of both kinds every text scores low."""
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     short = documents.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     some = None
     for y in (0, 1):
         one = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
         some = one if some is None else some.union(one)
-    rows = short.join(F.broadcast(some), "id").orderBy("id", "text").limit(2 * SAMPLE).toPandas()
-    rows = rows[rows["text"].str.strip().astype(bool)] if len(rows) else rows
-    net = Network.fresh()
-    if len(rows) and rows["y"].nunique() == 2:
-        texts, y = pa.array(rows["text"], pa.large_string()), rows["y"].to_numpy()
-        centre(learn(net, texts, y), texts, y)
-        del texts, y
-    else:
+    rows = short.where(F.length(F.trim("text")) > 0).join(F.broadcast(some), "id").orderBy("id", "text").limit(2 * SAMPLE)
+
+    def fit(table: pa.Table) -> dict[str, np.ndarray]:
+        net, texts, y = Network.fresh(), table["text"].combine_chunks().cast(pa.large_string()), table["y"].to_numpy()
+        if len(np.unique(y)) == 2:
+            centre(learn(net, texts, y), texts, y)
+        else:
+            net.p["out"][:] = 0
+        return net.p
+
+    found = fitted(rows, fit)
+    if found is None:
+        net = Network.fresh()
         net.p["out"][:] = 0
-    del rows
-    release()
-    return net
+        return net
+    return Network(found)
 
 
 def scored(documents: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
