@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stash import stash
+from .stash import stash, unstash
 
 
 def components(edges: DataFrame, by: list[str] | None = None, rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, by: list[str] | None = None, rounds: int = 60)
         large = star(both).where("b > a").select(*by, F.col("b").alias("a"), F.col("m").alias("b"))
         small = star(large.where("a <> b"))
         small = small.select(*by, F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        cur = stash(small.where("a <> b").distinct(), "edges")
+        cur, old = stash(small.where("a <> b").distinct(), "edges"), cur
+        unstash(old)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64(*by, "a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

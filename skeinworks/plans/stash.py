@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,23 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def stash(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes ``df`` once as Parquet in the shared folder and reads it back.
-
-    What follows reads files that outlive any executor, and the work above is not done twice; its
-    shuffle files go at once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go as soon as it has ended; the session's own setting comes back behind it."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+
+
+def stash(df: DataFrame, name: str = "t") -> DataFrame:
+    """Writes ``df`` once as Parquet in the shared folder and reads it back.
+
+    What follows reads files that outlive any executor, and the work above is not done twice.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
     return out
