@@ -14,13 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.components import components
-from ..plans.stash import stash
+from ..plans.stash import stash, tidy, unstash
 from .columns import distinct, hash_column, mixed, own_places, pieces, words
 
 BITS = 64
@@ -393,9 +392,10 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     included. Empty and null texts have the fingerprint zero and are linked like others. Null ids are
     kept and never a component's id unless it has no other. An empty table gives an empty one.
     """
-    prints = stash(fingerprints(df, id_col, text_col, shingle, seed), "prints")
-    classes = stash(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    roots = components(links(classes, planned(classes, tau), tau))
+    with tidy(df.sparkSession):
+        prints = stash(fingerprints(df, id_col, text_col, shingle, seed), "prints")
+        classes = stash(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+        roots = components(links(classes, planned(classes, tau), tau))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(first, "root").select("fp", "component_id")
@@ -406,6 +406,8 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 #: Words in a shingle and least Jaccard similarity of near duplicates; bits that the first search lets their fingerprints differ.
 SHINGLE, SIMILAR, SEARCH_BITS = 5, 0.8, 10
+#: Classes, at most, whose ids and digests are broadcast to the documents' texts (24 bytes each); more are joined by a shuffle.
+FEW = 200_000
 #: How far apart the classes of a shingle are compared in the first round of the exact search.
 NEAR = 2
 
@@ -427,7 +429,7 @@ def shingle_set(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
 
 
 #: Documents, about, whose shingles say which ones are common, and the most that count as such.
-SAMPLE, COMMONEST = 20_000, 1 << 16
+SAMPLE, COMMONEST = 5_000, 1 << 15
 
 
 def common_shingles(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -442,7 +444,7 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str, size: int) -> tup
             sets = shingle_set(batch.column("text"), size)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
-    rows = some.mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(COMMONEST).toPandas()
+    rows = some.mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMONEST).toPandas()
     h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -597,20 +599,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in rounds that reach further and further among the classes of a shingle, until none is left.
     Texts without words are one class; null ids come last.
     """
+    with tidy(df.sparkSession):
+        return _near_duplicates(df, id_col, text_col, tau, similar, size)
+
+
+def _near_duplicates(df: DataFrame, id_col: str, text_col: str, tau: int, similar: float, size: int) -> tuple[DataFrame, DataFrame]:
     prints = stash(text_prints(df, id_col, text_col, similar=similar, size=size), "prints")
-    node = F.coalesce("least", -1 - F.abs(F.xxhash64("same") % (1 << 62)))
+    # A class goes by its least id, or by a hash where it has none or shares it with another text.
+    again = stash(prints.groupBy(F.col("id").alias("least")).agg(F.count("*").alias("rows")).where("rows > 1 AND least IS NOT NULL").drop("rows"), "again")
+    node = F.when(F.col("least").isNull() | F.col("shared"), -1 - F.abs(F.xxhash64("same") % (1 << 62))).otherwise(F.col("least"))
     firsts = [F.first(c).alias(c) for c in ("fp", "size", "prefix")]
-    classes = prints.groupBy("same").agg(F.min("id").alias("least"), *firsts, F.count("*").alias("n")).withColumn("node", node)
+    classes = prints.groupBy("same").agg(F.min("id").alias("least"), *firsts, F.count("*").alias("n"))
+    classes = classes.join(again.withColumn("shared", F.lit(True)), "least", "left").fillna(False, ["shared"]).withColumn("node", node).drop("shared")
     classes = stash(classes, "classes")
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def true_links(edges: DataFrame) -> DataFrame:
-        # A row of each class that is in an edge lends its text.
+        # A row of each class that is in an edge lends its text; rows are found by id, then told apart by the digest.
         ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        wanted = classes.join(ends, "node").select(F.col("least").alias("id"), "same", "node")
-        lent = wanted.alias("w").join(texts.alias("t"), F.col("w.id").eqNullSafe(F.col("t.id"))).select("node", "same", "text")
-        lent = lent.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"])
-        return stash(verified(edges, stash(lent, "texts"), similar, size), "links")
+        wanted = stash(classes.join(ends, "node").select(F.col("least").alias("id"), "same", "node"), "wanted")
+        few = wanted.count() <= FEW
+        mine = lambda t: F.broadcast(t) if few else t
+        near = texts.alias("t").join(mine(wanted.select("id").distinct()).alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
+        lent = near.mapInArrow(_with_digest, "same binary, text string").join(mine(wanted.select("same", "node")), "same")
+        lent = stash(lent.select("node", "text").dropDuplicates(["node"]), "texts")
+        out = stash(verified(edges, lent, similar, size), "links")
+        unstash(wanted, lent, edges)
+        return out
 
     heads = stash(classes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     equal = classes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
@@ -626,36 +641,54 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = shared.where(F.col("n") > low + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         pairs = stash(mate_pairs(rows, low, high, similar), "pairs")
         more = pairs.where("a IS NULL").limit(1).count() > 0
-        new = true_links(pairs.where("a IS NOT NULL"))
+        new = true_links(stash(pairs.where("a IS NOT NULL"), "edges") if more else pairs)
+        if more:
+            unstash(pairs)
         if new.limit(1).count():
             found = found.union(new)
             roots = components(found)
         low, high = high, 8 * high
     named = classes.join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("root"))
-    first = named.groupBy("root").agg(F.min("least").alias("group_id"))
-    groups = prints.join(named.join(first, "root").select("same", "least", "group_id"), "same").select("id", "same", "group_id")
-    extra = groups.where(~F.col("id").eqNullSafe(F.col("group_id"))).select("id", "same").distinct()
-    return groups, extra
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "same")).alias("first"))
+    by_class = named.join(first, "root").select("same", F.col("first.least").alias("group_id"), (F.col("same") == F.col("first.same")).alias("head"))
+    groups = prints.join(by_class, "same")
+    extra = groups.where(~(F.col("head") & F.col("id").eqNullSafe(F.col("group_id")))).select("id", "same").distinct()
+    return groups.select("id", "same", "group_id"), extra
 
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where an id stands for several texts, the class's own."""
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", 4 << 20):
-        texts = batch.column("text")
-        ok = pc.equal(digests(texts), batch.column("same"))
-        yield batch.select(["node", "text"]).filter(ok)
+        yield pa.RecordBatch.from_arrays([digests(batch.column("text")), batch.column("text")], ["same", "text"])
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of each near-duplicate group of ``df``, all columns: the one with the smallest id."""
+    """One row of each near-duplicate group of ``df``, all columns: the one with the smallest id.
+
+    Where none of a group has an id, one of its rows stays. Of rows with the same id and words one stays. Null and
+    empty texts are one group. An empty table stays empty. A text is compared as a whole, so it must fit a task.
+    """
     _, extra = near_duplicates(df, id_col, text_col, **how)
+    same, key, twin = (own_name(df, c) for c in ("same", "key", "twin"))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col, 4 << 20):
-            yield pa.RecordBatch.from_arrays([*batch.columns, digests(batch.column(text_col))], [*batch.schema.names, "__same"])
-
-    tagged = df.mapInArrow(tag, T.StructType([*df.schema.fields, T.StructField("__same", T.BinaryType())]))
-    extra = extra.select(F.col("id").alias("__id"), F.col("same").alias("__twin"))
-    left = tagged.join(extra, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__same") == F.col("__twin")), "left_anti")
-    return left.dropDuplicates([id_col, "__same"]).drop("__same")
-
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests(batch.column(text_col))], [*batch.schema.names, same])
+
+    tagged = df.mapInArrow(tag, T.StructType([*df.schema.fields, T.StructField(same, T.BinaryType())]))
+    on = lambda t: F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key)) & (F.col(same) == F.col(twin))
+    left = tagged.join(extra.select(F.col("id").alias(key), F.col("same").alias(twin)), on(extra), "left_anti")
+    # Only rows whose id is there again are brought together.
+    again = stash(df.groupBy(F.col(f"`{id_col}`").cast("long").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key), "again")
+    if not again.limit(1).count():
+        return left.drop(same)
+    hit = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key))
+    several = left.join(again, hit, "left_semi").dropDuplicates([id_col, same])
+    return left.join(again, hit, "left_anti").unionByName(several).drop(same)

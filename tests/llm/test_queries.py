@@ -222,6 +222,44 @@ def planted_words(rng):
     return lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
 
 
+def test_paraphrases_are_found(spark):
+    """A fifth of a planted item's words replaced: nine of ten are found; untouched documents aren't."""
+    rng = random.Random(19)
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    clean = [r["text"].split() for r in docs.orderBy("doc_id").limit(400).collect() if r["text"] and len(r["text"].split()) > 120]
+    pool = [w for ws in clean for w in ws]
+    items = [(r["item_id"], r["text"].split()) for r in bench.collect()]
+    for share, least in ((0.0, 1.0), (0.2, 0.9), (0.3, 0.75)):
+        texts = []
+        for _, ws in items:
+            host = rng.choice(clean)
+            at = rng.randrange(len(host))
+            texts.append(" ".join([*host[:at], *(rng.choice(pool) if rng.random() < share else w for w in ws), *host[at:]]))
+        both = docs.select("doc_id", "text").union(spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+        found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(both, bench).collect()}
+        assert np.mean([(10**9 + k, i) in found for k, (i, _) in enumerate(items)]) >= least, share
+
+
+def test_latent_space_is_truncated_and_keeps_the_passages(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    n, df = decontam.document_frequencies(docs)
+    texts = [decontam.plain_words(pa.array([r["text"] or ""], pa.large_string())) for r in docs.collect()]
+    exact = np.zeros(decontam.SLOTS, np.int64)
+    for _, names, _ in texts:
+        exact[np.unique(columns.hash_column(names) % np.uint64(decontam.SLOTS)).astype(np.int64)] += 1
+    assert n == docs.count() and (df == exact).all()
+    idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
+    passages = decontam.Passages([(r[0], r[1]) for r in bench.collect()])
+    slots, basis = decontam.latent_space(passages, idf, decontam.sampled(docs, n))
+    assert basis.shape[1] == int(np.ceil(decontam.SHARE * len(passages.words))) + decontam.SHARED < len(passages.words) or len(passages.words) < 41
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3)
+    space = decontam.Space(idf, slots, basis, passages, 0.7)
+    near = space.query @ space.query.T
+    exact = np.stack([np.bincount(np.searchsorted(slots, np.unique(w % np.uint64(decontam.SLOTS)).astype(np.int64)), minlength=len(slots)) * idf[slots] for w in passages.words])
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    assert np.abs(near - exact @ exact.T).max() > 1e-3 and (near.argmax(1) == np.arange(len(near))).all()
+
+
 def test_copies_of_a_large_benchmark_are_found(spark):
     rng = random.Random(17)
     word = planted_words(rng)
@@ -333,6 +371,18 @@ def test_near_duplicates_behind_another_head(spark):
     assert left == {0, 1}
 
 
+def test_near_duplicates_of_odd_rows(spark):
+    texts = ["a b c d e f g h", "A b c\nd e f g h", None, "", "x y", "a b c d e f g h"]
+    clash = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in zip([None, None, 5, 6, 7, 7], texts, strict=True)], "doc_id long, text string, same int, key int, twin int")
+    left = simhash.deduplicated(clash)
+    assert left.columns == clash.columns
+    # Of the three texts with the same words the one with an id stays; null and empty texts are one group.
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(5, None), (7, "a b c d e f g h"), (7, "x y")]
+    nameless = documents(spark, ["q r s t u v", "q R s t u v", "other"], [None, None, None])
+    assert sorted(r["text"].lower() for r in simhash.deduplicated(nameless).collect()) == ["other", "q r s t u v"]
+    assert simhash.deduplicated(documents(spark, []).limit(0)).count() == 0
+
+
 def far_copies():
     """Texts with copies: foreign words appended, a block replaced, or a chain of copies of copies; some are too far."""
     rng = random.Random(21)
