@@ -1,15 +1,20 @@
 """Merkle fixity audit of WARC archives, in DataFrame operations alone.
 
 An archive holds the response records of up to 4,096 consecutive page ids, in order; a record's
-offset is the length of those before it. Records are the leaves of a tree over id ranges: a node
-covers 16 children and has the hash of their ordered hashes, the byte range and the count. Ranges
-are fixed by ids, so a lost record changes its own branch and not the ones behind it. An audit
-compares the archives' roots in two replicas and goes down mismatching branches only.
+offset is the length of those before it. Records are the leaves of a tree; a node covers the ordered
+range of up to 16 children, and its hash is over each child's id, its range of bytes (from the node's
+begin) and its hash. Nodes are fixed by ids and ranges count from the node, so a lost record changes its
+own branch and none behind it. An audit compares the archives' roots in two replicas and goes
+down mismatching branches only; below, the records of an id are compared as a multiset.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import gzip
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stash import stash
@@ -17,6 +22,8 @@ from ..plans.stash import stash
 #: Ids of a branch are 16 times those of its children; three levels make an archive.
 FAN_BITS, LEVELS = 4, 3
 ARCHIVE_BITS = FAN_BITS * LEVELS
+#: Line ends behind a record.
+GAP = 4
 
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -41,72 +48,153 @@ def write_warc(records: DataFrame, folder: str) -> None:
     ordered.write.option("lineSep", "\r\n\r\n").text(folder)
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """``archive, key, nth, offset, bytes, hash`` for each record.
+def read_warc(spark, folder: str) -> DataFrame:
+    """``key, record`` of the WARC files of a folder, plain or ``.gz``: what :func:`write_warc` wrote, record by record.
 
-    The offset window spans one archive. Records of one key go by their hash; equal ones are told
-    apart by ``nth``.
+    A file is one archive, so a task holds one of bounded size. A record's length comes from its
+    header, so bodies may hold anything. A record cut short at a file's end is returned as far as it goes;
+    one whose head can't be read ends its file with an error.
     """
-    archive = F.shiftright("key", ARCHIVE_BITS)
-    hashed = records.select(archive.alias("archive"), "key", F.octet_length("record").cast("long").alias("bytes"), F.sha2("record", 256).alias("hash"))
-    in_order = Window.partitionBy("archive").orderBy("key", "hash")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    nth = F.row_number().over(Window.partitionBy("archive", "key").orderBy("hash"))
-    return hashed.select("archive", "key", nth.alias("nth"), F.coalesce(F.sum(F.col("bytes") + 4).over(before), F.lit(0)).alias("offset"), "bytes", "hash")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content").to_pylist():
+                data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                keys, records, at = [], [], 0
+                while at < len(data):
+                    end = data.index(b"\r\n\r\n", at) + 4
+                    head = dict(line.split(b": ", 1) for line in data[at : end - 4].split(b"\r\n")[1:])
+                    to = end + int(head[b"Content-Length"])
+                    keys.append(int(head[b"WARC-Record-ID"].rpartition(b":")[2].rstrip(b">")))
+                    records.append(data[at:to].decode())
+                    at = to + GAP
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(records, pa.string())], ["key", "record"])
+
+    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(parse, "key long, record string")
+
+
+def leaves(records: DataFrame) -> DataFrame:
+    """``archive, key, hash, bytes, copies``: the different records of each id and how often each is there."""
+    hashed = records.select(F.shiftright("key", ARCHIVE_BITS).alias("archive"), "key", F.octet_length("record").cast("long").alias("bytes"), F.sha2("record", 256).alias("hash"))
+    return hashed.groupBy("archive", "key", "hash", "bytes").agg(F.count("*").alias("copies"))
+
+
+def both(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Two tables of leaves as one, by ``side`` a or b."""
+    return ours.withColumn("side", F.lit("a")).unionByName(theirs.withColumn("side", F.lit("b")))
 
 
 def keys(leaf: DataFrame) -> DataFrame:
-    """The lowest nodes: an id with its record's hash. Repeated ids fold into one of bounded size, in any order."""
-    many = F.sha2(F.concat_ws(":", F.count("*"), F.min("hash"), F.max("hash"), F.sum(F.xxhash64("hash").cast("decimal(38,0)"))), 256)
-    return leaf.groupBy("archive", F.col("key").alias("node")).agg(
-        F.when(F.count("*") == 1, F.min("hash")).otherwise(many).alias("hash"), F.min("offset").alias("low"), F.max(F.col("offset") + F.col("bytes")).alias("high"), F.count("*").alias("records"),
-    )
+    """The lowest nodes: an id's length in bytes and hash on each side. Any number of records of an id folds into one row.
+
+    One record's hash is the node's; several fold in any order, by their number, least and greatest hash and
+    the sum of 64 bits of them all, weighed by copies.
+    """
+
+    def side(name: str) -> list[Column]:
+        on = F.col("side") == name
+        own = lambda c: F.when(on, F.col(c))
+        part = F.conv(F.substring("hash", 1, 16), 16, 10).cast("decimal(20,0)") * F.col("copies").cast("decimal(12,0)")
+        many = F.sha2(F.concat_ws(":", F.sum(own("copies")), F.min(own("hash")), F.max(own("hash")), F.sum(F.when(on, part))), 256)
+        return [
+            F.when(F.sum(own("copies")) == 1, F.min(own("hash"))).when(F.sum(own("copies")) > 1, many).alias(f"hash_{name}"),
+            F.coalesce(F.sum(F.when(on, F.col("copies") * (F.col("bytes") + GAP))), F.lit(0)).alias(f"bytes_{name}"),
+            F.coalesce(F.sum(own("copies")), F.lit(0)).alias(f"records_{name}"),
+        ]
+
+    return leaf.groupBy("archive", F.col("key").alias("node")).agg(*side("a"), *side("b"))
 
 
 def level(nodes: DataFrame) -> DataFrame:
-    """The nodes above: ``node`` is the ids' common prefix; the hash is over its at most 16 children's, in order."""
-    children = F.array_sort(F.collect_list(F.struct("node", "hash")))
-    joined = F.array_join(F.transform(children, lambda c: F.concat(c["node"].cast("string"), F.lit(":"), c["hash"])), "\n")
-    return nodes.groupBy("archive", F.shiftright("node", FAN_BITS).alias("node")).agg(F.sha2(joined, 256).alias("hash"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("records").alias("records"))
+    """The nodes above: ``node`` is the ids' common prefix; the hash is over its at most 16 children in order, each with its range of bytes."""
 
+    def side(name: str) -> list[Column]:
+        child = F.when(F.col(f"hash_{name}").isNotNull(), F.struct("node", F.col(f"bytes_{name}").alias("bytes"), F.col(f"hash_{name}").alias("hash")))
+        ordered = F.array_sort(F.collect_list(child))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
+        step = lambda s, c: F.struct(
+            (s["at"] + c["bytes"]).alias("at"),
+            F.concat(s["text"], c["node"].cast("string"), F.lit(" "), s["at"].cast("string"), F.lit("-"), (s["at"] + c["bytes"]).cast("string"), F.lit(" "), c["hash"], F.lit("\n")).alias("text"),
+        )
+        text = F.aggregate(ordered, start, step, lambda s: s["text"])
+        return [F.when(F.count(F.col(f"hash_{name}")) > 0, F.sha2(text, 256)).alias(f"hash_{name}"), F.sum(f"bytes_{name}").alias(f"bytes_{name}"), F.sum(f"records_{name}").alias(f"records_{name}")]
+
+    return nodes.groupBy("archive", F.shiftright("node", FAN_BITS).alias("node")).agg(*side("a"), *side("b"))
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """The levels of all archives with each node's byte range: ids first, roots last."""
-    out = [keys(leaf)]
-    for _ in range(LEVELS):
-        out.append(level(out[-1]))
-    return out
 
+def trees(leaf: DataFrame) -> DataFrame:
+    """``level, archive, node, hash_, bytes_, records_`` of both sides: ids at level 0, roots at ``LEVELS``.
 
-def differing(ours: DataFrame, theirs: DataFrame, on: list[str]) -> DataFrame:
-    """Nodes that differ, or are on one side only."""
-    a = ours.select(*on, F.col("hash").alias("hash_a"))
-    b = theirs.select(*on, F.col("hash").alias("hash_b"))
-    return a.join(b, on, "full_outer").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+    Dealt by archive once, so that no level above the ids needs a shuffle of its own.
+    """
+    nodes = keys(leaf).repartition("archive")
+    out = nodes.withColumn("level", F.lit(0))
+    for depth in range(1, LEVELS + 1):
+        nodes = level(nodes)
+        out = out.unionByName(nodes.withColumn("level", F.lit(depth)))
+    return out
 
 
-def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """``archive, key, nth, status, hash_a, hash_b`` of the records that differ between two tables of leaves.
+def audit(nodes: DataFrame) -> DataFrame:
+    """``archive, key`` of the ids whose records differ between the sides of ``nodes``, a stored table of :func:`trees`.
 
-    ``status``: corrupt, missing (not in ``theirs``) or extra (not in ours). Equal archives end at their
-    roots; below, each level keeps the children of nodes that differ.
+    Equal archives end at their roots; below, each level keeps the children of nodes that differ.
     """
-    a, b = tree(ours), tree(theirs)
-    bad = differing(a[LEVELS], b[LEVELS], ["archive", "node"]).select("archive", F.col("node").alias("up"))
+    differ = nodes.where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+    bad = differ.where(F.col("level") == LEVELS).select("archive", F.col("node").alias("up"))
     for depth in range(LEVELS - 1, -1, -1):
-        branch = lambda nodes: nodes.withColumn("up", F.shiftright("node", FAN_BITS)).join(bad, ["archive", "up"], "left_semi")  # noqa: E731, B023
-        bad = differing(branch(a[depth]), branch(b[depth]), ["archive", "node"]).select("archive", F.col("node").alias("up"))
-    record = lambda leaf: leaf.join(bad.withColumnRenamed("up", "key"), ["archive", "key"], "left_semi")
-    found = differing(record(ours), record(theirs), ["archive", "key", "nth"])
-    status = F.when(F.col("hash_a").isNull(), "extra").when(F.col("hash_b").isNull(), "missing").otherwise("corrupt")
-    return found.select("archive", "key", "nth", status.alias("status"), "hash_a", "hash_b")
+        below = differ.where(F.col("level") == depth).select("archive", F.shiftright("node", FAN_BITS).alias("up"), "node")
+        bad = below.join(bad, ["archive", "up"], "left_semi").select("archive", F.col("node").alias("up"))
+    return bad.withColumnRenamed("up", "key")
+
+
+def faults(leaf: DataFrame, bad: DataFrame) -> DataFrame:
+    """``archive, key, hash, hash_b, status, matched`` for each record of the ids ``bad`` that one side has more copies of.
+
+    Of an id's records without a match the first of ours, by hash, is set against the first of theirs, and so
+    on: corrupt. What is left is missing (from theirs) or extra. ``matched`` copies of ours are in theirs as well.
+    """
+    on = ["archive", "key", "hash"]
+    own = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("copies"))), F.lit(0)).alias(s)
+    sides = leaf.join(bad, ["archive", "key"], "left_semi").groupBy(*on).agg(own("a"), own("b")).where("a <> b").withColumn("short", F.col("a") > F.col("b"))
+    nth = F.row_number().over(Window.partitionBy("archive", "key", "short").orderBy("hash"))
+    ranked = sides.withColumn("nth", nth)
+    ours = ranked.where("short").select("archive", "key", "nth", "hash", F.col("b").alias("matched"))
+    theirs = ranked.where("NOT short").select("archive", "key", "nth", F.col("hash").alias("hash_b"))
+    status = F.when(F.col("hash").isNull(), "extra").when(F.col("hash_b").isNull(), "missing").otherwise("corrupt")
+    return ours.join(theirs, ["archive", "key", "nth"], "full_outer").select(*on, "hash_b", status.alias("status"), "matched")
+
+
+def offsets(nodes: DataFrame, leaf: DataFrame) -> DataFrame:
+    """``archive, key, hash, bytes, copies, offset`` of our leaves; ``offset`` is that of the first copy.
+
+    Copies stand together, an id's records by hash. Three windows add up: ids of an archive (4,096 at most), 256 ranges of an id's
+    hashes, and the records in one, so that an id of any number of records is no single task's.
+    """
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda c, w: F.coalesce(F.sum(c).over(ahead(w)), F.lit(0))
+    first = nodes.where("level = 0 AND hash_a IS NOT NULL").select("archive", F.col("node").alias("key"), sum_before("bytes_a", Window.partitionBy("archive").orderBy("node")).alias("at"))
+    size = F.col("copies") * (F.col("bytes") + GAP)
+    ours = leaf.where("side = 'a'").select("archive", "key", F.substring("hash", 1, 2).alias("span"), "hash", "bytes", "copies", size.alias("size"))
+    spans = ours.groupBy("archive", "key", "span").agg(F.sum("size").alias("size")).select("archive", "key", "span", sum_before("size", Window.partitionBy("archive", "key").orderBy("span")).alias("up"))
+    within = ours.withColumn("own", sum_before("size", Window.partitionBy("archive", "key", "span").orderBy("hash")))
+    placed = within.join(spans, ["archive", "key", "span"]).join(first, ["archive", "key"])
+    return placed.select("archive", "key", "hash", "bytes", "copies", (F.col("at") + F.col("up") + F.col("own")).alias("offset"))
 
 
 def report(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Every record of either side with its place, hash and status (``ok`` where both agree)."""
-    a, b = stash(leaves(ours), "leaves"), stash(leaves(theirs), "leaves")
-    bad = stash(audit(a, b), "faults")
-    on = ["archive", "key", "nth"]
-    known = a.join(bad.select(*on, "status", "hash_b"), on, "left")
-    extra = bad.where(F.col("status") == "extra").select(*on, F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("string").alias("hash"), "status", "hash_b")
-    return known.select(*on, "offset", "bytes", "hash", F.coalesce("status", F.lit("ok")).alias("status"), "hash_b").union(extra.select(*on, "offset", "bytes", "hash", "status", "hash_b"))
+    """``archive, key, offset, bytes, hash, copies, matched, status, hash_b`` for each different record of an id of either side.
+
+    ``status``: ok (theirs has as many copies), corrupt (``hash_b`` stands in its place), missing, or extra (only ``hash_b``
+    and no place). Null ids, urls and bodies: see :func:`warc_records`. Empty tables on one side make all of
+    the other missing or extra; on both sides, an empty report.
+    """
+    leaf = stash(both(leaves(ours), leaves(theirs)), "leaves")
+    nodes = stash(trees(leaf), "nodes")
+    bad = stash(faults(leaf, audit(nodes)), "faults")
+    on = ["archive", "key", "hash"]
+    known = offsets(nodes, leaf).join(bad.where("hash IS NOT NULL"), on, "left")
+    columns = [*on[:2], "offset", "bytes", "hash", "copies", F.coalesce("matched", "copies").alias("matched"), F.coalesce("status", F.lit("ok")).alias("status"), "hash_b"]
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    extra = bad.where("status = 'extra'").select("archive", "key", none("offset", "long"), none("bytes", "long"), none("hash", "string"), none("copies", "long"), none("matched", "long"), "status", "hash_b")
+    return known.select(*columns).unionByName(extra)

@@ -21,14 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages against a replica of them with planted faults: changed letters, lost and added records."""
+    """The pages against a replica of them with planted faults: changed letters, lost and added records, and copies of an id of which one changed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    ours = fixity.warc_records(pages)
-    hit = F.pmod("page_id", F.lit(97)) == 5
-    changed = pages.where(F.pmod("page_id", F.lit(101)) != 7).withColumn("html", F.when(hit, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
+    copied = F.pmod("page_id", F.lit(53)) == 2
+    twice = pages.where(copied)
+    ours = fixity.warc_records(pages.union(twice).union(twice))
+    mark = lambda rows, hit: rows.withColumn("html", F.when(hit, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
+    changed = mark(pages.where(F.pmod("page_id", F.lit(101)) != 7), F.pmod("page_id", F.lit(97)) == 5)
     added = pages.where(F.pmod("page_id", F.lit(211)) == 3).withColumn("page_id", F.col("page_id") + (1 << 40))
-    report = fixity.report(ours, fixity.warc_records(changed.union(added)))
-    return report.withColumnRenamed("key", "page_id")
+    theirs = fixity.warc_records(changed.union(added).union(twice).union(mark(twice, F.pmod("page_id", F.lit(3)) == 1)))
+    return fixity.report(ours, theirs).withColumnRenamed("key", "page_id")
 
 
 def op2_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,19 +81,24 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_merkle_fixity, op2_recurrent_toxicity, op3_vector_packing, op4_stupid_backoff, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op9_latent_decontamination, op10_simhash_groups)}
 ORACLE: dict[str, str] = {
     "op1_merkle_fixity": r"""
-WITH head AS (SELECT page_id, url, html FROM pages),
-theirs AS (SELECT page_id, url, CASE WHEN page_id % 97 = 5 THEN '#' || substring(html, 2) ELSE html END AS html FROM head WHERE page_id % 101 <> 7
-           UNION ALL SELECT page_id + (1::BIGINT << 40), url, html FROM head WHERE page_id % 211 = 3),
-rec AS (SELECT 1 AS side, * FROM head UNION ALL SELECT 2, * FROM theirs),
+WITH p AS (SELECT page_id, url, html, '#' || substring(html, 2) AS other FROM pages),
+rec AS (SELECT 'a' AS side, page_id, url, html FROM p UNION ALL SELECT 'a', page_id, url, html FROM p, range(2) WHERE page_id % 53 = 2
+        UNION ALL SELECT 'b', page_id, url, CASE WHEN page_id % 97 = 5 THEN other ELSE html END FROM p WHERE page_id % 101 <> 7
+        UNION ALL SELECT 'b', page_id + (1::BIGINT << 40), url, html FROM p WHERE page_id % 211 = 3
+        UNION ALL SELECT 'b', page_id, url, html FROM p WHERE page_id % 53 = 2
+        UNION ALL SELECT 'b', page_id, url, CASE WHEN page_id % 3 = 1 THEN other ELSE html END FROM p WHERE page_id % 53 = 2),
 w AS (SELECT side, page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
       || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
       || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html AS r FROM rec),
-h AS (SELECT side, page_id, page_id >> 12 AS archive, CAST(strlen(r) AS BIGINT) AS bytes, sha256(r) AS hash FROM w),
-o AS (SELECT *, CAST(coalesce(sum(bytes + 4) OVER (PARTITION BY side, archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM h)
-SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.page_id, b.page_id) AS page_id, 1 AS nth, a."offset", a.bytes, a.hash,
-       CASE WHEN a.hash IS NULL THEN 'extra' WHEN b.hash IS NULL THEN 'missing' WHEN a.hash <> b.hash THEN 'corrupt' ELSE 'ok' END AS status,
-       CASE WHEN a.hash = b.hash THEN NULL ELSE b.hash END AS hash_b
-FROM (SELECT * FROM o WHERE side = 1) a FULL OUTER JOIN (SELECT * FROM o WHERE side = 2) b USING (page_id)""",
+h AS (SELECT page_id, page_id >> 12 AS archive, sha256(r) AS hash, CAST(strlen(r) AS BIGINT) AS bytes, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM w GROUP BY ALL),
+o AS (SELECT *, CAST(coalesce(sum(a * (bytes + 4)) OVER (PARTITION BY archive ORDER BY page_id, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+             row_number() OVER (PARTITION BY page_id, sign(a - b) ORDER BY hash) AS nth FROM h)
+SELECT coalesce(x.archive, y.archive) AS archive, coalesce(x.page_id, y.page_id) AS page_id, x."offset", x.bytes, x.hash, x.a AS copies, least(x.a, x.b) AS matched,
+       CASE WHEN x.hash IS NULL THEN 'extra' WHEN x.a = x.b THEN 'ok' WHEN y.hash IS NULL THEN 'missing'
+            WHEN x.a > x.b THEN 'corrupt' ELSE 'ok' END AS status, y.hash AS hash_b
+FROM (SELECT * FROM o WHERE a > 0) x
+FULL OUTER JOIN (SELECT * FROM o WHERE b > a) y ON x.page_id = y.page_id AND x.nth = y.nth AND x.a > x.b
+WHERE x.hash IS NOT NULL OR y.a = 0""",
     "op4_stupid_backoff": r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT k, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),

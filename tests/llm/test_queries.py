@@ -424,6 +424,42 @@ def test_fixity_finds_planted_faults(spark, tmp_path):
     rows = fixity.report(ours, fixity.warc_records(spark.createDataFrame(theirs, schema))).collect()
     assert {(r["key"], r["status"]) for r in rows if r["status"] != "ok"} == {(17, "corrupt"), (250, "missing"), (-5, "extra")}
     assert len(rows) == len(pages) + 1
+    in_order = sorted((r for r in rows if r["hash"]), key=lambda r: (r["archive"], r["key"], r["hash"]))
+    at, archive = 0, None
+    for r in in_order:
+        at = at if r["archive"] == archive else 0
+        archive = r["archive"]
+        assert r["offset"] == at
+        at += r["copies"] * (r["bytes"] + 4)
     fixity.write_warc(ours, str(tmp_path / "warc"))
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "warc").glob("part-*")))
     assert raw.count(b"WARC/1.1\r\n") == len(pages) and raw.endswith(b"\r\n\r\n")
+    back = fixity.read_warc(spark, str(tmp_path / "warc"))
+    assert sorted(back.collect()) == sorted(ours.collect())
+    assert {r["status"] for r in fixity.report(ours, back).collect()} == {"ok"}
+
+
+def test_fixity_of_repeated_ids_and_empty_tables(spark):
+    schema = "page_id long, url string, html string, archive string, side int"
+    pages = lambda *bodies: fixity.warc_records(spark.createDataFrame([(5, "u", b, "clash", 1) for b in bodies], schema))
+    (row, ok) = sorted(fixity.report(pages("a", "a", "a", "a", "z"), pages("z", "a", "a", "new", "a")).collect(), key=lambda r: r["status"])
+    assert (row["status"], row["copies"], row["matched"], row["hash_b"] is not None) == ("corrupt", 4, 3, True)
+    assert (ok["status"], ok["copies"], ok["matched"], ok["hash_b"]) == ("ok", 1, 1, None)
+    assert {r["status"] for r in fixity.report(pages("b", "a"), pages("a", "b")).collect()} == {"ok"}
+    assert [(r["status"], r["copies"], r["matched"]) for r in fixity.report(pages("a", "a"), pages("a")).collect()] == [("missing", 2, 1)]
+    none = pages("a").limit(0)
+    assert [r["status"] for r in fixity.report(pages("a"), none).collect()] == ["missing"]
+    assert [r["status"] for r in fixity.report(none, pages("a")).collect()] == ["extra"]
+    assert fixity.report(none, none).count() == 0
+
+
+def test_fixity_reads_mismatching_branches_only(spark):
+    """Hashes cover the ordered ranges: a longer record changes its own branch and no sibling's."""
+    pages = [(i, "u", "x" * (i % 7)) for i in range(4096 * 2)]
+    make = lambda rows: fixity.leaves(fixity.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    changed = [(i, u, h + "longer" if i == 300 else h) for i, u, h in pages]
+    nodes = fixity.stash(fixity.trees(fixity.both(make(pages), make(changed))), "nodes")
+    differ = {(r["level"], r["archive"], r["node"]) for r in nodes.where("NOT hash_a <=> hash_b").collect()}
+    assert differ == {(3, 0, 0), (2, 0, 300 >> 8), (1, 0, 300 >> 4), (0, 0, 300)}
+    assert [tuple(r) for r in fixity.audit(nodes).collect()] == [(0, 300)]
+    assert nodes.where("level = 3").count() == 2 and nodes.where("level = 2").count() == 32
