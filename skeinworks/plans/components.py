@@ -13,7 +13,8 @@ def components(edges: DataFrame, by: list[str] | None = None, rounds: int = 60)
 
     Alternates Kiveris et al.'s large and small stars ("Connected components in MapReduce and
     beyond", 2014). A node's least neighbour comes from an aggregation and goes back by a join, so no
-    task holds a node's whole neighbourhood; each round ends in the shared folder.
+    task holds a node's whole neighbourhood in memory. The edges of a hub do stream through one task of that join
+    unless Spark splits it as skewed. Each round ends in the shared folder.
     """
     by = by or []
 
