@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stash import stash
 from .columns import gathered, hash_column, mixed, own_places, release, words
-from .rows import small_batches
+from .rows import batches_of
 
 #: Words with a larger share in a sample of documents count as frequent. This places pairs and changes no count.
 HOT, HOT_SAMPLE, HOT_BYTES = 1 / 1000, 100, 10_000
@@ -163,7 +163,7 @@ def pack(cols: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 12
+        block = first_block = TaskContext.get().partitionId() << 12
         for large in gathered(batches, "text", BLOCK_BYTES):
             for at in range(0, large.num_rows, BLOCK_ROWS):
                 batch = large.slice(at, BLOCK_ROWS)
@@ -189,6 +189,8 @@ def pack(cols: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                 yield from pair_rows(PAIRS, block, v[~often], w[~often], d[~often], parts)
                 yield from pair_rows(HOT_PAIRS, block, v[often], w[often], d[often], parts)
                 block += 1
+                if block >= min(first_block + (1 << 12), 1 << 32):
+                    raise ValueError("over 4,096 blocks in a task, or 1,048,575 tasks: read the documents in other partitions")
 
     return cols.mapInArrow(work, PACKED)
 
@@ -313,7 +315,6 @@ def backoff_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     words and score 0. Repeated rows count each, as part of the corpus. Null ids stay null.
     """
     spark = documents.sparkSession
-    small_batches(spark, 32)  # a packed row may have a few hundred KB
     cols = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     some = cols.where(F.octet_length("text") <= HOT_BYTES).orderBy(F.xxhash64("text")).limit(HOT_SAMPLE).toPandas()["text"]
     h, _ = hashed(pa.array(some, pa.large_string()))
@@ -324,7 +325,8 @@ def backoff_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = pack(cols, parts, names[n > HOT * len(h)])
     rows = by_part(rows, "part", score_pairs(parts, cutoff))
     rows = by_part(rows, "part", score_words(parts, discount))
-    found = stash(by_part(rows, "block", totals, TOTALS), "scores")
+    with batches_of(spark, 32):  # a packed row may have a few hundred KB
+        found = stash(by_part(rows, "block", totals, TOTALS), "scores")
     everything = found.agg(F.sum("n_words")).first()[0] or 0
     score = F.col("score") - F.col("backed_off") * float(np.log(max(everything, 1)))
     return found.select(F.col("id").alias(id_col), "n_words", "backed_off", score.alias("log_score"))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import own_places, text_bytes
+from .columns import own_places, pieces, text_bytes
 
 HEAD, COLON, TAIL = b"### ", b": ", b" </turn>\n"
 ASSISTANT = "assistant"
@@ -78,53 +78,76 @@ def sorted_turns(conversations: DataFrame) -> DataFrame:
 def format_chats(conversations: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
     """``conv_id, part, formatted, loss_starts, loss_ends`` for each conversation.
 
+    A batch's turns are scattered into one preallocated buffer, which is the column's own: a row is a range of it.
     A conversation is one row. A longer one than ``part_bytes`` takes several rows, ``part`` 0, 1, ..,
     cut between turns, so that a conversation of any size passes through bounded memory; the loss
     ranges count from the row's begin. Turns go in order; null texts and roles are empty; a null
     ``conv_id`` is a conversation of its own; columns other than conv_id, turn, role, text are not read.
     """
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict | None = None  # the last conversation, which may go on
-
-        def row(h: dict) -> tuple:
-            return h["id"], h["part"], b"".join(h["bytes"]).decode(), h["from"], h["to"]
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["conv_id", "part", "formatted", "loss_starts", "loss_ends"])
+    def rows(turns: pa.RecordBatch, part: int) -> tuple[pa.RecordBatch, int]:
+        """The turns' conversations, the first from ``part`` on, in one buffer; and the number of the last one's parts."""
+        buffer, begin, text_from, text_to = assemble(turns.column("role"), turns.column("text"))
+        new = changes(turns.column("conv_id"))
+        number = np.zeros(turns.num_rows, np.int32)
+        starts = np.flatnonzero(new)
+        for k, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(new)], strict=True)):
+            number[a:b] = part if k == 0 else 0
+            if begin[b] - begin[a] > part_bytes:
+                low = begin[a]
+                for x in range(a, b):
+                    if begin[x + 1] - low > part_bytes and begin[x] > low:
+                        low = begin[x]
+                        new[x] = True
+                        number[x:b] += 1
+        at = np.flatnonzero(new)
+        ends = np.append(at, len(new))
+        loss = np.flatnonzero(pc.equal(turns.column("role"), ASSISTANT).fill_null(False).to_numpy(zero_copy_only=False))
+        own = begin[at[np.searchsorted(at, loss, "right") - 1]]
+        cuts = pa.array(np.searchsorted(loss, ends).astype(np.int32))
+        ranges = [pa.ListArray.from_arrays(cuts, pa.array((place[loss] - own).astype(np.int64))) for place in (text_from, text_to)]
+        formatted = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(begin[ends].astype(np.int32)), pa.py_buffer(buffer)])
+        columns = [turns.column("conv_id").take(pa.array(at)), pa.array(number[at]), formatted, *ranges]
+        return pa.RecordBatch.from_arrays(columns, ["conv_id", "part", "formatted", "loss_starts", "loss_ends"]), int(number[-1]) + 1
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                buffer, begin, text_from, text_to = assemble(some.column("role"), some.column("text"))
-                ids = some.column("conv_id").to_pylist()
-                loss = pc.equal(some.column("role"), ASSISTANT).fill_null(False).to_numpy(zero_copy_only=False)
-                new = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
-                rows = []
-                for a, b in zip(new, [*new[1:], len(ids)], strict=True):
-                    if held and held["id"] != ids[a]:
-                        rows.append(row(held))
-                        held = None
-                    for x in range(a, b):
-                        size = int(begin[x + 1] - begin[x])
-                        if held and held["size"] and held["size"] + size > part_bytes:
-                            rows.append(row(held))
-                            held = {"id": ids[a], "part": held["part"] + 1, "bytes": [], "from": [], "to": [], "size": 0}
-                        held = held or {"id": ids[a], "part": 0, "bytes": [], "from": [], "to": [], "size": 0}
-                        if loss[x]:
-                            held["from"].append(held["size"] + int(text_from[x] - begin[x]))
-                            held["to"].append(held["size"] + int(text_to[x] - begin[x]))
-                        held["bytes"].append(buffer[begin[x] : begin[x + 1]].tobytes())
-                        held["size"] += size
-                if rows:
-                    yield out(rows)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # turns of the last conversation, which may go on
+        begun: tuple[int | None, int] | None = None  # a conversation of which parts have gone out, and how many
+
+        def out(turns: pa.RecordBatch, all_out: bool) -> pa.RecordBatch:
+            nonlocal begun
+            first, last = turns.column("conv_id")[0].as_py(), turns.column("conv_id")[-1].as_py()
+            batch, parts = rows(turns, begun[1] if begun and begun[0] == first else 0)
+            begun = None if all_out else (last, parts)
+            return batch
+
+        for piece in pieces(batches, "text", part_bytes):
+            for at in range(0, piece.num_rows, 2000):
+                held.append(piece.slice(at, 2000))
+                turns = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                stop = int(np.flatnonzero(changes(turns.column("conv_id")))[-1])
+                if stop:
+                    yield out(turns.slice(0, stop), True)
+                    turns = turns.slice(stop)
+                if int(text_bytes(turns.column("text"))[1][-1]) >= part_bytes:
+                    yield out(turns, False)
+                    held = []
+                else:
+                    held = [turns]
         if held:
-            yield out([row(held)])
+            yield out(pa.Table.from_batches(held).combine_chunks().to_batches()[0], True)
 
     return sorted_turns(conversations).mapInArrow(build, FORMATTED)
 
 
+def changes(ids: pa.Array) -> np.ndarray:
+    """Where another conversation begins; null is one of its own."""
+    null, value = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+    return new
+
+
 def read_turns(formatted: bytes) -> list[tuple[bytes, bytes]]:
     """The (role, text) pairs of a formatted row."""
     out, at = [], 0

@@ -23,9 +23,11 @@ from .wordbpe import default_path, encoder, with_end
 
 @dataclass(frozen=True)
 class Limits:
+    """A sequence's capacities. All three bind: short examples run out of segments, ends of long ones out of loss-bearing tokens."""
+
     tokens: int = 2048
-    segments: int = 64
-    loss_tokens: int = 2048
+    segments: int = 16
+    loss_tokens: int = 1792
 
     @property
     def vector(self) -> np.ndarray:
@@ -121,17 +123,19 @@ def in_powers(sequence: list[tuple[int, int, int]], limits: Limits) -> list[list
     return out
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+#: An example's first ids, this part of it, are its prompt and bear no loss; what follows does, the end id included.
+PROMPT = 4
 
 
 def packed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), path: str | None = None, end: int = 1, window: int = 1 << 20) -> DataFrame:
     """A row for each piece of ``df``'s documents in the sequences.
 
     Each task packs its own documents in windows of ``window`` ids, so nothing is shuffled and memory
-    is bounded; the windows' last sequences are split into powers of two. Parts of ``limits.tokens``
-    ids are cut from long documents first. ``sequence_id`` is the task's number and its own count.
-    A null or empty text has its end id only; null ids stay null; repeated rows are packed each.
-    All ids of a document bear loss but its end id.
+    is bounded by a window and one text; sequences that aren't full are split into powers of two, which take
+    no padding. ``sequence_id`` is the task's number and its own count. ``loss_tokens`` of a piece are its ids behind
+    the first ``1 / PROMPT`` of its document. A null or empty text has its end id only; null ids stay null;
+    repeated rows are packed each; other columns are not read; an empty table gives no row.
     """
     path = path or default_path()
     size = limits.tokens
@@ -141,27 +145,26 @@ def packed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         from pyspark import TaskContext
 
         base, sequence = TaskContext.get().partitionId() << 32, 0
-        tail: list[tuple] = []  # documents of the window: id, its ids' bytes, length, how much is placed
+        held: list[tuple] = []  # documents of the window: id, its ids' bytes, length
         weight = 0
         rows: list[tuple] = []
 
-        def place(have: list[tuple[int, int, int]], docs: list[tuple]) -> None:
+        def place(have: list[tuple[int, int, int]]) -> None:
             nonlocal sequence
             offset = 0
             for i, at, n in have:
-                doc, raw, total, shift = docs[i]
-                at += shift
-                rows.append((doc, at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), total, base + sequence, offset))
+                doc, raw, total = held[i]
+                loss = max(0, at + n - max(at, total // PROMPT))
+                rows.append((doc, at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), total, base + sequence, offset, loss))
                 offset += n
             sequence += 1
 
         def flush() -> None:
-            sizes = np.array([t[2] - t[3] for t in tail], np.int64)
-            for have in pack(sizes, np.maximum(sizes - 1, 0), limits):
-                used = sum(p[2] for p in have)
-                for one in [have] if used == size else in_powers(have, limits):
-                    place(one, tail)
-            tail.clear()
+            sizes = np.array([h[2] for h in held], np.int64)
+            for have in pack(sizes, sizes - sizes // PROMPT, limits):
+                for one in [have] if sum(p[2] for p in have) == size else in_powers(have, limits):
+                    place(one)
+            held.clear()
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
@@ -173,18 +176,13 @@ def packed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             raw = memoryview(ids.astype("<u4").tobytes())
             at = 0
             for doc, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
-                own = raw[4 * at : 4 * (at + n)]
+                held.append((doc, raw[4 * at : 4 * (at + n)], n))
                 at += n
-                whole = n // size if size <= limits.loss_tokens else 0
-                for k in range(whole):
-                    place([(0, k * size, size)], [(doc, own, n, 0)])
-                if n > whole * size:
-                    tail.append((doc, own, n, whole * size))
-                    weight += n - whole * size
+                weight += n
                 if weight >= window:
                     flush()
                     weight = 0
-            tail[:] = [(d, bytes(o), n, s) for d, o, n, s in tail]
+            held[:] = [(d, bytes(o), n) for d, o, n in held]
             if rows:
                 yield out()
         flush()

@@ -114,18 +114,46 @@ def test_packing_covers_each_id_once(spark):
         assert at == s
     whole = packing.pack(np.array([60, 30, 30, 4]), np.array([1, 1, 1, 1]), limits, cut=False)
     assert sorted(len(h) for h in whole) == [2, 2]
-    rows = packing.packed_documents(odd(spark)).collect()
-    total, by_sequence = collections.Counter(), collections.defaultdict(list)
-    for r in rows:
-        total[r["doc_id"]] += r["length"]
-        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    small = packing.pack(np.full(60, 4), np.full(60, 1), limits)
+    assert all(len(h) == 5 for h in small) and len(small) == 12
+
+
+def test_packed_pieces_equal_the_library(spark):
+    texts = [*ODD, "many words " * 3000, *["tiny"] * 70, *(r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect())]
+    df = documents(spark, texts).repartition(2)
+    e = WordEncoder(default_path())
+    want = [np.array([*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in texts]
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in packing.packed_documents(df).collect():
+        part = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        n = len(want[r["doc_id"]])
+        assert r["ids_crc32"] == zlib.crc32(part.tobytes()) and r["doc_tokens"] == n and len(part) == r["length"]
+        assert r["loss_tokens"] == sum(k >= n // packing.PROMPT for k in range(r["start"], r["start"] + r["length"]))
+        by_doc[r["doc_id"]].append((r["start"], r["length"]))
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"], r["loss_tokens"]))
+    for i, ids in enumerate(want):
+        at = 0
+        for start, n in sorted(by_doc[i]):
+            assert start == at
+            at += n
+        assert at == len(ids)
+    limits = packing.Limits()
     for parts in by_sequence.values():
         at = 0
-        for o, n in sorted(parts):
+        for o, n, _ in sorted(parts):
             assert o == at
             at += n
         assert at == 2048 or at & (at - 1) == 0
-    assert total[0] == 1 and total[4] == 2 * next(r["doc_tokens"] for r in rows if r["doc_id"] == 4)
+        assert len(parts) <= limits.segments and sum(p[2] for p in parts) <= limits.loss_tokens
+    # Both limits bind: short texts end sequences by number, a long text's end by its loss.
+    short = packing.packed_documents(documents(spark, ["tiny"] * 64).coalesce(1)).groupBy("sequence_id").count().collect()
+    assert [r["count"] for r in short] == [16] * 4
+    assert not any(len(p) == 1 and p[0][1] == 2048 and p[0][2] == 2048 for p in by_sequence.values())
+    assert packing.packed_documents(documents(spark, []).limit(0)).count() == 0
+    twice = collections.Counter()
+    for r in packing.packed_documents(documents(spark, ["a b", "a b", None], [3, 3, None])).collect():
+        twice[r["doc_id"]] += r["length"]
+    assert twice == {3: 6, None: 1}
 
 
 def test_toxicity_on_held_out(spark):
@@ -206,6 +234,24 @@ def test_chat_round_trip(spark):
     assert got[None] == ([("user", "x")], []) and chat_bytes.digests(chat_bytes.format_chats(df.limit(0))).count() == 0
 
 
+def test_chat_ties_and_clashing_columns(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (2, None, "assistant", "x" * 200), (2, None, "assistant", "y" * 200)]
+    df = spark.createDataFrame([(*r, 9, "clash") for r in rows], "conv_id long, turn long, role string, text string, part int, formatted string")
+    got = {}
+    for r in chat_bytes.format_chats(df, part_bytes=120).orderBy("conv_id", "part").collect():
+        assert r["part"] == len(got.setdefault(r["conv_id"], []))
+        got[r["conv_id"]].append(r["formatted"])
+    assert [t for _, t in chat_bytes.read_turns("".join(got[1]).encode())] == [b"a", b"a", b"b"]
+    assert len(got[2]) == 2 and len(chat_bytes.read_turns("".join(got[2]).encode())) == 2
+
+
+def test_session_settings_come_back(spark):
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")}
+    backoff.backoff_scores(odd(spark), parts=3).count()
+    simhash.simhash_groups(odd(spark)).count()
+    assert before == {k: spark.conf.get(k, None) for k in before}
+
+
 def test_leaks_are_found(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(docs, bench).collect()}
