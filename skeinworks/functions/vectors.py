@@ -231,9 +231,10 @@ def spacing(affine: Column | str) -> Column:
 
 
 def format_number(x: Column | str) -> Column:
-    """Six decimals; small ones in scientific notation."""
+    """At most six decimals, one at least; 1e-5 and smaller ones in scientific notation."""
     x = col(x)
-    return F.when(F.abs(x) > 1e-5, F.round(x, 6).cast("string")).otherwise(F.format_string("%.2e", x))
+    plain = F.regexp_replace(F.format_string("%.6f", F.round(x, 6)), r"(\.\d+?)0*$", "$1")
+    return F.when(F.abs(x) > 1e-5, plain).otherwise(F.format_string("%.2e", x))
 
 
 def size_ratio(a: Column | str, b: Column | str) -> Column:

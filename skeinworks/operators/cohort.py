@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..plans.stash import stash
+
 from ..functions.student import r_to_p, t_to_p
 from ..functions.vectors import format_number
 
 CELL = ["bundle", "position"]
-#: Subjects whose design matrix is inverted on the driver, at most.
-SUBJECTS = 100_000
+#: Subjects of a cohort, at most: its table reaches the driver and is broadcast. Bundles whose sizes do so; permutations that are multiplied at once.
+SUBJECTS, BUNDLES, PORTION = 100_000, 10_000, 256
+
+
+def subject_rows(cohort: DataFrame, *columns: str) -> list[Row]:
+    """The cohort's rows by subject; more than ``SUBJECTS`` is an error."""
+    rows = cohort.select("subject", *columns).orderBy("subject").limit(SUBJECTS + 1).collect()
+    if len(rows) > SUBJECTS:
+        raise ValueError(f"over {SUBJECTS} subjects")
+    return rows
+
+
+def small(cohort: DataFrame, *columns: str) -> DataFrame:
+    """The cohort as a broadcast of checked size."""
+    return F.broadcast(cohort.sparkSession.createDataFrame(subject_rows(cohort, *columns), cohort.select("subject", *columns).schema))
 
 
 def design(cohort: DataFrame, confounds: list[str], group: str | None = None) -> DataFrame:
@@ -21,10 +38,8 @@ def design(cohort: DataFrame, confounds: list[str], group: str | None = None) ->
     to the driver; more than ``SUBJECTS`` is an error.
     """
     names = [*confounds, *([group] if group else [])]
-    rows = cohort.select("subject", *(F.col(c).cast("double") for c in names)).orderBy("subject").limit(SUBJECTS + 1).collect()
-    if len(rows) > SUBJECTS:
-        raise ValueError(f"over {SUBJECTS} subjects")
-    x = np.array([[1.0, *r[1:]] for r in rows])
+    rows = subject_rows(cohort, *names)
+    x = np.array([[1.0, *map(float, r[1:])] for r in rows])
     inverse = np.linalg.pinv(x)[1 : 1 + len(confounds)]
     return cohort.sparkSession.createDataFrame([(r[0], [float(v) for v in inverse[:, i]]) for i, r in enumerate(rows)], f"subject {dict(cohort.dtypes)['subject']}, w array<double>")
 
@@ -39,7 +54,8 @@ def unconfound(values: DataFrame, cohort: DataFrame, confounds: list[str], group
     n = cohort.count()
     joined = values.join(F.broadcast(w), "subject")
     slopes = joined.groupBy(*by).agg(F.count("*").alias("n_"), *(F.sum(F.col("w")[k] * F.col(value)).alias(f"b{k}_") for k in range(len(confounds))))
-    back = values.join(F.broadcast(cohort.select("subject", *(F.col(c).cast("double").alias(f"x{k}_") for k, c in enumerate(confounds)))), "subject")
+    named = cohort.select("subject", *(F.col(c).cast("double").alias(f"x{k}_") for k, c in enumerate(confounds)))
+    back = values.join(small(named, *named.columns[1:]), "subject")
     fitted = sum((F.col(f"b{k}_") * F.col(f"x{k}_") for k in range(1, len(confounds))), F.col("b0_") * F.col("x0_"))
     return back.join(slopes.where(F.col("n_") == n), by).withColumn(value, F.col(value) - fitted).select(*values.columns)
 
@@ -66,22 +82,22 @@ def t_statistics(df: DataFrame, by: list[str], value: str, group: str) -> DataFr
 
 def ttest_ind(values: DataFrame, cohort: DataFrame, by: list[str] | None = None, value: str = "mean", group: str = "grp") -> DataFrame:
     """Student's t of group 0 less group 1 and its two-sided p, by cell; null where undefined."""
-    joined = values.join(F.broadcast(cohort.select("subject", group)), "subject")
+    joined = values.join(small(cohort, group), "subject")
     return t_statistics(joined, by or CELL, value, group).withColumn("p", t_to_p(F.col("t"), F.col("df")))
 
 
 def pearson(values: DataFrame, cohort: DataFrame, by: list[str] | None = None, value: str = "mean", target: str = "target") -> DataFrame:
     """Correlation with the target and its two-sided p, by cell."""
-    joined = values.join(F.broadcast(cohort.select("subject", target)), "subject")
+    joined = values.join(small(cohort, target), "subject")
     stats = joined.groupBy(*(by or CELL)).agg(F.nanvl(F.corr(value, target), F.lit(None).cast("double")).alias("r"), F.count("*").alias("n"))
     return stats.withColumn("p", r_to_p(F.col("r"), F.col("n")))
 
 
 def permutations(cohort: DataFrame, nperm: int, seed: int, column: str) -> DataFrame:
     """C4: ``perm, subject, label``: the column's values dealt out anew for each permutation, by the order of md5(seed:perm:subject)."""
-    fixed = cohort.select("subject", F.col(column).alias("label"))
-    places = fixed.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("subject"))).select("k", "label")
-    draws = fixed.select("subject").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(nperm - 1))))
+    rows = subject_rows(cohort, column)
+    places = cohort.sparkSession.createDataFrame([(k, r[1]) for k, r in enumerate(rows, 1)], f"k int, label {dict(cohort.dtypes)[column]}")
+    draws = small(cohort).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(nperm - 1))))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("subject").cast("string")))
     order = Window.partitionBy("perm").orderBy(key, "subject")
     return draws.withColumn("k", F.row_number().over(order)).join(F.broadcast(places), "k").select("perm", "subject", "label")
@@ -100,82 +116,118 @@ def permutation_stats(values: DataFrame, perms: DataFrame, mode: str, by: list[s
     return joined.groupBy("perm", *by).agg(F.corr(value, "label").alias("r"), F.count("*").alias("n"))
 
 
-def permutation_matrix(values: DataFrame, perms: DataFrame, mode: str, by: list[str] | None = None, value: str = "mean", family: list[str] | None = None) -> DataFrame:
-    """C5 and the first half of C6 at speed: ``family.., perm, stat_max, stat_min, abs_max`` for blocks of cells.
+def dealt(seed: int, perms: range, subjects: list[str], labels: np.ndarray) -> np.ndarray:
+    """The labels of some permutations, a row each, over ascending subjects: those of :func:`permutations`."""
+    out = np.empty((len(perms), len(subjects)))
+    for row, perm in enumerate(perms):
+        keys = [hashlib.md5(f"{seed}:{perm}:{s}".encode()).hexdigest() for s in subjects]
+        out[row, sorted(range(len(subjects)), key=keys.__getitem__)] = labels
+    return out
+
+
+def permutation_matrix(values: DataFrame, cohort: DataFrame, column: str, nperm: int, seed: int, mode: str, by: list[str] | None = None, value: str = "mean", family: list[str] | None = None) -> DataFrame:
+    """C5 and the first half of C6 at speed: ``family.., perm, df, stat_max, stat_min, abs_max`` for blocks of cells.
 
-    A task multiplies the permutations' labels (permutations x subjects, a few MB) with its cells'
-    values. Cells without every subject are dropped. The extremes over cells are what a
-    family-wise correction needs, so no row of permutations x cells is made.
+    A task deals the labels out itself, ``PORTION`` permutations at a time, and multiplies them with its
+    cells' values; only the cohort's subjects and labels, at most ``SUBJECTS``, go along. A cell counts
+    the subjects that it has, so cells differ in degrees of freedom; the extremes are kept for each ``df``, and
+    no row of permutations x cells is made. An undefined statistic counts as 0.
     """
     by, family = by or CELL, family or []
     import pandas as pd
 
-    rows = perms.orderBy("perm", "subject").toPandas()
-    subjects = np.sort(rows["subject"].unique())
-    labels = rows.pivot(index="perm", columns="subject", values="label").to_numpy(float)
-    shared = values.sparkSession.sparkContext.broadcast(labels)
-    n = len(subjects)
-    packed = values.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("subject", value))).alias("v_")).where(F.size("v_") == n)
-    names = [*family, "perm", "stat_max", "stat_min", "abs_max"]
+    rows = subject_rows(cohort, column)
+    subjects, labels = [str(r[0]) for r in rows], np.array([float(r[1]) for r in rows])
+    place = {r[0]: k for k, r in enumerate(rows)}
+    shared = values.sparkSession.sparkContext.broadcast((subjects, labels, place))
+    packed = values.groupBy(*by).agg(F.collect_list(F.struct("subject", value)).alias("v_"))
+    names = [*family, "perm", "df", "stat_max", "stat_min", "abs_max"]
     kinds = dict(values.dtypes)
 
     def work(frames):
-        x = shared.value
+        subjects, labels, place = shared.value
         for pdf in frames:
-            for key, part in pdf.groupby(family, sort=False) if family else [((), pdf)]:
-                y = np.array([[v[value] for v in row] for row in part["v_"]], float)
-                stat = permuted_t(x, y) if mode == "group" else permuted_r(x, y)
-                stat = np.where(np.isfinite(stat), stat, 0.0)
-                out = pd.DataFrame({"perm": np.arange(len(x)), "stat_max": stat.max(1), "stat_min": stat.min(1), "abs_max": np.abs(stat).max(1)})
-                for c, k in zip(family, key if isinstance(key, tuple) else (key,), strict=True):
-                    out[c] = k
-                yield out[names]
-
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in family), "perm int, stat_max double, stat_min double, abs_max double"])
+            groups = [(k if isinstance(k, tuple) else (k,), part) for k, part in pdf.groupby(family, sort=False)] if family else [((), pdf)]
+            matrices = []
+            for key, part in groups:
+                y = np.full((len(part), len(subjects)), np.nan)
+                for i, row in enumerate(part["v_"]):
+                    for v in row:
+                        if v["subject"] in place:
+                            y[i, place[v["subject"]]] = v[value]
+                matrices.append((key, y))
+            for low in range(0, nperm, PORTION):
+                perms = range(low, min(nperm, low + PORTION))
+                x = dealt(seed, perms, subjects, labels)
+                for key, y in matrices:
+                    stat = permuted_t(x, y) if mode == "group" else permuted_r(x, y)
+                    stat = np.where(np.isfinite(stat), stat, 0.0)
+                    df = np.isfinite(y).sum(1) - 2
+                    for d in np.unique(df):
+                        own = stat[:, df == d]
+                        out = pd.DataFrame({"perm": np.arange(perms.start, perms.stop), "df": int(d), "stat_max": own.max(1), "stat_min": own.min(1), "abs_max": np.abs(own).max(1)})
+                        for c, k in zip(family, key, strict=True):
+                            out[c] = k
+                        yield out[names]
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in family), "perm int, df int, stat_max double, stat_min double, abs_max double"])
     part = packed.select(*family, "v_").mapInPandas(work, schema)
-    return part.groupBy(*family, "perm").agg(F.max("stat_max").alias("stat_max"), F.min("stat_min").alias("stat_min"), F.max("abs_max").alias("abs_max"))
+    return part.groupBy(*family, "perm", "df").agg(F.max("stat_max").alias("stat_max"), F.min("stat_min").alias("stat_min"), F.max("abs_max").alias("abs_max"))
+
+
+def centred(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values less their cell's mean, 0 where a subject has none; and who has one."""
+    have = np.isfinite(y)
+    n = np.maximum(have.sum(1, keepdims=True), 1)
+    filled = np.where(have, y, 0.0)
+    return np.where(have, filled - filled.sum(1, keepdims=True) / n, 0.0), have.astype(float)
 
 
 def permuted_t(labels: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Student's t for each permutation and cell; ``y`` is cells x subjects."""
-    y = y - y.mean(1, keepdims=True)
-    n1 = labels.sum(1)[:, None]
-    n0 = labels.shape[1] - n1
+    """Student's t for each permutation and cell; ``y`` is cells x subjects, NaN where a subject has no value."""
+    y, have = centred(y)
+    n = have.sum(1)[None]
+    n1 = labels @ have.T
+    n0 = n - n1
     s1 = labels @ y.T
-    s0 = y.sum(1)[None] - s1
-    q = (y * y).sum(1)[None]
-    ss = q - s1 * s1 / n1 - s0 * s0 / n0
-    var = np.maximum(ss, 0) / (labels.shape[1] - 2) * (1 / n0 + 1 / n1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return (s0 / n0 - s1 / n1) / np.sqrt(var)
+        ss = (y * y).sum(1)[None] - s1 * s1 / n1 - s1 * s1 / n0
+        var = np.maximum(ss, 0) / (n - 2) * (1 / n0 + 1 / n1)
+        t = (-s1 / n0 - s1 / n1) / np.sqrt(var)
+    return np.where((n0 > 0) & (n1 > 0) & (n > 2) & (ss > 1e-18), t, np.nan)
 
 
 def permuted_r(labels: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pearson's r for each permutation and cell, likewise."""
     x = labels - labels.mean(1, keepdims=True)
-    y = y - y.mean(1, keepdims=True)
+    y, have = centred(y)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return (x @ y.T) / np.sqrt((x * x).sum(1)[:, None] * (y * y).sum(1)[None])
+        sx = x @ have.T
+        xx = (x * x) @ have.T - sx * sx / have.sum(1)[None]
+        return (x @ y.T) / np.sqrt(xx * (y * y).sum(1)[None])
 
 
 def pick(df: DataFrame, value: str, alpha: float, nperm: int, family: list[str] | None = None) -> DataFrame:
-    """The value at index round(alpha * nperm), from 0, of the ascending order in each family."""
-    family = family or []
-    w = Window.partitionBy(*family).orderBy(value, "perm") if family else Window.partitionBy(F.lit(0)).orderBy(value, "perm")
+    """The value at index round(alpha * nperm), from 0, of the ascending order in each family; a family has a row for each permutation."""
     at = min(round(alpha * nperm), nperm - 1)
+    if not family:
+        return df.orderBy(value).limit(at + 1).orderBy(F.desc(value)).limit(1).select(value)
+    w = Window.partitionBy(*family).orderBy(value, "perm")
     return df.withColumn("r_", F.row_number().over(w) - 1).where(F.col("r_") == at).select(*family, F.col(value))
 
 
-def alpha_fwe(extremes: DataFrame, df: int, alpha: float, nperm: int, family: list[str] | None = None) -> DataFrame:
-    """The corrected alpha: the least p of each permutation, in order, at alpha. With one ``df``, least p is largest |t|."""
+def alpha_fwe(extremes: DataFrame, alpha: float, nperm: int, family: list[str] | None = None, mode: str = "group") -> DataFrame:
+    """The corrected alpha: the least p of each permutation, in order, at alpha. For one ``df``, the least p is that of the largest statistic."""
     family = family or []
-    least = extremes.withColumn("neg_", -F.col("abs_max"))
-    found = pick(least, "neg_", alpha, nperm, family)
-    return found.withColumn("alpha_fwe", t_to_p(-F.col("neg_"), F.lit(df))).drop("neg_")
+    p = t_to_p(F.col("abs_max"), F.col("df")) if mode == "group" else r_to_p(F.col("abs_max"), F.col("df") + 2)
+    least = extremes.withColumn("p_", F.coalesce(p, F.lit(1.0))).groupBy(*family, "perm").agg(F.min("p_").alias("alpha_fwe"))
+    return pick(least, "alpha_fwe", alpha, nperm, family)
 
 
 def stat_fwe(extremes: DataFrame, alpha: float, nperm: int, family: list[str] | None = None) -> DataFrame:
     """The signed statistic's maximum of each permutation, in descending order, at alpha."""
-    down = extremes.withColumn("neg_", -F.col("stat_max"))
+    family = family or []
+    down = extremes.groupBy(*family, "perm").agg((-F.max("stat_max")).alias("neg_"))
     return pick(down, "neg_", alpha, nperm, family).withColumn("stat_fwe", -F.col("neg_")).drop("neg_")
 
 
@@ -186,7 +238,7 @@ def runs(df: DataFrame, hit: Column, by: list[str]) -> DataFrame:
     return marked.withColumn("run", F.count("*").over(Window.partitionBy(*by, "island")))
 
 
-def significant_areas(p: DataFrame, least: int, alpha: float, by: list[str] | None = None) -> DataFrame:
+def significant_areas(p: DataFrame, least: int | Column, alpha: float | Column, by: list[str] | None = None) -> DataFrame:
     """``significant`` 1 on runs of at least ``least`` positions with p <= alpha."""
     by = by or ["bundle"]
     found = runs(p, F.col("p") <= alpha, by).where(F.col("run") >= least).select(*by, "position", F.lit(1).alias("significant"))
@@ -206,24 +258,62 @@ def cluster_fwe(perm_p: DataFrame, thr: float, alpha: float, nperm: int, family:
     return pick(longest, "neg_", alpha, nperm, family).withColumn("cluster_fwe", -F.col("neg_")).drop("neg_")
 
 
-def result_table(stats: DataFrame, corrected: DataFrame, stat: str = "t", joint: bool = False) -> DataFrame:
-    """Bundle, corrected alpha, least p and the statistic there (the first position of several), as text."""
-    best = stats.where(F.col("p").isNotNull()).groupBy("bundle").agg(F.min(F.struct("p", "position", stat)).alias("b_"))
-    joined = best.crossJoin(F.broadcast(corrected)) if joint else best.join(corrected, "bundle")
-    return joined.select("bundle", format_number("alpha_fwe").alias("alphaFWE"), format_number(F.col("b_.p")).alias("min_pvalue"), format_number(F.col(f"b_.{stat}")).alias("t_value"))
-
-
-def significant_mask(stats: DataFrame, alpha: Column | float) -> DataFrame:
-    """Marks p <= alpha and gives -log10 p."""
-    return stats.withColumns({"significant": F.coalesce((F.col("p") <= alpha).cast("int"), F.lit(0)), "detail": -F.log10("p")})
-
+def with_correction(stats: DataFrame, corrected: DataFrame, joint: bool) -> DataFrame:
+    """``stats`` with its bundle's corrected threshold, or the one (a single row) for all."""
+    return stats.crossJoin(F.broadcast(corrected.limit(1))) if joint else stats.join(corrected, "bundle")
 
-def cohort_test(profiles: DataFrame, cohort: DataFrame, nperm: int = 1000, alpha: float = 0.05, seed: int = 1, joint: bool = True) -> DataFrame:
-    """C7 and the whole chain for two groups: t and p by cell, corrected over all bundles (``joint``) or by bundle, as a result table."""
-    stats = ttest_ind(profiles, cohort)
-    perms = permutations(cohort, nperm, seed, "grp")
-    family = [] if joint else ["bundle"]
-    extremes = permutation_matrix(profiles, perms, "group", family=family)
-    df = cohort.count() - 2
-    return result_table(stats, alpha_fwe(extremes, df, alpha, nperm, family), joint=joint)
 
+def result_table(stats: DataFrame, corrected: DataFrame, stat: str = "t", joint: bool = False) -> DataFrame:
+    """Bundle, corrected alpha or cluster size, least p (alpha only) and the statistic there (the first position of several), as text."""
+    best = stats.where(F.col("p").isNotNull()).groupBy("bundle").agg(F.min(F.struct("p", "position", stat)).alias("b_"))
+    joined = with_correction(best, corrected, joint)
+    at_best = format_number(F.col(f"b_.{stat}")).alias("t_value")
+    if "cluster_fwe" in corrected.columns:
+        return joined.select("bundle", F.col("cluster_fwe").alias("clusterFWE"), at_best)
+    return joined.select("bundle", format_number("alpha_fwe").alias("alphaFWE"), format_number(F.col("b_.p")).alias("min_pvalue"), at_best)
+
+
+def significant_mask(stats: DataFrame, corrected: DataFrame, alpha: float = 0.05, joint: bool = False) -> DataFrame:
+    """``significant`` on single positions with p <= the corrected alpha, or on runs of the corrected size with p <= ``alpha``; and -log10 p."""
+    marked = with_correction(stats, corrected, joint)
+    if "cluster_fwe" in corrected.columns:
+        found = significant_areas(marked, F.col("cluster_fwe"), alpha)
+    else:
+        found = significant_areas(marked, 1, F.col("alpha_fwe"))
+    return found.withColumn("detail", -F.log10("p"))
+
+
+def end_to_end(cells: DataFrame) -> DataFrame:
+    """``position`` counted on from bundle to bundle, in the order of their names, so that all of them are one sequence."""
+    sizes = cells.groupBy("bundle").agg(F.max("position").alias("hi")).orderBy("bundle").limit(BUNDLES + 1).collect()
+    if len(sizes) > BUNDLES:
+        raise ValueError(f"over {BUNDLES} bundles")
+    begin, at = {}, 0
+    for r in sizes:
+        begin[r["bundle"]] = at
+        at += r["hi"] + 1
+    table = cells.sparkSession.createDataFrame(list(begin.items()), f"bundle {dict(cells.dtypes)['bundle']}, begin_ long")
+    return cells.join(F.broadcast(table), "bundle").withColumn("position", F.col("position") + F.col("begin_")).drop("begin_")
+
+
+def corrected_threshold(profiles: DataFrame, cohort: DataFrame, nperm: int, alpha: float, seed: int, joint: bool, mode: str, correction: str) -> DataFrame:
+    """``alpha_fwe`` or ``cluster_fwe`` over all bundles at once (one row) or by bundle."""
+    label, family = ("grp" if mode == "group" else "target"), ([] if joint else ["bundle"])
+    if correction == "alpha":
+        return alpha_fwe(permutation_matrix(profiles, cohort, label, nperm, seed, mode, family=family), alpha, nperm, family, mode)
+    found = permutation_stats(profiles, permutations(cohort, nperm, seed, label), mode)
+    p = found.withColumn("p", t_to_p(F.col("t"), F.col("df")) if mode == "group" else r_to_p(F.col("r"), F.col("n")))
+    return cluster_fwe(end_to_end(p) if joint else p, alpha, alpha, nperm, family)
+
+
+def cohort_test(profiles: DataFrame, cohort: DataFrame, nperm: int = 1000, alpha: float = 0.05, seed: int = 1, joint: bool = True, mode: str = "group", correction: str = "alpha", confounds: list[str] | None = None) -> DataFrame:
+    """The whole chain as a result table: confounds taken out, a statistic and p by cell, corrected over all bundles (``joint``) or by bundle.
+
+    ``mode``: ``group`` (column grp, Student's t) or ``correlation`` (column target, Pearson's r). ``correction``:
+    ``alpha`` or ``cluster``.
+    """
+    if confounds:
+        profiles = stash(unconfound(profiles, cohort, confounds, "grp" if mode == "group" else None), "unconfounded")
+    stats = ttest_ind(profiles, cohort) if mode == "group" else pearson(profiles, cohort)
+    corrected = corrected_threshold(profiles, cohort, nperm, alpha, seed, joint, mode, correction)
+    return result_table(stats, corrected, "t" if mode == "group" else "r", joint)

@@ -10,25 +10,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import _euler, flip_component, let, rotate_euler, rotate_tensor, tensor_to_vec, unit_hash, vec_norm, vec_to_tensor
+from ..plans.stash import numbered
 from . import voxels as V
 from .voxels import CELL, IMAGE
 
 
 def fold_split(subjects: DataFrame, size: int, folds: int = 5, turn: int = 0) -> DataFrame:
     """Chunks of ``size`` in the order of ids; with ``turn`` k, chunk (k + 3) mod 5 validates, (k + 4) mod 5 tests, the rest train."""
-    w = Window.partitionBy(F.lit(0)).orderBy("subject")
-    fold = F.least(F.floor((F.row_number().over(w) - 1) / size), F.lit(folds - 1)).cast("int")
+    fold = F.least(F.floor((F.col("k_") - 1) / size), F.lit(folds - 1)).cast("int")
     part = F.pmod(F.col("fold") - turn, F.lit(folds))
-    return subjects.select("subject").distinct().withColumn("fold", fold).withColumn("part", F.when(part == folds - 2, "validate").when(part == folds - 1, "test").otherwise("train"))
+    ranked = numbered(subjects.select("subject").distinct(), ["subject"], "k_").withColumn("fold", fold).drop("k_")
+    return ranked.withColumn("part", F.when(part == folds - 2, "validate").when(part == folds - 1, "test").otherwise("train"))
 
 
 def prefix_split(subjects: DataFrame, share: float) -> DataFrame:
     """The first ``share`` of the subjects train, the others validate."""
-    w = Window.partitionBy(F.lit(0)).orderBy("subject")
-    one = subjects.select("subject").distinct()
-    n = one.agg(F.count("*").alias("n_"))
-    ranked = one.withColumn("k_", F.row_number().over(w)).crossJoin(F.broadcast(n))
-    return ranked.select("subject", F.when(F.col("k_") <= F.floor(F.col("n_") * share), "train").otherwise("validate").alias("part"))
+    ranked = numbered(subjects.select("subject").distinct(), ["subject"], "k_")
+    return ranked.select("subject", F.when(F.col("k_") <= math.floor(ranked.count() * share), "train").otherwise("validate").alias("part"))
 
 
 def choose_variant(df: DataFrame, weights: dict[str, float], seed: int, key: str = "subject") -> DataFrame:
@@ -104,7 +102,7 @@ def prepare_dataset(raw: DataFrame, reference: str) -> DataFrame:
 def training_slices(df: DataFrame, k: int, axis: str, seed: int) -> DataFrame:
     """The cells of ``k`` slices of each subject, drawn by hash."""
     some = sample_without_replacement(df.select("subject", axis).distinct(), k, seed, ["subject"], ["subject", axis])
-    return df.join(F.broadcast(some), ["subject", axis], "left_semi")
+    return df.join(some, ["subject", axis], "left_semi")
 
 
 def augment_flip_vectors(df: DataFrame, seed: int, p: float = 0.5, key: str = "subject", v: str = "v") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import vec_cos, vec_norm
+from ..plans.stash import stash
 from . import lines as L
 from .voxels import CELL, dilate
 
@@ -16,7 +17,7 @@ def means(df: DataFrame, by: list[str], value: str = "sample") -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("n"))
 
 
-def profile(lines: DataFrame, image: DataFrame, starts: DataFrame, shape: tuple[int, int, int], n: int = 100, method: str = "distance_map", dilation: int = 2, least: int = 5, trim: bool = True, bundles: DataFrame | None = None) -> DataFrame:
+def profile(lines: DataFrame, image: DataFrame, starts: DataFrame, shape: tuple[int, int, int], n: int = 100, method: str = "distance_map", dilation: int = 2, least: int = 5, trim: bool = True, bundles: DataFrame | None = None, image_on: list[str] | None = None) -> DataFrame:
     """``subject, bundle, position, mean, std, n``: the image sampled along each bundle's lines.
 
     Lines are turned to begin in the grown start cells, resampled to ``n`` points and sampled linearly.
@@ -24,6 +25,7 @@ def profile(lines: DataFrame, image: DataFrame, starts: DataFrame, shape: tuple[
     segment without points gets the image at that point of the line, with n = 0. ``equal_dist``: by
     index. ``cutting_plane``: lines resampled at one step and aligned at the point nearest to the
     mean line's middle. ``weighted``: Gaussian weights by distance from the mean point of each index.
+    ``image_on`` are the columns besides the cell that image and lines share ([]: one image for all).
     A bundle of ``bundles`` (or of ``lines``) with fewer lines than ``least`` has a profile of zeros. ``trim``
     drops the first and last position and counts from 0 again.
     """
@@ -31,13 +33,13 @@ def profile(lines: DataFrame, image: DataFrame, starts: DataFrame, shape: tuple[
     grown = dilate(starts.select(*BUNDLE, *CELL), dilation, shape)
     oriented = L.orient_to_start(lines, grown, shape)
     enough = oriented.groupBy(*BUNDLE).agg(F.count("*").alias("k_")).where(F.col("k_") >= least).select(*BUNDLE)
-    even = L.resample(oriented.join(enough, BUNDLE, "left_semi"), n)
+    even = stash(L.resample(oriented.join(enough, BUNDLE, "left_semi"), n), "even")
     points = L.explode_points(even)
     core = L.centroid(even)
     if method == "cutting_plane":
-        found = cutting_plane(oriented.join(enough, BUNDLE, "left_semi"), core, image, shape, n)
+        found = cutting_plane(oriented.join(enough, BUNDLE, "left_semi"), core, image, shape, n, image_on)
     else:
-        sampled = L.sample_trilinear(points, image, shape)
+        sampled = L.sample_trilinear(points, image, shape, image_on)
         if method == "equal_dist":
             found = means(sampled.withColumnRenamed("pos", "position"), [*BUNDLE, "position"])
         elif method == "weighted":
@@ -45,7 +47,7 @@ def profile(lines: DataFrame, image: DataFrame, starts: DataFrame, shape: tuple[
         else:
             near = L.nearest_point(sampled, core)
             seg = means(near.withColumnRenamed("segment", "position"), [*BUNDLE, "position"])
-            at_core = L.sample_trilinear(core, image, shape).select(*BUNDLE, F.col("pos").alias("position"), F.col("sample"))
+            at_core = L.sample_trilinear(core, image, shape, image_on).select(*BUNDLE, F.col("pos").alias("position"), F.col("sample"))
             found = at_core.join(seg, [*BUNDLE, "position"], "left").select(*BUNDLE, "position", F.coalesce("mean", "sample").alias("mean"), F.coalesce("std", F.lit(0.0)).alias("std"), F.coalesce("n", F.lit(0)).alias("n"))
     grid = everyone.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     full = grid.join(found, [*BUNDLE, "position"], "left").fillna(0.0, ["mean", "std"]).fillna(0, ["n"])
@@ -66,10 +68,10 @@ def segment_index_from_middle(points: DataFrame, target: DataFrame, n: int, base
     return idx.where((F.col("segment") >= base - n // 2) & (F.col("segment") < base + n - n // 2))
 
 
-def cutting_plane(lines: DataFrame, core: DataFrame, image: DataFrame, shape: tuple[int, int, int], n: int) -> DataFrame:
+def cutting_plane(lines: DataFrame, core: DataFrame, image: DataFrame, shape: tuple[int, int, int], n: int, image_on: list[str] | None = None) -> DataFrame:
     points = L.explode_points(L.resample_same_step(lines, n))
     target = core.where(F.col("pos") == n // 2).drop("pos")
-    cut = segment_index_from_middle(L.sample_trilinear(points, image, shape), target, n)
+    cut = segment_index_from_middle(L.sample_trilinear(points, image, shape, image_on), target, n)
     return means(cut.withColumn("position", F.col("segment") - 1000 + n // 2), [*BUNDLE, "position"])
 
 

@@ -352,6 +352,34 @@ def unscale(df: DataFrame, how: dict) -> DataFrame:
     return moved.where(inside(how["shape"]))
 
 
+#: Fixed values: (shape, spacing in mm) to the shape after resampling, where the model's cube begins in it (below 0: padded), and the cube.
+RECIPES = {
+    ((145, 174, 145), 1.25): ((145, 174, 145), (1, 15, 1), (144, 144, 144)),
+    ((73, 87, 73), 1.25): ((146, 174, 146), (1, 15, 1), (144, 144, 144)),
+    ((91, 109, 91), 1.25): ((146, 174, 146), (1, 15, 1), (144, 144, 144)),
+    ((145, 174, 145), 2.0): ((90, 108, 90), (5, 14, 5), (80, 80, 80)),
+    ((90, 108, 90), 2.0): ((90, 108, 90), (5, 14, 5), (80, 80, 80)),
+    ((91, 109, 91), 2.0): ((91, 109, 91), (0, 9, 0), (91, 91, 91)),
+    ((145, 174, 145), 2.5): ((73, 87, 73), (-4, 4, -4), (80, 80, 80)),
+    ((73, 87, 73), 2.5): ((73, 87, 73), (-4, 4, -4), (80, 80, 80)),
+    ((78, 93, 75), 2.5): ((78, 93, 75), (-1, 7, -3), (80, 80, 80)),
+}
+
+
+def to_model_shape(df: DataFrame, shape: Shape, recipe: tuple[Shape, Shape, Shape]) -> DataFrame:
+    """Resampled (nearest), then cut and padded to the model's cube; one of ``RECIPES``, or an own one."""
+    between, begin, cube = recipe
+    scaled = resample_nearest(df, shape, between) if between != shape else df
+    return scaled.withColumns({c: F.col(c) - b for c, b in zip(CELL, begin, strict=True)}).where(inside(cube))
+
+
+def from_model_shape(df: DataFrame, shape: Shape, recipe: tuple[Shape, Shape, Shape]) -> DataFrame:
+    """G17 the other way; what had been cut off is absent."""
+    between, begin, _ = recipe
+    placed = df.withColumns({c: F.col(c) + b for c, b in zip(CELL, begin, strict=True)}).where(inside(between))
+    return resample_nearest(placed, between, shape) if between != shape else placed
+
+
 def change_spacing(df: DataFrame, shape: Shape, old: float, new: float) -> DataFrame:
     """Nearest lookup in a grid of another spacing over the same extent."""
     for c, n in zip(CELL, shape, strict=True):

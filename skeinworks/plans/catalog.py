@@ -53,21 +53,94 @@ def r6v(v, name: str):
 # Sources, catalogue, sampling
 
 
-@query(sql("SELECT position, A, N, R FROM (SELECT * FROM (SELECT position, bundle, round(mean,6) AS mean FROM profiles WHERE subject=1) PIVOT (first(mean) FOR bundle IN ('A','N','R') GROUP BY position))", "profiles"))
+#: A number as :func:`format_number` writes it; p of Student's t, in closed form for whole degrees of freedom.
+FMT = r"CASE WHEN abs({x})>1e-5 THEN regexp_replace(printf('%.6f',CAST(round({x},6) AS DOUBLE)),'(\.\d+?)0*$','\1') ELSE printf('%.2e',CAST({x} AS DOUBLE)) END"
+T2P = """CASE WHEN ({v})%2=0 THEN 1-abs({t})/sqrt({v}+{t}*{t})*list_sum(list_transform(range(0,CAST(({v})//2 AS BIGINT)), lambda k: exp(lgamma(k+0.5)-lgamma(k+1))/sqrt(pi())*pow(({v})/({v}+{t}*{t}),k)))
+ ELSE 1-2/pi()*(atan(abs({t})/sqrt({v}))+CASE WHEN ({v})>1 THEN abs({t})/sqrt({v}+{t}*{t})*list_sum(list_transform(range(0,CAST((({v})-1)//2 AS BIGINT)), lambda k: exp(lgamma(k+1)-lgamma(k+1.5))*sqrt(pi())/2*pow(({v})/({v}+{t}*{t}),k+0.5))) ELSE 0 END) END"""
+
+
+def own_folder(spark, name):
+    import uuid
+
+    from .stash import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(sql("SELECT CAST(subject AS VARCHAR) AS subject_id, CAST(grp AS DOUBLE) AS \"group\", CAST(age AS DOUBLE) AS age, CAST(sex AS DOUBLE) AS sex, 'mean' AS directive, 'group' AS mode FROM cohort", "cohort"))
+def s1_read_cohort(spark, d):
+    from ..sources.cohort_files import read_cohort
+
+    path = own_folder(spark, "cohort")
+    rows = fx.cohort(spark, d).select(F.concat_ws(" ", "subject", "grp", "age", "sex").alias("value"))
+    head = spark.createDataFrame([("# value = mean",), ("subject_id group age sex",)], "value string")
+    head.union(rows).write.text(path)
+    table, directives, mode = read_cohort(spark, path)
+    return table.select("*", F.lit(directives["value"]).alias("directive"), F.lit(mode).alias("mode"))
+
+
+@query(sql("SELECT CAST(subject AS VARCHAR) AS subject, bundle, CAST(row_number() OVER (PARTITION BY subject,bundle ORDER BY position)-1 AS INT) AS position, round(mean,6) AS mean FROM (SELECT s.subject,s.position,b.bundle,p.mean FROM (SELECT DISTINCT subject,position FROM profiles) s CROSS JOIN (SELECT DISTINCT bundle FROM profiles) b LEFT JOIN profiles p ON p.subject=s.subject AND p.position=s.position AND p.bundle=b.bundle)", "profiles"))
+def s2_read_profiles(spark, d):
+    from ..sources.cohort_files import read_profiles, wide_profiles
+
+    path = own_folder(spark, "wide")
+    wide = wide_profiles(fx.profiles(spark, d), ["A", "N", "R"], by=("subject",)).repartition("subject").sortWithinPartitions("subject", "position").drop("position")
+    wide.write.partitionBy("subject").csv(path, sep=";", header=True)
+    long = read_profiles(spark, f"{path}/subject=*/*.csv", r"subject=([^/]*)/")
+    # Missing cells of the wide table read back as null.
+    return long.select("subject", "bundle", "position", r6("mean"))
+
+
+@query(sql("SELECT subject, position, A, N, R FROM (SELECT * FROM (SELECT subject, position, bundle, round(mean,6) AS mean FROM profiles) PIVOT (first(mean) FOR bundle IN ('A','N','R') GROUP BY subject, position))", "profiles"))
 def s3_wide_profiles(spark, d):
     from ..sources.cohort_files import wide_profiles
 
-    return wide_profiles(rounded(fx.profiles(spark, d).where("subject = 1"), "mean"), ["A", "N", "R"])
+    return wide_profiles(rounded(fx.profiles(spark, d), "mean"), ["A", "N", "R"], by=("subject",))
+
+
+@query(sql("SELECT CAST(row_number() OVER (ORDER BY vec_id)-1 AS INT) AS idx, CAST(1000*(vec_id%4) AS DOUBLE) AS bval, round(pred[1],5) AS gx, round(pred[2],5) AS gy, round(pred[3],5) AS gz FROM vectors", "vectors"))
+def s4_ingest_gradients(spark, d):
+    from ..sources.cohort_files import ingest_gradients
+
+    path = own_folder(spark, "gradients")
+    v = fx.vectors(spark, d)
+    row = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", c.cast("double").alias("v")))), lambda s: F.format_string("%.15f", s["v"])), " ")
+    v.agg(row(F.col("vec_id") % 4 * 1000).alias("value")).write.text(f"{path}/bvals")
+    v.agg(F.array_join(F.array(*(row(F.col("pred")[k]) for k in range(3))), "\n").alias("value")).write.text(f"{path}/bvecs")
+    out = ingest_gradients(spark, f"{path}/bvals", f"{path}/bvecs")
+    return out.select("idx", "bval", *(F.round(c, 5).alias(c) for c in ("gx", "gy", "gz")))
+
+
+@query(sql("SELECT bundle, " + FMT.format(x="avg(mean)") + " AS mean, " + FMT.format(x="(round(max(mean),3)*1e-6)") + " AS small, CAST(count(*) AS VARCHAR) AS n FROM profiles GROUP BY bundle", "profiles"))
+def s9_write_results(spark, d):
+    from ..sources.cohort_files import write_results
+
+    path = own_folder(spark, "results")
+    results = fx.profiles(spark, d).groupBy("bundle").agg(F.avg("mean").alias("mean"), (F.round(F.max("mean"), 3) * 1e-6).alias("small"), F.count("*").alias("n"))
+    write_results(results, path)
+    return spark.read.csv(path, header=True)
+
+
+def catalog_rows():
+    from ..sources.catalog import bundle_names
+
+    own = set(bundle_names("profiles"))
+    return [(n, i, n in own) for i, n in enumerate(["BG", *bundle_names("all")])]
+
+
+@query("WITH c(bundle,idx,in_profiles) AS (VALUES " + ",".join(f"('{n}',{i},{str(p).lower()})" for n, i, p in catalog_rows()) + ") SELECT bundle, CAST(idx AS INT) AS idx, in_profiles, count(l_partkey) AS n FROM c LEFT JOIN lineitem ON l_partkey%73=idx GROUP BY ALL")
+def s10_bundle_catalog(spark, d):
+    from ..sources.catalog import bundle_catalog
+
+    rows = fx.table(spark, d, "lineitem").select((F.col("l_partkey") % 73).cast("int").alias("idx"), "l_partkey")
+    return bundle_catalog(spark).join(rows, "idx", "left").groupBy("bundle", "idx", "in_profiles").agg(F.count("l_partkey").alias("n"))
 
 
 @query(sql("SELECT bundle, count(*) AS n, round(sum(value),4) AS total FROM voxels GROUP BY 1", "voxels"))
 def s7_write_by_bundle(spark, d):
-    import uuid
-
     from ..sources.images import write_by_bundle
-    from .stash import shared_dir
 
-    path = f"{shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    path = own_folder(spark, "bundles")
     write_by_bundle(fx.voxels(spark, d), path)
     return spark.read.parquet(path).groupBy("bundle").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
@@ -198,23 +271,24 @@ def p14_middle_slice(spark, d):
 # Joins
 
 
-TWO = "a AS (SELECT x,y,z,value FROM voxels WHERE subject=1 AND bundle='A'), b AS (SELECT x,y,z,value FROM voxels WHERE subject=1 AND bundle='N')"
+TWO = "a AS (SELECT subject,x,y,z,value FROM voxels WHERE bundle='A'), b AS (SELECT subject,x,y,z,value FROM voxels WHERE bundle='N')"
+SC = ["subject", *C3]
 
 
 def two(spark, d):
-    v = fx.voxels(spark, d).where("subject = 1")
-    return v.where("bundle = 'A'").select(*C3, "value"), v.where("bundle = 'N'").select(*C3, "value")
+    v = fx.voxels(spark, d)
+    return v.where("bundle = 'A'").select(*SC, "value"), v.where("bundle = 'N'").select(*SC, "value")
 
 
-@query(sql(f"+{TWO} SELECT x,y,z,coalesce(a.value,0) AS value_a, coalesce(b.value,0) AS value_b FROM a FULL OUTER JOIN b USING (x,y,z)", "voxels"))
+@query(sql(f"+{TWO} SELECT subject,x,y,z,coalesce(a.value,0) AS value_a, coalesce(b.value,0) AS value_b FROM a FULL OUTER JOIN b USING (subject,x,y,z)", "voxels"))
 def j1_join_voxels(spark, d):
-    return V.join_voxels(*two(spark, d), "full_outer", C3)
+    return V.join_voxels(*two(spark, d), "full_outer", SC)
 
 
-@query(sql(f"+{TWO} SELECT x,y,z,value,'in' AS side FROM a SEMI JOIN b USING (x,y,z) UNION ALL SELECT x,y,z,value,'out' FROM a ANTI JOIN b USING (x,y,z)", "voxels"))
+@query(sql(f"+{TWO} SELECT subject,x,y,z,value,'in' AS side FROM a SEMI JOIN b USING (subject,x,y,z) UNION ALL SELECT subject,x,y,z,value,'out' FROM a ANTI JOIN b USING (subject,x,y,z)", "voxels"))
 def j2_semi_anti(spark, d):
     a, b = two(spark, d)
-    return V.mask_semi(a, b, C3).withColumn("side", F.lit("in")).unionByName(V.mask_anti(a, b, C3).withColumn("side", F.lit("out")))
+    return V.mask_semi(a, b, SC).withColumn("side", F.lit("in")).unionByName(V.mask_anti(a, b, SC).withColumn("side", F.lit("out")))
 
 
 POINTS3 = "image AS (SELECT x,y,z,max(value) AS value FROM voxels GROUP BY ALL)"
@@ -295,7 +369,7 @@ def a2_majority_fusion(spark, d):
     return D.majority_fusion(fx.predictions(spark, d).where("direction <= 3"), by=["bundle", *C3])
 
 
-@query()
+@query(sql("+w AS (SELECT vec_id, unnest([pred,cand[1:3],cand[4:6]]) AS v FROM vectors), t AS (SELECT vec_id, avg(v[1]*v[1]) AS a,avg(v[1]*v[2]) AS d,avg(v[1]*v[3]) AS e,avg(v[2]*v[2]) AS b,avg(v[2]*v[3]) AS f,avg(v[3]*v[3]) AS c FROM w GROUP BY 1), q AS (SELECT *, (a+b+c)/3 AS q FROM t), p AS (SELECT *, sqrt(((a-q)**2+(b-q)**2+(c-q)**2+2*(d*d+e*e+f*f))/6) AS p FROM q), r AS (SELECT *, ((a-q)*((b-q)*(c-q)-f*f)-d*(d*(c-q)-f*e)+e*(d*f-(b-q)*e))/(2*p*p*p) AS r FROM p) SELECT vec_id, round(sqrt(q+2*p*cos(acos(greatest(-1,least(1,r)))/3)),6) AS length FROM r", "vectors"))
 def a3_mean_fusion_vectors(spark, d):
     v = fx.vectors(spark, d).select("vec_id", F.explode(F.array("pred", F.slice("cand", 1, 3), F.slice("cand", 4, 3))).alias("v"))
     out = D.mean_fusion_vectors(v, ["vec_id"])
@@ -455,11 +529,11 @@ def u1_stack_channels(spark, d):
     return V.stack_channels([(a, 1), (b, 3)])
 
 
-@query(sql(f"+{TWO}, p AS (SELECT x,y,z FROM a), q AS (SELECT x,y,z FROM b) SELECT 'or' AS op,* FROM (SELECT * FROM p UNION SELECT * FROM q) UNION ALL SELECT 'and',* FROM (SELECT * FROM p INTERSECT SELECT * FROM q) UNION ALL SELECT 'minus',* FROM (SELECT * FROM p EXCEPT SELECT * FROM q)", "voxels"))
+@query(sql(f"+{TWO}, p AS (SELECT subject,x,y,z FROM a), q AS (SELECT subject,x,y,z FROM b) SELECT 'or' AS op,* FROM (SELECT * FROM p UNION SELECT * FROM q) UNION ALL SELECT 'and',* FROM (SELECT * FROM p INTERSECT SELECT * FROM q) UNION ALL SELECT 'minus',* FROM (SELECT * FROM p EXCEPT SELECT * FROM q)", "voxels"))
 def u2_mask_sets(spark, d):
-    a, b = (t.select(*C3) for t in two(spark, d))
+    a, b = (t.select(*SC) for t in two(spark, d))
     out = [(n, f(a, b)) for n, f in (("or", V.mask_union), ("and", V.mask_intersect), ("minus", V.mask_difference))]
-    frames = [t.select(F.lit(n).alias("op"), *C3) for n, t in out]
+    frames = [t.select(F.lit(n).alias("op"), *SC) for n, t in out]
     return frames[0].union(frames[1]).union(frames[2])
 
 
@@ -548,6 +622,15 @@ def f13_flip_grid(spark, d):
     return V.flip_grid(fx.voxels(spark, d), X.flip_axes_for(np.diag([1.0, 1.0, -1.0, 1.0])), GRID)
 
 
+INVERTED = X.invert_xy_affine(AFFINE)
+
+
+@query(sql("SELECT subject,bundle,line_id,pos," + ",".join("round(" + "+".join(f"{c}*({float(INVERTED[i, k])!r})" for k, c in enumerate("xyz")) + f"+({float(INVERTED[i, 3])!r}),6) AS w{a}" for i, a in enumerate("xyz")) + " FROM line_points", "line_points"))
+def f14_invert_xy_affine(spark, d):
+    world = X.affine_apply(F.col("x"), F.col("y"), F.col("z"), INVERTED)
+    return fx.line_points(spark, d).select(*L.LINE, "pos", *(r6(w, f"w{a}") for w, a in zip(world, "xyz", strict=True)))
+
+
 @query(sql("SELECT subject,bundle,line_id,pos,round(-(x+1.5),6) AS x,round(y+1.5,6) AS y FROM line_points", "line_points"))
 def f15_move_lines(spark, d):
     moved = L.mirror(L.shift(fx.lines(spark, d), 1.5), (-1, 1, 1))
@@ -560,9 +643,9 @@ def f16_spacing(spark, d):
     return e.select("vec_id", r6(X.spacing(F.transform("embedding", lambda v: v.cast("double"))), "spacing"))
 
 
-@query()
+@query(sql("SELECT subject,bundle,position," + FMT.format(x="mean") + " AS mean," + FMT.format(x="(round(mean,3)*-1e-6)") + " AS small," + FMT.format(x="(round(mean,4)*1e9)") + " AS large FROM profiles", "profiles"))
 def f17_format_number(spark, d):
-    return fx.profiles(spark, d).select(*I, "position", X.format_number("mean").alias("mean"), X.format_number(F.col("mean") * 1e-6).alias("small"))
+    return fx.profiles(spark, d).select(*I, "position", X.format_number("mean").alias("mean"), X.format_number(F.round("mean", 3) * -1e-6).alias("small"), X.format_number(F.round("mean", 4) * 1e9).alias("large"))
 
 
 @query(sql("+s AS (SELECT vec_id, abs(cand[1]) AS a, abs(cand[2]) AS b, abs(cand[3]) AS c FROM vectors) SELECT vec_id, round(sqrt(0.5)*sqrt((a-b)*(a-b)+(b-c)*(b-c)+(c-a)*(c-a))/sqrt(a*a+b*b+c*c),6) AS fa FROM s", "vectors"))
@@ -571,7 +654,7 @@ def f18_fractional_anisotropy(spark, d):
     return fx.vectors(spark, d).select("vec_id", r6(X.fractional_anisotropy(a, b, c), "fa"))
 
 
-@query()
+@query(sql("SELECT subject,bundle,position,round(" + T2P.format(t="((mean-0.05)*100)", v="n") + ",6) AS p FROM profiles", "profiles"))
 def f19_t_to_p(spark, d):
     from ..functions.student import t_to_p
 

@@ -13,7 +13,7 @@ from ..operators import profiles as P
 from ..operators import regions as R
 from ..operators import voxels as V
 from . import fixtures as fx
-from .catalog import C3, CROSS, GAPS, GRID, I, INSIDE, N3, cos_sql, el, image3, query, r6, r6v, rounded
+from .catalog import C3, CROSS, FMT, GAPS, GRID, HASH, I, INSIDE, N3, T2P, cos_sql, el, image3, query, r6, r6v, rounded
 from .fixtures import sql
 
 # Neighbourhoods
@@ -24,14 +24,32 @@ def g1_dilate(spark, d):
     return V.dilate(fx.mask(spark, d), 1, GRID)
 
 
-@query(sql("SELECT DISTINCT subject,bundle,CAST(x+a AS INT) AS x,CAST(y+b AS INT) AS y,CAST(z+c AS INT) AS z FROM mask, range(-1,2) p(a), range(-1,2) q(b), range(-1,2) r(c) WHERE subject=1 AND " + INSIDE, "mask"))
+def box_sql(source: str, out: str, size: int, erode: bool = False) -> str:
+    """``out``: ``source`` grown, or worn off, by a box, one axis after the other."""
+    low, high = -((size - 1) // 2), size // 2
+    steps, last = [], source
+    for k, c in enumerate("xyz"):
+        moved = f"CAST({c}{'-' if erode else '+'}o AS INT)"
+        cols = ",".join(f"{moved} AS {a}" if a == c else a for a in "xyz")
+        name = out if k == 2 else f"{out}_{c}"
+        rows = f"SELECT subject,bundle,{cols}{',count(*) AS n' if erode else ''} FROM {last}, range({low},{high + 1}) t(o) WHERE {moved} BETWEEN 0 AND 49"
+        steps.append(f"{name} AS (SELECT subject,bundle,x,y,z FROM ({rows} GROUP BY ALL) WHERE n={size})" if erode else f"{name} AS (SELECT DISTINCT * FROM ({rows}))")
+        last = name
+    return ", ".join(steps)
+
+
+def close_sql(source: str, out: str, size: int) -> str:
+    return box_sql(source, f"{out}_wide", size) + ", " + box_sql(f"{out}_wide", out, size, True)
+
+
+@query(sql("+" + box_sql("mask", "g", 3) + " SELECT * FROM g", "mask"))
 def g2_dilate_box(spark, d):
-    return V.dilate_box(fx.mask(spark, d).where("subject = 1"), 3, GRID)
+    return V.dilate_box(fx.mask(spark, d), 3, GRID)
 
 
-@query(sql("+g AS (SELECT DISTINCT subject,bundle,x+a AS x,y+b AS y,z+c AS z FROM mask, range(-2,4) p(a), range(-2,4) q(b), range(-2,4) r(c) WHERE subject=1 AND " + INSIDE + "), s AS (SELECT subject,bundle,x+a AS x,y+b AS y,z+c AS z,count(*) AS n FROM g, range(-3,3) p(a), range(-3,3) q(b), range(-3,3) r(c) WHERE bundle<>'A' GROUP BY ALL) SELECT subject,bundle,CAST(x AS INT) AS x,CAST(y AS INT) AS y,CAST(z AS INT) AS z FROM s WHERE n=216 AND x BETWEEN 0 AND 49 AND y BETWEEN 0 AND 49 AND z BETWEEN 0 AND 49 UNION ALL SELECT * FROM mask WHERE subject=1 AND bundle='A'", "mask"))
+@query(sql("+open_ AS (SELECT * FROM mask WHERE bundle<>'A'), " + close_sql("open_", "g", 6) + " SELECT * FROM g UNION ALL SELECT subject,bundle,x,y,z FROM mask WHERE bundle='A'", "mask"))
 def g3_close_holes(spark, d):
-    return V.close_holes(fx.mask(spark, d).where("subject = 1"), 6, GRID, ["A"])
+    return V.close_holes(fx.mask(spark, d), 6, GRID, ["A"])
 
 
 BLOBS = """wide AS (SELECT DISTINCT subject,x,y,z FROM mask), own AS (SELECT *, (x*50+y)*50+z AS node FROM wide),
@@ -54,19 +72,27 @@ def g5_remove_small_blobs(spark, d):
     return V.remove_small_blobs(wide_mask(spark, d), 1, GRID, ["subject"])
 
 
-@query(sql("+" + BLOBS.replace("wide AS (SELECT DISTINCT subject,x,y,z FROM mask)", "wide AS (SELECT DISTINCT subject,x,y,z FROM mask WHERE bundle='N')") + ", n AS (SELECT subject,blob,count(*) AS n FROM blobs GROUP BY ALL) SELECT subject,'N' AS bundle,sum(CAST(n>1 AS INT))>=2 AS two_big FROM n GROUP BY 1", "mask"))
+def blobs_sql(source: str) -> str:
+    """Blobs within subject and bundle, the two as one key."""
+    return BLOBS.replace("SELECT DISTINCT subject,x,y,z FROM mask", f"SELECT DISTINCT subject || bundle AS subject,x,y,z FROM {source}")
+
+
+KEY = "CAST(left(subject,1) AS INT) AS subject, substr(subject,2) AS bundle"
+
+
+@query(sql("+" + blobs_sql("mask") + f", n AS (SELECT subject,blob,count(*) AS n FROM blobs GROUP BY ALL), t AS (SELECT subject,sum(CAST(n>1 AS INT))>=2 AS two_big FROM n GROUP BY 1) SELECT {KEY}, two_big FROM t", "mask"))
 def g6_two_big_blobs(spark, d):
-    return V.has_two_big_blobs(fx.mask(spark, d).where("bundle = 'N'"), {"N": 1}, GRID)
+    return V.has_two_big_blobs(fx.mask(spark, d), {"A": 1, "N": 1, "R": 1}, GRID)
 
 
-@query()
+@query(sql("+plain AS (SELECT * FROM mask WHERE bundle='N'), " + blobs_sql("plain") + ", n AS (SELECT subject,blob,count(*) AS n FROM blobs GROUP BY ALL), two AS (SELECT CAST(left(subject,1) AS INT) AS subject FROM n WHERE n>1 GROUP BY subject HAVING count(*)>=2), low AS (SELECT subject,bundle,x,y,z FROM voxels SEMI JOIN two USING (subject) WHERE bundle='N' AND value>0.4), " + close_sql("low", "g", 3) + " SELECT * FROM g UNION ALL SELECT subject,bundle,x,y,z FROM mask WHERE bundle<>'N' UNION ALL SELECT subject,bundle,x,y,z FROM plain ANTI JOIN two USING (subject)", "mask"))
 def g7_bundle_rules(spark, d):
-    return V.bundle_specific_postprocess(fx.voxels(spark, d).where("subject <= 2"), GRID, {"N": (1, 0.4)}, 3)
+    return V.bundle_specific_postprocess(fx.voxels(spark, d), GRID, {"N": (1, 0.4)}, 3)
 
 
-@query()
+@query(sql("+" + close_sql("mask", "closed", 2) + ", " + blobs_sql("closed") + f", n AS (SELECT subject,blob,count(*) AS n,row_number() OVER (PARTITION BY subject ORDER BY count(*) DESC,blob) AS r FROM blobs GROUP BY subject,blob) SELECT {KEY},x,y,z FROM own JOIN blobs USING (subject,node) JOIN n USING (subject,blob) WHERE n.n>1 OR n.r=1", "mask"))
 def g8_postprocess(spark, d):
-    return V.postprocess(fx.mask(spark, d).where("subject <= 2"), 1, GRID, 2)
+    return V.postprocess(fx.mask(spark, d), 1, GRID, 2)
 
 
 BOX = "box AS (SELECT subject,min(x) AS x0,min(y) AS y0,min(z) AS z0,max(x) AS x1,max(y) AS y1,max(z) AS z1 FROM voxels WHERE bundle='A' AND value<>0 GROUP BY 1)"
@@ -117,9 +143,18 @@ def g15_change_spacing(spark, d):
     return V.change_spacing(fx.voxels(spark, d), GRID, 1.25, 2.0)
 
 
-@query(sql("SELECT * FROM voxels", "voxels"))
+@query(sql("SELECT 'there' AS way,subject,bundle,CAST(49-x AS INT) AS x,y,CAST(49-z AS INT) AS z,value FROM voxels UNION ALL SELECT 'back',* FROM voxels", "voxels"))
 def g16_reorient_and_back(spark, d):
-    return V.flip_grid(V.flip_grid(fx.voxels(spark, d), [0, 2], GRID), [0, 2], GRID)
+    there = V.flip_grid(fx.voxels(spark, d), [0, 2], GRID)
+    frames = {"there": there, "back": V.flip_grid(there, [0, 2], GRID)}
+    return frames["there"].withColumn("way", F.lit("there")).unionByName(frames["back"].withColumn("way", F.lit("back")))
+
+
+@query(sql("+" + nearest(50, 40, "m") + ", " + nearest(40, 50, "w") + ", t AS (SELECT subject,bundle,CAST(a.o+2 AS INT) AS x,CAST(b.o-5 AS INT) AS y,CAST(c.o+2 AS INT) AS z,value FROM voxels JOIN m a ON a.i=x JOIN m b ON b.i=y JOIN m c ON c.i=z WHERE b.o-5 BETWEEN 0 AND 29) SELECT 'there' AS way,* FROM t UNION ALL SELECT 'back',subject,bundle,a.o,b.o,c.o,value FROM t JOIN w a ON a.i=x-2 JOIN w b ON b.i=y+5 JOIN w c ON c.i=z-2", "voxels"))
+def g17_model_shape(spark, d):
+    recipe = ((40, 40, 40), (-2, 5, -2), (44, 30, 44))
+    there = V.to_model_shape(fx.voxels(spark, d), GRID, recipe)
+    return there.withColumn("way", F.lit("there")).unionByName(V.from_model_shape(there, GRID, recipe).withColumn("way", F.lit("back")))
 
 
 @query(sql(f"+g AS (SELECT DISTINCT bundle,CAST(x+a AS INT) AS x,CAST(y+b AS INT) AS y,CAST(z+c AS INT) AS z FROM vectors, {CROSS} WHERE x%3=0) SELECT vec_id,[" + ",".join(f"round(pred[{k}]/({N3.format('pred')}+1e-20),6)" for k in (1, 2, 3)) + "] AS v FROM vectors SEMI JOIN g USING (bundle,x,y,z)", "vectors"))
@@ -128,11 +163,21 @@ def g18_mask_and_normalize(spark, d):
     return V.mask_and_normalize(v, v.where("x % 3 = 0"), 1, (10, 10, 1000)).select("vec_id", r6v("v", "v"))
 
 
-@query()
+GRADIENTS = [(0.0, 0.0, 0.0, 0.0)] + [(1.0, a / n, b / n, c / n) for a, b, c in ((1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, -1, 0), (1, 0, -1), (0, 1, -1), (1, 1, 1), (1, -1, 1), (1, 1, -1)) for n in [(a * a + b * b + c * c) ** 0.5]]
+
+
+def tensor_weights():
+    """Rows of the pseudo-inverse of the gradients' design, for the SQL."""
+    import numpy as np
+
+    design = [[-b * g[i] * g[j] * (1 if i == j else 2) for i in range(3) for j in range(i, 3)] + [1.0] for b, *g in GRADIENTS]
+    return [[float(v) for v in row] for row in np.linalg.pinv(np.array(design))[:6]]
+
+
+@query(sql("+t AS (SELECT vec_id, " + ", ".join(f"sum(({row!r})[direction]*ln(greatest(prob,1e-6))) AS t{k}" for k, row in enumerate(tensor_weights())) + " FROM predictions WHERE direction<=13 GROUP BY 1), s AS (SELECT *, t0+t3+t5 AS tr, t0*t0+t3*t3+t5*t5+2*(t1*t1+t2*t2+t4*t4) AS sq FROM t) SELECT vec_id, round(sqrt(1.5*(sq-tr*tr/3)/sq),6) AS fa FROM s", "predictions"))
 def g19_fit_tensor(spark, d):
     signal = fx.predictions(spark, d).where("direction <= 13").select("vec_id", (F.col("direction") - 1).alias("idx"), F.col("prob").alias("value"))
-    g = [(0.0, 0.0, 0.0, 0.0)] + [(1.0, a / n, b / n, c / n) for a, b, c in ((1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, -1, 0), (1, 0, -1), (0, 1, -1), (1, 1, 1), (1, -1, 1), (1, 1, -1)) for n in [(a * a + b * b + c * c) ** 0.5]]
-    fitted = D.fit_tensor(signal, g, ["vec_id"]).withColumn("l", X.eigenvalues("t"))
+    fitted = D.fit_tensor(signal, GRADIENTS, ["vec_id"]).withColumn("l", X.eigenvalues("t"))
     return fitted.select("vec_id", F.round(X.fractional_anisotropy(F.col("l")[0], F.col("l")[1], F.col("l")[2]), 6).alias("fa"))
 
 
@@ -239,7 +284,16 @@ def ends_keyed(spark, d):
     return L.endpoints(fx.lines(spark, d)).select(*I, (F.col("line_id") * 2 + (F.col("end") == "e").cast("int")).alias("k"), *C3)
 
 
-@query()
+ENDS = """p AS (SELECT subject,bundle,line_id*2 AS k,arg_min(x,pos) AS x,arg_min(y,pos) AS y,arg_min(z,pos) AS z FROM line_points GROUP BY subject,bundle,line_id
+ UNION ALL SELECT subject,bundle,line_id*2+1,arg_max(x,pos),arg_max(y,pos),arg_max(z,pos) FROM line_points GROUP BY subject,bundle,line_id)"""
+
+
+@query(sql("+" + ENDS + """, near AS (SELECT a.subject,a.bundle,a.k AS a,b.k AS b FROM p a JOIN p b ON a.subject=b.subject AND a.bundle=b.bundle AND a.k<>b.k WHERE sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2)<=12),
+ core AS (SELECT subject,bundle,a FROM near GROUP BY ALL HAVING count(*)+1>=3), e AS (SELECT n.* FROM near n SEMI JOIN core USING (subject,bundle,a) WHERE (n.subject,n.bundle,n.b) IN (SELECT (subject,bundle,a) FROM core)),
+ walk(subject,bundle,node,lab) AS (SELECT subject,bundle,a,a FROM core UNION SELECT e.subject,e.bundle,e.b,w.lab FROM walk w JOIN e ON e.subject=w.subject AND e.bundle=w.bundle AND e.a=w.node),
+ cl AS (SELECT subject,bundle,node,min(lab) AS cluster FROM walk GROUP BY ALL),
+ found AS (SELECT subject,bundle,node AS k,cluster FROM cl UNION ALL SELECT n.subject,n.bundle,n.a,min(cluster) FROM near n JOIN cl ON cl.subject=n.subject AND cl.bundle=n.bundle AND cl.node=n.b ANTI JOIN core c ON c.subject=n.subject AND c.bundle=n.bundle AND c.a=n.a GROUP BY ALL)
+ SELECT p.subject,p.bundle,p.k,cluster FROM p LEFT JOIN found USING (subject,bundle,k)""", "line_points"))
 def l14_cluster_endpoints(spark, d):
     return L.cluster_endpoints(ends_keyed(spark, d), "k", I, 12.0, 3).select(*I, "k", "cluster")
 
@@ -262,13 +316,12 @@ def profile_inputs(spark, d):
     lines = fx.lines(spark, d).where(F.size("points") > 1)
     p = F.element_at("points", 1)
     starts = lines.where("line_id % 2 = 0").select(*I, *((p[c] + 0.5).cast("int").alias(c) for c in C3)).distinct()
-    subjects = lines.select("subject").distinct()
-    return lines, image3(spark, d).crossJoin(F.broadcast(subjects)), starts
+    return lines, image3(spark, d), starts
 
 
 @query()
 def t1_profile(spark, d):
-    return rounded(P.profile(*profile_inputs(spark, d), GRID, n=20, dilation=1, least=1), "mean", "std")
+    return rounded(P.profile(*profile_inputs(spark, d), GRID, n=20, dilation=1, least=1, image_on=[]), "mean", "std")
 
 
 @query(sql("SELECT subject,bundle,pos AS position,round(avg(y),6) AS mean,round(stddev_pop(y),6) AS std,count(*) AS n FROM line_points GROUP BY ALL", "line_points"))
@@ -278,12 +331,12 @@ def t2_equal_dist(spark, d):
 
 @query()
 def t3_cutting_plane(spark, d):
-    return rounded(P.profile(*profile_inputs(spark, d), GRID, n=20, method="cutting_plane", dilation=1, least=1), "mean", "std")
+    return rounded(P.profile(*profile_inputs(spark, d), GRID, n=20, method="cutting_plane", dilation=1, least=1, image_on=[]), "mean", "std")
 
 
 @query()
 def t4_weighted(spark, d):
-    return rounded(P.profile(*profile_inputs(spark, d), GRID, n=20, method="weighted", dilation=1, least=1), "mean", "std")
+    return rounded(P.profile(*profile_inputs(spark, d), GRID, n=20, method="weighted", dilation=1, least=1, image_on=[]), "mean", "std")
 
 
 @query(sql("+s AS (SELECT *, " + ", ".join(f"abs{cos_sql(el('pred'), el('cand', 3 * k))} AS c{k}" for k in range(3)) + f", {N3.format('pred')} AS n FROM vectors), t AS (SELECT *, CASE WHEN c0>=c1 AND c0>=c2 THEN 0 WHEN c1>=c2 THEN 3 ELSE 6 END AS o FROM s) SELECT vec_id, CASE WHEN n<1e-5 THEN 0 ELSE round(sqrt(cand[o+1]**2+cand[o+2]**2+cand[o+3]**2),6) END AS value FROM t", "vectors"))
@@ -323,7 +376,11 @@ def c3_pearson(spark, d):
     return C.pearson(fx.profiles(spark, d), fx.cohort(spark, d)).select("bundle", "position", F.round("r", 5).alias("r"), "n")
 
 
-PERMS = "places AS (SELECT row_number() OVER (ORDER BY subject) AS k,grp AS label FROM cohort), perms AS (SELECT perm,subject,label FROM (SELECT CAST(p AS INT) AS perm,subject,row_number() OVER (PARTITION BY p ORDER BY md5('3:' || p || ':' || subject),subject) AS k FROM cohort, range(20) r(p)) JOIN places USING (k))"
+def perms_sql(seed: int, n: int, column: str = "grp") -> str:
+    return f"places AS (SELECT row_number() OVER (ORDER BY subject) AS k,{column} AS label FROM cohort), perms AS (SELECT perm,subject,label FROM (SELECT CAST(p AS INT) AS perm,subject,row_number() OVER (PARTITION BY p ORDER BY md5('{seed}:' || p || ':' || subject),subject) AS k FROM cohort, range({n}) r(p)) JOIN places USING (k))"
+
+
+PERMS = perms_sql(3, 20)
 
 
 @query(sql("+" + PERMS + " SELECT * FROM perms", "cohort"))
@@ -331,46 +388,117 @@ def c4_permutations(spark, d):
     return C.permutations(fx.cohort(spark, d), 20, 3, "grp")
 
 
+def shuffled_sql(seed: int, n: int, mode: str = "group") -> str:
+    """``pt(perm,bundle,position,t,v)``: the permutations' statistics and degrees of freedom, ``pp`` with p; ``st``, ``sp``: the real ones."""
+    if mode == "group":
+        stat = lambda g, by, rows: f"SELECT {by}bundle,position,{TSTAT} AS t,n0+n1-2 AS v FROM (SELECT {by}bundle,position,{GROUPED.format(g=g)} FROM {rows} GROUP BY ALL)"
+        t = "t"
+    else:
+        stat = lambda g, by, rows: f"SELECT {by}bundle,position,corr(mean,{g}) AS t,count(*)-2 AS v FROM {rows} GROUP BY ALL"
+        t = "(t*sqrt(v/(1-t*t)))"
+    label = "grp" if mode == "group" else "target"
+    p = T2P.format(t=t, v="v")
+    return f"{perms_sql(seed, n, label)}, pt AS ({stat('label', 'perm,', 'profiles JOIN perms USING (subject)')}), pp AS (SELECT *, {p} AS p FROM pt WHERE t IS NOT NULL), st AS ({stat(label, '', 'profiles JOIN cohort USING (subject)')}), sp AS (SELECT *, {p} AS p FROM st WHERE t IS NOT NULL)"
+
+
 @query(sql("+" + PERMS + ", a AS (SELECT perm,bundle,position," + GROUPED.format(g="label") + " FROM profiles JOIN perms USING (subject) GROUP BY ALL) SELECT perm,bundle,position,round(" + TSTAT + ",5) AS t,n0+n1-2 AS df FROM a", "profiles", "cohort"))
 def c5_permutation_stats(spark, d):
     perms = C.permutations(fx.cohort(spark, d), 20, 3, "grp")
     return C.permutation_stats(fx.profiles(spark, d), perms, "group").select("perm", "bundle", "position", F.round("t", 5).alias("t"), "df")
 
 
-@query(sql("+" + PERMS + ", full_ AS (SELECT bundle,position FROM profiles GROUP BY ALL HAVING count(*)=(SELECT count(*) FROM cohort)), a AS (SELECT perm,bundle,position," + GROUPED.format(g="label") + " FROM profiles JOIN perms USING (subject) JOIN full_ USING (bundle,position) GROUP BY ALL), t AS (SELECT perm,bundle,coalesce(" + TSTAT + ",0) AS t FROM a) SELECT bundle,perm,round(max(t),5) AS stat_max,round(min(t),5) AS stat_min,round(max(abs(t)),5) AS abs_max FROM t GROUP BY ALL", "profiles", "cohort"))
+EXTREMES = "SELECT bundle,perm,CAST(v AS INT) AS df,round(max(coalesce(t,0)),5)+0.0 AS stat_max,round(min(coalesce(t,0)),5)+0.0 AS stat_min,round(max(abs(coalesce(t,0))),5)+0.0 AS abs_max FROM pt GROUP BY ALL"
+
+
+def extremes(spark, d, mode: str):
+    out = C.permutation_matrix(fx.profiles(spark, d), fx.cohort(spark, d), "grp" if mode == "group" else "target", 20, 3, mode, family=["bundle"])
+    return out.select("bundle", "perm", "df", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("stat_max", "stat_min", "abs_max")))
+
+
+@query(sql("+" + shuffled_sql(3, 20) + " " + EXTREMES, "profiles", "cohort"))
 def c5_permutation_matrix(spark, d):
-    out = C.permutation_matrix(fx.profiles(spark, d), C.permutations(fx.cohort(spark, d), 20, 3, "grp"), "group", family=["bundle"])
-    return out.select("bundle", "perm", *(F.round(c, 5).alias(c) for c in ("stat_max", "stat_min", "abs_max")))
+    return extremes(spark, d, "group")
 
 
-@query()
+@query(sql("+" + shuffled_sql(3, 20, "correlation") + " " + EXTREMES, "profiles", "cohort"))
+def c5_permutation_matrix_r(spark, d):
+    return extremes(spark, d, "correlation")
+
+
+def picked_sql(rows: str, value: str, at: int, family: str = "bundle,") -> str:
+    """The value at place ``at`` in each family of ``rows(bundle, perm, value)``."""
+    over = f"PARTITION BY {family.rstrip(',')} " if family else ""
+    return f"SELECT {family}{value} FROM (SELECT *, row_number() OVER ({over}ORDER BY {value},perm)-1 AS r_ FROM {rows}) WHERE r_={at}"
+
+
+@query(sql("+" + shuffled_sql(3, 200) + ", m AS (SELECT bundle,perm,-max(coalesce(t,0)) AS neg FROM pt GROUP BY ALL), k AS (" + picked_sql("m", "neg", 10) + ") SELECT bundle,round(-neg,5) AS stat_fwe FROM k", "profiles", "cohort"))
 def c6_stat_fwe(spark, d):
-    e = C.permutation_matrix(fx.profiles(spark, d), C.permutations(fx.cohort(spark, d), 200, 3, "grp"), "group", family=["bundle"])
-    return C.stat_fwe(e, 0.05, 200, ["bundle"])
+    e = C.permutation_matrix(fx.profiles(spark, d), fx.cohort(spark, d), "grp", 200, 3, "group", family=["bundle"])
+    return C.stat_fwe(e, 0.05, 200, ["bundle"]).withColumn("stat_fwe", F.round("stat_fwe", 5))
 
 
-@query()
+ALPHA = ", m AS (SELECT {family}perm,min(p) AS p FROM pp GROUP BY ALL), k AS ({picked})"
+
+
+@query(sql("+" + shuffled_sql(3, 200) + ALPHA.format(family="bundle,", picked=picked_sql("m", "p", 10)) + " SELECT bundle,round(p,6) AS alpha_fwe FROM k", "profiles", "cohort"))
+def c6_alpha_fwe(spark, d):
+    e = C.permutation_matrix(fx.profiles(spark, d), fx.cohort(spark, d), "grp", 200, 3, "group", family=["bundle"])
+    return C.alpha_fwe(e, 0.05, 200, ["bundle"]).withColumn("alpha_fwe", F.round("alpha_fwe", 6))
+
+
+def clusters_sql(rows: str, key: str, alpha: float) -> str:
+    """``m``: the longest run of p < alpha, plus one, for each ``key`` of ``rows(.., position, p)``; its negative."""
+    return f", isl AS (SELECT *, position-row_number() OVER (PARTITION BY {key} ORDER BY position) AS g FROM {rows} WHERE p<{alpha}), runs AS (SELECT {key},g,count(*) AS n FROM isl GROUP BY ALL), m AS (SELECT {key},-coalesce(max(n)+1,1) AS neg FROM (SELECT DISTINCT {key} FROM {rows}) LEFT JOIN runs USING ({key}) GROUP BY ALL)"
+
+
+@query(sql("+" + shuffled_sql(3, 50) + clusters_sql("pp", "bundle,perm", 0.05) + ", k AS (" + picked_sql("m", "neg", 2) + ") SELECT bundle,-neg AS cluster_fwe FROM k", "profiles", "cohort"))
 def c6_cluster_fwe(spark, d):
-    from ..functions.student import t_to_p
+    return C.corrected_threshold(fx.profiles(spark, d), fx.cohort(spark, d), 50, 0.05, 3, False, "group", "cluster").select("bundle", F.col("cluster_fwe").cast("long").alias("cluster_fwe"))
 
-    stats = C.permutation_stats(fx.profiles(spark, d), C.permutations(fx.cohort(spark, d), 50, 3, "grp"), "group")
-    p = stats.withColumn("p", t_to_p(F.col("t"), F.col("df"))).where("p is not null")
-    return C.cluster_fwe(p, 0.05, 0.05, 50, ["bundle"])
 
+BEST = "best AS (SELECT bundle,p,t FROM (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY p,position) AS r FROM sp) WHERE r=1)"
+TABLE = "SELECT bundle," + FMT.format(x="k.p") + ' AS "alphaFWE",' + FMT.format(x="best.p") + " AS min_pvalue," + FMT.format(x="t") + " AS t_value FROM best "
 
-@query()
+
+@query(sql("+" + shuffled_sql(1, 1000) + ALPHA.format(family="", picked=picked_sql("m", "p", 50, "")) + f", {BEST} {TABLE}, k", "profiles", "cohort"))
 def c7_c8_result_table(spark, d):
     return C.cohort_test(fx.profiles(spark, d), fx.cohort(spark, d), 1000, joint=True)
 
 
-@query()
+@query(sql("+" + shuffled_sql(1, 200) + ALPHA.format(family="bundle,", picked=picked_sql("m", "p", 10)) + f", {BEST} {TABLE} JOIN k USING (bundle)", "profiles", "cohort"))
 def c8_result_table_by_bundle(spark, d):
     return C.cohort_test(fx.profiles(spark, d), fx.cohort(spark, d), 200, joint=False)
 
 
+@query(sql("+" + shuffled_sql(1, 200, "correlation") + ALPHA.format(family="bundle,", picked=picked_sql("m", "p", 10)) + f", {BEST} {TABLE} JOIN k USING (bundle)", "profiles", "cohort"))
+def c8_correlation_table(spark, d):
+    return C.cohort_test(fx.profiles(spark, d), fx.cohort(spark, d), 200, joint=False, mode="correlation")
+
+
+JOINED = ", begins AS (SELECT bundle,coalesce(sum(hi) OVER (ORDER BY bundle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS b FROM (SELECT bundle,max(position)+1 AS hi FROM pt GROUP BY 1)), one AS (SELECT perm,position+b AS position,p FROM pp JOIN begins USING (bundle))"
+
+
+@query(sql("+" + shuffled_sql(1, 50) + JOINED + clusters_sql("one", "perm", 0.05) + f", k AS ({picked_sql('m', 'neg', 2, '')}), {BEST} SELECT bundle,CAST(-neg AS BIGINT) AS \"clusterFWE\"," + FMT.format(x="t") + " AS t_value FROM best, k", "profiles", "cohort"))
+def c7_cluster_table(spark, d):
+    return C.cohort_test(fx.profiles(spark, d), fx.cohort(spark, d), 50, correction="cluster").withColumn("clusterFWE", F.col("clusterFWE").cast("long"))
+
+
 @query()
+def c8_confounded_table(spark, d):
+    return C.cohort_test(fx.profiles(spark, d), fx.cohort(spark, d), 200, confounds=["age", "sex"])
+
+
+@query(sql("+" + shuffled_sql(1, 100) + ALPHA.format(family="bundle,", picked=picked_sql("m", "p", 5)) + " SELECT bundle,st.position,coalesce(CAST(sp.p<=k.p AS INT),0) AS significant,round(-log10(sp.p),5)+0.0 AS detail FROM st LEFT JOIN sp USING (bundle,position) JOIN k USING (bundle)", "profiles", "cohort"))
 def c9_significant_mask(spark, d):
-    return C.significant_mask(C.ttest_ind(fx.profiles(spark, d), fx.cohort(spark, d)), 0.05).select("bundle", "position", "significant", F.round("detail", 5).alias("detail"))
+    p, c = fx.profiles(spark, d), fx.cohort(spark, d)
+    found = C.significant_mask(C.ttest_ind(p, c), C.corrected_threshold(p, c, 100, 0.05, 1, False, "group", "alpha"))
+    return found.select("bundle", "position", "significant", (F.round("detail", 5) + F.lit(0.0)).alias("detail"))
+
+
+@query(sql("+" + shuffled_sql(1, 40) + clusters_sql("pp", "bundle,perm", 0.2) + f", k AS ({picked_sql('m', 'neg', 8)}), hits AS (SELECT *, position-row_number() OVER (PARTITION BY bundle ORDER BY position) AS g FROM sp WHERE p<=0.2), long_ AS (SELECT bundle,position,count(*) OVER (PARTITION BY bundle,g) AS n FROM hits) SELECT bundle,st.position,CAST(coalesce(n>=-neg,false) AS INT) AS significant FROM st JOIN k USING (bundle) LEFT JOIN long_ USING (bundle,position)", "profiles", "cohort"))
+def c9_significant_clusters(spark, d):
+    p, c = fx.profiles(spark, d), fx.cohort(spark, d)
+    return C.significant_mask(C.ttest_ind(p, c), C.corrected_threshold(p, c, 40, 0.2, 1, False, "group", "cluster"), 0.2).select("bundle", "position", "significant")
 
 
 # Scores
@@ -508,28 +636,28 @@ def d2_training_slices(spark, d):
     return D.training_slices(fx.voxels(spark, d), 5, "x", 4).select(*I, *C3, "value")
 
 
-@query()
+@query(sql("+h AS (SELECT vec_id,pred,floor(" + HASH.format("'1:axis:' || (vec_id//10)") + "*3) AS axis," + HASH.format("'1:flip:' || vec_id") + "<0.5 AS f FROM vectors) SELECT vec_id,[" + ",".join(f"round(CASE WHEN f AND axis={k} THEN -pred[{k + 1}] ELSE pred[{k + 1}] END,6)+0.0" for k in range(3)) + "] AS v FROM h", "vectors"))
 def d3_augment_flip(spark, d):
     v = fx.vectors(spark, d).withColumn("batch", F.floor(F.col("vec_id") / 10))
     return D.augment_flip_vectors(v, 1, key="vec_id", v="pred").select("vec_id", r6v("pred", "v"))
 
 
-@query()
+@query(sql("+h AS (SELECT vec_id,pred,(" + HASH.format("'1:angle:' || vec_id") + "*2-1)*0.8 AS a FROM vectors) SELECT vec_id,[round(cos(a)*pred[1]+sin(a)*pred[2],6)+0.0,round(-sin(a)*pred[1]+cos(a)*pred[2],6)+0.0,round(pred[3],6)+0.0] AS v FROM h", "vectors"))
 def d4_augment_rotate(spark, d):
     return D.augment_rotate_vectors(fx.vectors(spark, d), 1, 0.8, "vec_id", "pred").select("vec_id", r6v("pred", "v"))
 
 
-@query()
+@query(sql("+h AS (SELECT *, " + HASH.format("'1:var:' || subject") + "*0.05 AS var_," + HASH.format("'1:u:' || subject || ':' || x || ':' || y || ':' || z") + " AS u," + HASH.format("'1:a:' || subject || ':' || x || ':' || y || ':' || z") + " AS a FROM voxels) SELECT subject,bundle,x,y,z,round(value+sqrt(var_)*sqrt(-2*ln(greatest(u,1e-12)))*cos(2*pi()*a),6)+0.0 AS value FROM h", "voxels"))
 def d5_augment_noise(spark, d):
     return rounded(D.augment_noise(fx.voxels(spark, d), 1), "value")
 
 
-@query()
+@query(sql("SELECT subject,bundle," + ",".join("CAST(CASE WHEN " + HASH.format(f"'1:{c}:' || subject") + f"<0.5 THEN 49-{c} ELSE {c} END AS INT) AS {c}" for c in "xyz") + ",value FROM voxels", "voxels"))
 def d6_augment_mirror(spark, d):
     return D.augment_mirror(fx.voxels(spark, d), 1, GRID)
 
 
-@query()
+@query(sql("+" + nearest(50, 25, "m") + ", " + nearest(25, 50, "w") + " SELECT subject,bundle,p.o AS x,q.o AS y,r.o AS z,value FROM voxels JOIN m a ON a.i=x JOIN m b ON b.i=y JOIN m c ON c.i=z JOIN w p ON p.i=a.o JOIN w q ON q.i=b.o JOIN w r ON r.i=c.o", "voxels"))
 def d7_augment_downsample(spark, d):
     return D.augment_downsample(fx.voxels(spark, d), GRID, 0.5)
 
@@ -546,17 +674,19 @@ def d8_batch_score(spark, d):
 
 @query()
 def d9_segment(spark, d):
-    return D.segment(fx.voxels(spark, d).where("subject <= 2"), stub_model, GRID, 36, {}, 1)
+    return D.segment(fx.voxels(spark, d), stub_model, GRID, 36, {}, 1)
 
 
-@query(sql("SELECT subject,bundle,x,y,z,value,CAST(CASE bundle WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INT) AS channel FROM voxels", "voxels"))
+@query(sql("SELECT subject,bundle,x,y,z,value*2 AS value,CAST(CASE bundle WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INT) AS channel FROM voxels", "voxels"))
 def d10_multi_part(spark, d):
-    return D.multi_part(fx.voxels(spark, d), {"one": ["A", "N"], "two": ["R"]}, lambda part: part).select(*I, *C3, "value", "channel")
+    return D.multi_part(fx.voxels(spark, d), {"one": ["A", "N"], "two": ["R"]}, lambda part: part.withColumn("value", F.col("value") * 2)).select(*I, *C3, "value", "channel")
 
 
 def flagship(spark, d):
     """Polylines to profiles to a corrected cohort test: subjects by parity in two groups, all bundles at once."""
-    found = P.profile(*profile_inputs(spark, d), GRID, n=20, dilation=1, least=1)
+    from .stash import stash
+
+    found = stash(P.profile(*profile_inputs(spark, d), GRID, n=20, dilation=1, least=1, image_on=[]), "profiles")
     cohort = found.select("subject").distinct().withColumn("grp", F.col("subject") % 2)
     return C.cohort_test(found.select("subject", "bundle", "position", "mean"), cohort, 1000)
 

@@ -88,10 +88,10 @@ def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns (x, y) of named regions."""
+    """Columns (x, y), each of the region that most rows name there (the last name of several)."""
     side = F.when(F.col("l_quantity") <= 25, "left").otherwise("right")
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return rows.select((F.col("l_quantity").cast("int") - 1).alias("x"), (F.col("l_partkey") % 50).cast("int").alias("y"), F.concat("l_returnflag", F.lit("_"), side).alias("region")).distinct()
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_quantity").cast("int") - 1).alias("x"), (F.col("l_partkey") % 50).cast("int").alias("y"), F.concat("l_returnflag", F.lit("_"), side).alias("region"))
+    return rows.groupBy("x", "y", "region").count().groupBy("x", "y").agg(F.max(F.struct("count", "region"))["region"].alias("region"))
 
 
 #: The same rows in SQL, as common table expressions.
@@ -113,8 +113,9 @@ SQL = {
     "binary": "SELECT doc_id, quality AS truth, 1-toxic AS pred FROM labels",
     "metrics_log": """SELECT CAST(user_id%3 AS INT) AS run, CASE WHEN user_id%2=0 THEN 'train' ELSE 'validate' END AS split, CAST(day(ts) AS INT) AS epoch,
  event_id AS batch, event_type AS metric, value FROM events""",
-    "regions": """SELECT DISTINCT CAST(l_quantity AS INT)-1 AS x, CAST(l_partkey%50 AS INT) AS y, l_returnflag||'_'||CASE WHEN l_quantity<=25 THEN 'left' ELSE 'right' END AS region
- FROM lineitem WHERE l_linenumber=1""",
+    "regions": """SELECT x, y, region FROM (SELECT *, row_number() OVER (PARTITION BY x,y ORDER BY n DESC, region DESC) AS k FROM (
+ SELECT CAST(l_quantity AS INT)-1 AS x, CAST(l_partkey%50 AS INT) AS y, l_returnflag||'_'||CASE WHEN l_quantity<=25 THEN 'left' ELSE 'right' END AS region, count(*) AS n
+ FROM lineitem GROUP BY ALL)) WHERE k=1""",
 }
 
 

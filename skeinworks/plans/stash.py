@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark's setting that lets go of a query's shuffle files when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -58,6 +59,21 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: its rows' numbers from 1 in that order. Ranges of rows are counted; no task has them all."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id())
+    spread = stash(spread, "ranges")
+    part = F.shiftright("at_", 33)
+    sizes = spread.groupBy(part.alias("part_")).agg(F.count("*").alias("n_")).orderBy("part_").collect()
+    begin, at = [], 0
+    for r in sizes:
+        begin.append((r["part_"], at))
+        at += r["n_"]
+    table = df.sparkSession.createDataFrame(begin, "part_ long, begin_ long")
+    placed = spread.withColumn("part_", part).join(F.broadcast(table), "part_")
+    return placed.withColumn(name, (F.col("begin_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("at_", "part_", "begin_")
+
+
 def unstash(*tables: DataFrame) -> None:
     """Deletes tables of :func:`stash` that nothing reads any more."""
     for df in tables:

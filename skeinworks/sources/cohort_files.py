@@ -41,8 +41,9 @@ def read_profiles(spark: SparkSession, paths: str | list[str], pattern: str = r"
     return cast.unpivot(["subject", "position"], [F.col(f"`{n}`") for n in names], "bundle", "mean")
 
 
-def wide_profiles(profiles: DataFrame, names: list[str], value: str = "mean") -> DataFrame:
-    return profiles.groupBy("position").pivot("bundle", names).agg(F.first(value)).orderBy("position")
+def wide_profiles(profiles: DataFrame, names: list[str], value: str = "mean", by: tuple[str, ...] = ()) -> DataFrame:
+    """Positions by bundle, for each of ``by``."""
+    return profiles.groupBy(*by, "position").pivot("bundle", names).agg(F.first(value)).orderBy(*by, "position")
 
 
 def write_profiles_wide(profiles: DataFrame, path: str, names: list[str]) -> None:
@@ -62,7 +63,7 @@ def write_results(results: DataFrame, path: str) -> None:
 def ingest_gradients(spark: SparkSession, bvals: str, bvecs: str) -> DataFrame:
     """``idx, bval, gx, gy, gz`` from a row of b-values and three rows (or three columns) of directions."""
     def numbers(path: str) -> DataFrame:
-        text = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace(F.trim("value"), "[\\t, ]+", " "), "\\n").alias("rows"))
+        text = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace(F.regexp_replace("value", "^\\s+|\\s+$", ""), "[\\t, ]+", " "), " ?\\r?\\n").alias("rows"))
         return text.select(F.posexplode(F.transform("rows", lambda r: F.transform(F.split(F.trim(r), " "), lambda x: x.cast("double")))).alias("row", "v"))
 
     b = numbers(bvals).select(F.posexplode("v").alias("idx", "bval"))

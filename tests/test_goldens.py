@@ -91,8 +91,8 @@ def test_corrected_alpha_of_three_against_three(spark):
     y = rng.normal(size=(6, 4)) * 0.01 + np.array([0, 0, 0, 1, 1, 1])[:, None]
     prof = spark.createDataFrame([(s, "b", p, float(y[s, p])) for s in range(6) for p in range(4)], "subject int, bundle string, position int, mean double")
     cohort = spark.createDataFrame([(s, int(s > 2)) for s in range(6)], "subject int, grp int")
-    e = C.permutation_matrix(prof, C.permutations(cohort, 1000, 1, "grp"), "group")
-    got = C.alpha_fwe(e, 4, 0.05, 1000).first()["alpha_fwe"]
+    e = C.permutation_matrix(prof, cohort, "grp", 1000, 1, "group")
+    got = C.alpha_fwe(e, 0.05, 1000).first()["alpha_fwe"]
     assert np.isclose(got, C.ttest_ind(prof, cohort).agg(F.min("p")).first()[0], rtol=1e-6)
 
 
