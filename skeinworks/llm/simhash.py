@@ -461,10 +461,43 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar:
     return shingles[np.argsort(rank, kind="stable")][: most if len(shingles) else 0]
 
 
+#: Shingles to a bucket of a sketch, about, and its least and largest number of buckets.
+BUCKET, FEWEST, MOST = 4, 64, 1 << 16
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many of the shingles fall in each of a power of two of buckets; 255 stands for any larger number as well."""
+    n = FEWEST
+    while n < MOST and n * BUCKET < len(shingles):
+        n *= 2
+    return np.minimum(np.bincount((shingles % np.uint64(n)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def most_common(a: bytes, b: bytes) -> int:
+    """An upper bound of the shingles that two sketches' sets share: in each bucket, the smaller number."""
+    x, y = (np.where(c == 255, 1 << 40, c.astype(np.int64)) for c in (np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)))
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)).sum())
+
+
+def bounded(edges: DataFrame, classes: DataFrame, similar: float) -> DataFrame:
+    """The ``edges(a, b)`` that the sketches of ``classes(node, size, sketch)`` don't rule out. No pair of that similarity goes."""
+    share = similar / (1 + similar)
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n, m = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
+            ok = [most_common(p, q) >= share * (i + j) - 1e-9 for p, q, i, j in zip(x, y, n, m, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    own = lambda node, data, size: classes.select(F.col("node").alias(node), F.col("sketch").alias(data), F.col("size").alias(size))
+    return edges.join(own("a", "x", "n"), "a").join(own("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m").mapInArrow(may, "a long, b long")
+
+
 def text_prints(df: DataFrame, id_col: str, text_col: str, seed: int = 42, similar: float = SIMILAR, size: int = SHINGLE) -> DataFrame:
-    """``id, same, fp, size, prefix``: ``same`` is a 128-bit digest of the lower-cased words, ``fp`` the fingerprint of the distinct ones.
+    """``id, same, fp, size, prefix, sketch``: ``same`` is a 128-bit digest of the lower-cased words, ``fp`` the fingerprint of the distinct ones.
 
-    ``size`` is the number of distinct shingles, ``prefix`` the hashes of those that the text is searched by.
+    ``size`` is the number of distinct shingles, ``prefix`` the hashes of those that the text is searched by; see :func:`sketch`.
     """
     shared = df.sparkSession.sparkContext.broadcast(common_shingles(df, id_col, text_col, size))
     cols = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -474,9 +507,11 @@ def text_prints(df: DataFrame, id_col: str, text_col: str, seed: int = 42, simil
             texts = batch.column("text")
             sets = shingle_set(texts, size)
             firsts = pa.array([prefix(s, shared.value, similar).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), digests(texts), pa.array(majority(*word_hashes(texts, seed)).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), firsts], ["id", "same", "fp", "size", "prefix"])
+            drawn = pa.array([sketch(s) for s in sets], pa.binary())
+            columns = [batch.column("id"), digests(texts), pa.array(majority(*word_hashes(texts, seed)).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), firsts, drawn]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "same", "fp", "size", "prefix", "sketch"])
 
-    return cols.mapInArrow(work, "id long, same binary, fp long, size int, prefix binary")
+    return cols.mapInArrow(work, "id long, same binary, fp long, size int, prefix binary, sketch binary")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 17) -> Iterator[pa.Table]:
@@ -608,13 +643,15 @@ def _near_duplicates(df: DataFrame, id_col: str, text_col: str, tau: int, simila
     # A class goes by its least id, or by a hash where it has none or shares it with another text.
     again = stash(prints.groupBy(F.col("id").alias("least")).agg(F.count("*").alias("rows")).where("rows > 1 AND least IS NOT NULL").drop("rows"), "again")
     node = F.when(F.col("least").isNull() | F.col("shared"), -1 - F.abs(F.xxhash64("same") % (1 << 62))).otherwise(F.col("least"))
-    firsts = [F.first(c).alias(c) for c in ("fp", "size", "prefix")]
+    firsts = [F.first(c).alias(c) for c in ("fp", "size", "prefix", "sketch")]
     classes = prints.groupBy("same").agg(F.min("id").alias("least"), *firsts, F.count("*").alias("n"))
     classes = classes.join(again.withColumn("shared", F.lit(True)), "least", "left").fillna(False, ["shared"]).withColumn("node", node).drop("shared")
     classes = stash(classes, "classes")
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def true_links(edges: DataFrame) -> DataFrame:
+        edges, old = stash(bounded(edges, classes, similar), "bounded"), edges
+        unstash(old)
         # A row of each class that is in an edge lends its text; rows are found by id, then told apart by the digest.
         ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         wanted = stash(classes.join(ends, "node").select(F.col("least").alias("id"), "same", "node"), "wanted")

@@ -429,6 +429,20 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.deduplicated(documents(spark, []).limit(0)).count() == 0
 
 
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 40, 300, 5000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: int(share * n)], rng.integers(0, 1 << 63, int((1.3 - share) * n)).astype(np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            assert common <= simhash.most_common(simhash.sketch(a), simhash.sketch(b))
+    far = [np.unique(rng.integers(0, 1 << 63, 800).astype(np.uint64)) for _ in "ab"]
+    assert simhash.most_common(*map(simhash.sketch, far)) < 0.7 * 800
+    many = np.arange(0, 64 * 400, 64).astype(np.uint64) << np.uint64(16)
+    assert simhash.most_common(simhash.sketch(many), simhash.sketch(many)) >= 400
+
+
 def far_copies():
     """Texts with copies: foreign words appended, a block replaced, or a chain of copies of copies; some are too far."""
     rng = random.Random(21)
