@@ -259,7 +259,7 @@ def sample_trilinear(points: DataFrame, image: DataFrame, shape: tuple[int, int,
 
     ``points`` needs a key besides ``on``: all its columns are grouped by. Corners of weight 0 aren't joined.
     """
-    on = on or ["subject"]
+    on = ["subject"] if on is None else on
     keys = points.columns
     ok = reduce(lambda a, b: a & b, [(F.col(c) >= 0) & (F.col(c) <= n - 1) for c, n in zip(CELL, shape, strict=True)])
     corners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (0, 1) for j in (0, 1) for k in (0, 1)))
