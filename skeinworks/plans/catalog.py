@@ -643,9 +643,9 @@ def f16_spacing(spark, d):
     return e.select("vec_id", r6(X.spacing(F.transform("embedding", lambda v: v.cast("double"))), "spacing"))
 
 
-@query(sql("SELECT subject,bundle,position," + FMT.format(x="mean") + " AS mean," + FMT.format(x="(round(mean,3)*-1e-6)") + " AS small," + FMT.format(x="(round(mean,4)*1e9)") + " AS large FROM profiles", "profiles"))
+@query(sql("SELECT subject,bundle,position," + FMT.format(x="mean") + " AS mean," + FMT.format(x="(n*-1e-8)") + " AS small," + FMT.format(x="(n*1e6+0.25)") + " AS large FROM profiles", "profiles"))
 def f17_format_number(spark, d):
-    return fx.profiles(spark, d).select(*I, "position", X.format_number("mean").alias("mean"), X.format_number(F.round("mean", 3) * -1e-6).alias("small"), X.format_number(F.round("mean", 4) * 1e9).alias("large"))
+    return fx.profiles(spark, d).select(*I, "position", X.format_number("mean").alias("mean"), X.format_number(F.col("n") * -1e-8).alias("small"), X.format_number(F.col("n") * 1e6 + 0.25).alias("large"))
 
 
 @query(sql("+s AS (SELECT vec_id, abs(cand[1]) AS a, abs(cand[2]) AS b, abs(cand[3]) AS c FROM vectors) SELECT vec_id, round(sqrt(0.5)*sqrt((a-b)*(a-b)+(b-c)*(b-c)+(c-a)*(c-a))/sqrt(a*a+b*b+c*c),6) AS fa FROM s", "vectors"))
