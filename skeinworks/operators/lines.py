@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import let
+from ..functions.vectors import let, size_ratio
 from ..plans.components import components
+from ..plans.stash import stash
 from .voxels import CELL
 
 LINE = ["subject", "bundle", "line_id"]
@@ -336,13 +337,55 @@ def classify_endpoints(points: DataFrame, label: str, seed: int = 0) -> DataFram
     return model.transform(vec.transform(points)).select(*points.columns, F.col("side").cast("int").alias("side"))
 
 
-def two_means(points: DataFrame, seed: int = 0) -> DataFrame:
-    """Two clusters by k-means, where density finds none of like size."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def two_means(points: DataFrame, key: str, by: list[str], rounds: int = 50) -> DataFrame:
+    """2-means of the points of each group (Lloyd, 1982): ``by.., key, side`` with ``side`` 0 or 1.
 
-    vec = VectorAssembler(inputCols=CELL, outputCol="features_").transform(points)
-    return KMeans(k=2, seed=seed, featuresCol="features_", predictionCol="cluster").fit(vec).transform(vec).drop("features_")
+    The first centres are the point farthest from the group's mean and the point farthest from that one, ties to
+    the greatest coordinates; a point as near to both goes to 0, and a side without points keeps its centre. Rounds are
+    aggregations to two centres a group, until none moves or ``rounds`` are done. Groups with a null in ``by`` are left out.
+    """
+    here = stash(points.select(*by, key, *CELL), "ends")
+    old = [f"{c}{i}" for i in (0, 1) for c in CELL]
+
+    def away(suffix: str) -> Column:
+        return sum(((F.col(c) - F.col(f"{c}{suffix}")) ** 2 for c in CELL), F.lit(0.0))
+
+    def farthest(centre: DataFrame, suffix: str) -> DataFrame:
+        best = here.join(centre, by).groupBy(*by).agg(F.max(F.struct(away(suffix).alias("d"), *CELL)).alias("q"))
+        return best.select(*by, *(F.col("q")[c].alias(c) for c in CELL))
+
+    def named(df: DataFrame, suffix: str) -> DataFrame:
+        return df.select(*by, *(F.col(c).alias(f"{c}{suffix}") for c in CELL))
+
+    mean = here.groupBy(*by).agg(*(F.avg(c).alias(c) for c in CELL))
+    one = stash(named(farthest(named(mean, "m"), "m"), "0"), "centres")
+    centres = stash(one.join(named(farthest(one, "0"), "1"), by), "centres")
+    side = (away("1") < away("0")).cast("int")
+    for _ in range(rounds):
+        sided = here.join(centres, by).withColumn("side_", side)
+        moved = [F.coalesce(F.avg(F.when(F.col("side_") == i, F.col(c))), F.first(f"{c}{i}")).alias(f"{c}{i}_") for i in (0, 1) for c in CELL]
+        now = stash(sided.groupBy(*by).agg(*moved, *(F.first(c).alias(c) for c in old)), "centres")
+        still = now.where(sum(F.abs(F.col(f"{c}_") - F.col(c)) for c in old) > 1e-9).isEmpty()
+        centres = now.select(*by, *(F.col(f"{c}_").alias(c) for c in old))
+        if still:
+            break
+    return here.join(centres, by).select(*by, key, side.alias("side"))
+
+
+def split_endpoints(points: DataFrame, key: str, by: list[str], eps: float = 3.0, least: int = 5, ratio: float = 0.5) -> DataFrame:
+    """L14 as a whole: ``points`` with ``side``, 0 or 1 for the two ends of each group.
+
+    The two biggest density clusters are the sides (0 the bigger, ties to the lower label; other points null) where the
+    smaller has at least ``ratio`` of the bigger's points. Elsewhere (uneven, one cluster or none) :func:`two_means` splits all points.
+    """
+    found = stash(cluster_endpoints(points, key, by, eps, least), "clusters")
+    top = two_biggest_clusters(found, "cluster", by)
+    pair = [F.max(F.when(F.col("rank") == i + 1, F.col(c))).alias(f"{c}{i}_") for i in (0, 1) for c in ("n", "cluster")]
+    even = stash(top.groupBy(*by).agg(*pair).where(F.col("n1_").isNotNull() & (size_ratio("n0_", "n1_") >= ratio)).select(*by, "cluster0_", "cluster1_"), "even")
+    whole = found.join(even, by).withColumn("side", F.when(F.col("cluster") == F.col("cluster0_"), 0).when(F.col("cluster") == F.col("cluster1_"), 1))
+    rest = found.join(even, by, "left_anti")
+    cut = rest.join(two_means(rest, key, by), [*by, key], "left")
+    return whole.select(*points.columns, "side").unionByName(cut.select(*points.columns, "side"))
 
 
 def endpoint_masks(labelled: DataFrame, label: str = "end") -> DataFrame:

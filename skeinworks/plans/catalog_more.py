@@ -298,6 +298,11 @@ def l14_cluster_endpoints(spark, d):
     return L.cluster_endpoints(ends_keyed(spark, d), "k", I, 12.0, 3).select(*I, "k", "cluster")
 
 
+@query()
+def l14_split_endpoints(spark, d):
+    return L.split_endpoints(ends_keyed(spark, d), "k", I, 12.0, 3).select(*I, "k", "side")
+
+
 @query()
 def l15_classify_endpoints(spark, d):
     p = ends_keyed(spark, d).withColumn("known", F.when(F.col("z") < 10, 0).when(F.col("z") > 40, 1))

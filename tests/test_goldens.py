@@ -137,3 +137,31 @@ def test_tck_and_nifti(spark, tmp_path):
     cells, images = ingest_volumes(spark, str(tmp_path))
     assert {(r["x"], r["y"], r["z"]): r["value"] for r in cells.collect()} == {c: data[c] for c in itertools.product(range(2), repeat=3) if data[c]}
     assert images.first()["spacing"] == 1.25
+
+
+def test_split_endpoints(spark):
+    rng = np.random.default_rng(3)
+    blob = lambda at, n: [tuple(map(float, np.asarray(at) + rng.uniform(-1, 1, 3))) for _ in range(n)]
+    groups = {
+        "even": blob((0, 0, 0), 12) + blob((40, 0, 0), 8) + [(90.0, 90.0, 90.0)],
+        "uneven": blob((0, 0, 0), 20) + blob((40, 0, 0), 6),
+        "merged": [(float(i), 0.0, 0.0) for i in range(20)],
+        "noise": [(float(30 * i), 0.0, 0.0) for i in range(4)],
+        "same": [(1.0, 1.0, 1.0)] * 3,
+    }
+    rows = [(1, g, k, *p, "kept") for g, pts in groups.items() for k, p in enumerate(pts)]
+    points = spark.createDataFrame(rows, "subject int, bundle string, k int, x double, y double, z double, note string")
+    out = L.split_endpoints(points, "k", ["subject", "bundle"])
+    assert out.columns == [*points.columns, "side"]
+    got = {g: [r["side"] for r in sorted(out.where(F.col("bundle") == g).collect(), key=lambda r: r["k"])] for g in groups}
+    assert got["even"] == [0] * 12 + [1] * 8 + [None]
+    for g in ("uneven", "merged", "noise", "same"):
+        p = np.array(groups[g])
+        c = [max(map(tuple, p), key=lambda q: (((np.array(q) - p.mean(0)) ** 2).sum(), q))]
+        c.append(max(map(tuple, p), key=lambda q: (((np.array(q) - c[0]) ** 2).sum(), q)))
+        for _ in range(50):
+            side = (((p - c[1]) ** 2).sum(1) < ((p - c[0]) ** 2).sum(1)).astype(int)
+            c = [p[side == i].mean(0) if (side == i).any() else c[i] for i in (0, 1)]
+        assert got[g] == side.tolist(), g
+    assert len(set(got["uneven"][:20])) == len(set(got["uneven"][20:])) == 1 and set(got["uneven"]) == {0, 1}
+    assert L.split_endpoints(points.limit(0), "k", ["subject", "bundle"]).count() == 0
