@@ -36,5 +36,5 @@ def test_same_rows(spark, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, str(SF)).count() >= 0
+def test_has_rows(spark, name):
+    assert catalog.QUERIES[name](spark, str(SF)).count() > 0
