@@ -408,8 +408,8 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 SHINGLE, SIMILAR, SEARCH_BITS = 5, 0.8, 10
 #: Classes, at most, whose ids and digests are broadcast to the documents' texts (24 bytes each); more are joined by a shuffle.
 FEW = 200_000
-#: How far apart the classes of a shingle are compared in the first round of the exact search.
-NEAR = 2
+#: How far apart the classes of a shingle are compared in the first round of the exact search, and how many times as far in the next ones.
+NEAR, FURTHER = 2, 32
 
 
 def shingle_set(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -652,6 +652,8 @@ def _near_duplicates(df: DataFrame, id_col: str, text_col: str, tau: int, simila
     def true_links(edges: DataFrame) -> DataFrame:
         edges, old = stash(bounded(edges, classes, similar), "bounded"), edges
         unstash(old)
+        if not edges.limit(1).count():
+            return edges
         # A row of each class that is in an edge lends its text; rows are found by id, then told apart by the digest.
         ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         wanted = stash(classes.join(ends, "node").select(F.col("least").alias("id"), "same", "node"), "wanted")
@@ -671,7 +673,8 @@ def _near_duplicates(df: DataFrame, id_col: str, text_col: str, tau: int, simila
     name = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
     near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     found = true_links(stash(equal.union(near), "pairs"))
-    roots = components(found)
+    roots = stash(components(found), "roots")
+    unstash(found)
     shared = stash(mates(classes), "mates")
     low, high, more = 0, NEAR, True
     while more:
@@ -682,9 +685,9 @@ def _near_duplicates(df: DataFrame, id_col: str, text_col: str, tau: int, simila
         if more:
             unstash(pairs)
         if new.limit(1).count():
-            found = found.union(new)
-            roots = components(found)
-        low, high = high, 8 * high
+            roots = stash(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)), "roots")
+        unstash(new)
+        low, high = high, FURTHER * high
     named = classes.join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "same")).alias("first"))
     by_class = named.join(first, "root").select("same", F.col("first.least").alias("group_id"), (F.col("same") == F.col("first.same")).alias("head"))
