@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,32 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
+#: Tables that the innermost :func:`scratch` will delete.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that are stashed within, but for those that are passed to what it yields.
+
+    Where one stands in another, what the inner one keeps is the outer one's to delete.
+    """
+    outer, own = _made.get(), []
+    token = _made.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own[:] = [t for t in own if t is not df]
+        if outer is not None:
+            outer.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        unstash(*own)
+
+
 def stash(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 
@@ -56,6 +83,8 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
