@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.stash import shared_dir
-from . import backoff, chat_bytes, decontam, fixity, huffman, line_labels, packing, simhash, token_counts, toxicity
+from ..plans.stash import scratch, shared_dir, stash
+from . import backoff, chat_bytes, decontam, fixity, huffman, line_labels, manifest, packing, runs, simhash, token_counts, toxicity
 from .rows import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +78,25 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_merkle_fixity, op2_recurrent_toxicity, op3_vector_packing, op4_stupid_backoff, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op9_latent_decontamination, op10_simhash_groups)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.collapsed(runs.cycled(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def op12_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, folded again from its leaf, or from one with a changed length where 7 divides the id's crc32."""
+    docs = table(spark, sf_dir, "documents")
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = manifest.row_hash([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in names])
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    leaves = docs.select("doc_id", "lang", manifest.row_hash([F.col(c) for c in names]).alias("leaf"), F.when(hit, changed).alias("tampered"))
+    with scratch() as keep:
+        proved = manifest.manifest(stash(leaves, "leaves"), "lang", ["doc_id", "hash"])
+        back = proved.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf")))
+        out = back.select("doc_id", "leaf", "subroot", "root", manifest.proof_hash().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+        return keep(stash(out, "manifest"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_merkle_fixity, op2_recurrent_toxicity, op3_vector_packing, op4_stupid_backoff, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op9_latent_decontamination, op10_simhash_groups, op11_periodic_runs, op12_interval_manifest)}
 ORACLE: dict[str, str] = {
     "op1_merkle_fixity": r"""
 WITH p AS (SELECT page_id, url, html, '#' || substring(html, 2) AS other FROM pages),
@@ -124,4 +142,27 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id""",
+    "op12_interval_manifest": r"""
+WITH RECURSIVE f AS (SELECT *, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+          || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS a, CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS z FROM documents),
+leaf AS (SELECT doc_id, lang, sha256(a || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || z) AS leaf,
+                sha256(a || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) END || z) AS changed,
+                list_reduce([4294967295::UBIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT),
+                            lambda r, c: list_reduce([xor(r, c)] || list_transform(range(8), lambda i: i::UBIGINT), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)) AS c FROM f),
+p AS (SELECT *, xor(c, 4294967295::UBIGINT) % 7 = 0 AS hit, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaf),
+up AS (SELECT lang, 0 AS level, list(leaf ORDER BY i) AS h FROM p GROUP BY lang
+       UNION ALL SELECT lang, level + 1, list_transform(range(0, (len(h) + 1) // 2), lambda j: sha256(h[2 * j + 1] || coalesce(h[2 * j + 2], ''))) FROM up WHERE len(h) > 1),
+sub AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM up WHERE len(h) = 1),
+over AS (SELECT 0 AS level, list(subroot ORDER BY i) AS h FROM sub
+         UNION ALL SELECT level + 1, list_transform(range(0, (len(h) + 1) // 2), lambda j: sha256(h[2 * j + 1] || coalesce(h[2 * j + 2], ''))) FROM over WHERE len(h) > 1),
+way AS (SELECT p.doc_id, p.leaf, list({'k': up.level, 's': coalesce(CASE WHEN (p.i >> up.level) % 2 = 0 THEN 'R' || up.h[(p.i >> up.level) + 2] ELSE 'L' || up.h[p.i >> up.level] END, 'N')}) FILTER (len(up.h) > 1) AS x
+        FROM p JOIN up ON up.lang IS NOT DISTINCT FROM p.lang GROUP BY p.doc_id, p.leaf),
+top AS (SELECT sub.lang, list({'k': over.level, 's': coalesce(CASE WHEN (sub.i >> over.level) % 2 = 0 THEN 'R' || over.h[(sub.i >> over.level) + 2] ELSE 'L' || over.h[sub.i >> over.level] END, 'N')}) FILTER (len(over.h) > 1) AS x
+        FROM sub, over GROUP BY sub.lang),
+r AS (SELECT h[1] AS root FROM over WHERE len(h) = 1),
+s AS (SELECT p.doc_id, p.leaf, sub.subroot, r.root, CASE WHEN p.hit THEN p.changed ELSE p.leaf END AS begin,
+             list_concat(list_transform(list_sort(coalesce(way.x, [])), lambda e: e.s), list_transform(list_sort(coalesce(top.x, [])), lambda e: e.s)) AS x
+      FROM p JOIN way ON way.leaf = p.leaf AND way.doc_id IS NOT DISTINCT FROM p.doc_id JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN top ON top.lang IS NOT DISTINCT FROM p.lang, r),
+o AS (SELECT *, list_reduce(list_concat([begin], x), lambda acc, e: sha256(CASE e[1] WHEN 'L' THEN e[2:] || acc WHEN 'R' THEN acc || e[2:] ELSE acc END)) AS folded_root FROM s)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(list_filter(x, lambda e: e <> 'N'), lambda e: e[2:]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM o""",
 }
