@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stash import scratch, shared_dir, stash
-from . import backoff, chat_bytes, decontam, fixity, huffman, line_labels, manifest, packing, runs, simhash, token_counts, toxicity
+from . import backoff, chat_bytes, decontam, fixity, huffman, line_labels, manifest, packing, runs, simhash, substrings, token_counts, toxicity
 from .rows import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,7 +96,14 @@ def op12_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         return keep(stash(out, "manifest"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_merkle_fixity, op2_recurrent_toxicity, op3_vector_packing, op4_stupid_backoff, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op9_latent_decontamination, op10_simhash_groups, op11_periodic_runs, op12_interval_manifest)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch() as keep:
+        kept = substrings.deduplicated(table(spark, sf_dir, "documents"))
+        removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["length"]).alias("n_removed")
+        return keep(stash(kept.select("doc_id", "n_words", removed, F.sha2("kept", 256).alias("kept_sha256")), "digests"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_merkle_fixity, op2_recurrent_toxicity, op3_vector_packing, op4_stupid_backoff, op5_line_crf, op6_token_counts, op7_huffman_ids, op8_chat_bytes, op9_latent_decontamination, op10_simhash_groups, op11_periodic_runs, op12_interval_manifest, op13_substring_dedup)}
 ORACLE: dict[str, str] = {
     "op1_merkle_fixity": r"""
 WITH p AS (SELECT page_id, url, html, '#' || substring(html, 2) AS other FROM pages),
@@ -165,4 +172,14 @@ s AS (SELECT p.doc_id, p.leaf, sub.subroot, r.root, CASE WHEN p.hit THEN p.chang
       FROM p JOIN way ON way.leaf = p.leaf AND way.doc_id IS NOT DISTINCT FROM p.doc_id JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN top ON top.lang IS NOT DISTINCT FROM p.lang, r),
 o AS (SELECT *, list_reduce(list_concat([begin], x), lambda acc, e: sha256(CASE e[1] WHEN 'L' THEN e[2:] || acc WHEN 'R' THEN acc || e[2:] ELSE acc END)) AS folded_root FROM s)
 SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(list_filter(x, lambda e: e <> 'N'), lambda e: e[2:]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM o""",
+    "op13_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT k, doc_id, i, array_to_string(ws[i + 1:i + 13], ' ') AS g FROM (SELECT *, unnest(range(0, len(ws) - 12)) AS i FROM d)),
+m AS (SELECT g, min(coalesce(doc_id, 9223372036854775807)) AS low FROM w GROUP BY g),
+gone AS (SELECT DISTINCT k, i + unnest(range(13)) AS j FROM w JOIN m USING (g) WHERE coalesce(w.doc_id, 9223372036854775807) > m.low),
+lost AS (SELECT k, list(j) AS js FROM gone GROUP BY k),
+word AS (SELECT k, unnest(ws) AS w, unnest(range(len(ws))) AS j FROM d),
+text AS (SELECT k, string_agg(w, ' ' ORDER BY j) AS kept FROM word ANTI JOIN gone USING (k, j) GROUP BY k)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(len(coalesce(lost.js, [])) AS BIGINT) AS n_removed, sha256(coalesce(text.kept, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (k) LEFT JOIN text USING (k)""",
 }
