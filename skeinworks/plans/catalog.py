@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as X
@@ -136,6 +136,48 @@ def s10_bundle_catalog(spark, d):
     return bundle_catalog(spark).join(rows, "idx", "left").groupBy("bundle", "idx", "in_profiles").agg(F.count("l_partkey").alias("n"))
 
 
+@query(sql("SELECT subject, bundle, x, y, z, value FROM voxels WHERE value<>0", "voxels"))
+def s5_read_images(spark, d):
+    from ..sources.formats import read_files, write_images
+
+    path = own_folder(spark, "images")
+    name = F.concat_ws("/", "subject", F.concat("bundle", F.when(F.col("bundle") == "N", ".nii.gz").otherwise(".nii")))
+    write_images(fx.voxels(spark, d).withColumn("path", name).withColumn("channel", F.lit(0)), path, (*GRID, 1), AFFINE)
+    back = read_files(spark, "nifti", path, range_bytes=200_000)
+    return back.select(F.split_part("path", F.lit("/"), F.lit(1)).cast("int").alias("subject"), F.substring(F.split_part("path", F.lit("/"), F.lit(2)), 1, 1).alias("bundle"), *C3, "value")
+
+
+#: Whole lines, numbered within their file, by the points' number, ends and sums.
+LINE_SUMS = """SELECT subject,bundle,CAST(row_number() OVER (PARTITION BY subject,bundle ORDER BY line_id) AS INT) AS nth,n_points,first_x,last_z,sum_y FROM (
+ SELECT subject,bundle,line_id,count(*) AS n_points,arg_min({x},pos) AS first_x,arg_max({z},pos) AS last_z,round(sum({y}),3) AS sum_y FROM line_points GROUP BY ALL)"""
+
+
+def line_sums(lines):
+    """By file: what :data:`LINE_SUMS` has."""
+    keys = [F.split_part("path", F.lit("/"), F.lit(1)).cast("int").alias("subject"), F.regexp_extract("path", r"/(.*)\.", 1).alias("bundle")]
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("line_id")).alias("nth")
+    ends = [F.element_at("points", 1)["x"].alias("first_x"), F.element_at("points", -1)["z"].alias("last_z")]
+    return lines.select(*keys, nth, F.size("points").cast("long").alias("n_points"), *ends, F.round(L.total(F.col("points.y")), 3).alias("sum_y"))
+
+
+@query(sql(LINE_SUMS.format(x="x", y="y", z="z"), "line_points"))
+def s6_read_polylines(spark, d):
+    from ..sources.formats import read_files, write_lines
+
+    path = own_folder(spark, "tck")
+    write_lines(fx.lines(spark, d).withColumn("path", F.format_string("%d/%s.tck", "subject", "bundle")), path, "tck", ["line_id"], datatype="Float64LE")
+    return line_sums(read_files(spark, "tck", path, range_bytes=3000))
+
+
+@query(sql(LINE_SUMS.format(x="CAST(CAST(x AS FLOAT) AS DOUBLE)", y="CAST(CAST(y AS FLOAT) AS DOUBLE)", z="CAST(CAST(z AS FLOAT) AS DOUBLE)"), "line_points"))
+def s8_write_trk(spark, d):
+    from ..sources.formats import read_files, write_lines
+
+    path = own_folder(spark, "trk")
+    write_lines(fx.lines(spark, d).withColumn("path", F.format_string("%d/%s.trk", "subject", "bundle")), path, "trk", ["line_id"], shape="50,50,50")
+    return line_sums(read_files(spark, "trk", path))
+
+
 @query(sql("SELECT bundle, count(*) AS n, round(sum(value),4) AS total FROM voxels GROUP BY 1", "voxels"))
 def s7_write_by_bundle(spark, d):
     from ..sources.images import write_by_bundle
