@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import let, size_ratio
 from ..plans.components import components
 from ..plans.stash import stash
+from . import bricks
 from .voxels import CELL
 
 LINE = ["subject", "bundle", "line_id"]
@@ -112,10 +113,8 @@ def cell_of(p: Column, half: float = 0.5) -> dict[str, Column]:
 
 def lookup_voxel(points: DataFrame, image: DataFrame, on: list[str] | None = None, half: float = 0.0) -> DataFrame:
     """``value`` of the cell that a point falls in by truncation; 0 where none is listed."""
-    on = on or ["subject"]
-    keyed = points.withColumns({f"c{c}": (F.col(c) + half).cast("int") for c in CELL})
-    cells = image.select(*on, *(F.col(c).alias(f"c{c}") for c in CELL), "value")
-    return keyed.join(cells, [*on, *(f"c{c}" for c in CELL)], "left").fillna(0.0, ["value"]).drop(*(f"c{c}" for c in CELL))
+    on = ["subject"] if on is None else on
+    return bricks.lookup(points, bricks.bricks(image, on), on, half)
 
 
 def orient_to_start(lines: DataFrame, starts: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
@@ -256,24 +255,9 @@ def every_nth(lines: DataFrame, n: int) -> DataFrame:
 
 
 def sample_trilinear(points: DataFrame, image: DataFrame, shape: tuple[int, int, int], on: list[str] | None = None) -> DataFrame:
-    """``sample``, linear between the eight cells around a point; 0 outside [0, n - 1] on any axis.
-
-    ``points`` needs a key besides ``on``: all its columns are grouped by. Corners of weight 0 aren't joined.
-    """
+    """``sample``, linear between the eight cells around a point; 0 outside [0, n - 1] on any axis. ``image`` may be what :func:`bricks.bricks` makes of one."""
     on = ["subject"] if on is None else on
-    keys = points.columns
-    ok = reduce(lambda a, b: a & b, [(F.col(c) >= 0) & (F.col(c) <= n - 1) for c, n in zip(CELL, shape, strict=True)])
-    corners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (0, 1) for j in (0, 1) for k in (0, 1)))
-    at = points.where(ok).withColumn("o_", F.explode(corners))
-    parts = []
-    for c, o in zip(CELL, "ijk", strict=True):
-        low = F.floor(c)
-        share = F.col(c) - low
-        parts.append((f"c{c}", (low + F.col(f"o_.{o}")).cast("int"), F.when(F.col(f"o_.{o}") == 1, share).otherwise(1 - share)))
-    weighed = at.withColumns({n: v for n, v, _ in parts} | {"w_": reduce(lambda a, b: a * b, [w for *_, w in parts])}).drop("o_").where("w_ > 0")
-    cells = image.select(*on, *(F.col(c).alias(f"c{c}") for c in CELL), F.col("value").alias("v_"))
-    got = weighed.join(cells, [*on, "cx", "cy", "cz"]).groupBy(*keys).agg(F.sum(F.col("w_") * F.col("v_")).alias("sample"))
-    return points.join(got, keys, "left").fillna(0.0, ["sample"])
+    return bricks.sample(points, image if "cells" in image.columns else bricks.bricks(image, on), shape, on)
 
 
 def nearest_point(points: DataFrame, centroids: DataFrame, on: list[str] | None = None) -> DataFrame:

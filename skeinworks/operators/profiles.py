@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import vec_cos, vec_norm
 from ..plans.stash import stash
 from . import lines as L
+from .bricks import bricks
 from .voxels import CELL, dilate
 
 BUNDLE = ["subject", "bundle"]
@@ -36,6 +37,7 @@ def profile(lines: DataFrame, image: DataFrame, starts: DataFrame, shape: tuple[
     even = stash(L.resample(oriented.join(enough, BUNDLE, "left_semi"), n), "even")
     points = L.explode_points(even)
     core = L.centroid(even)
+    image = stash(bricks(image, ["subject"] if image_on is None else image_on), "bricks")
     if method == "cutting_plane":
         found = cutting_plane(oriented.join(enough, BUNDLE, "left_semi"), core, image, shape, n, image_on)
     else:

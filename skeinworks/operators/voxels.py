@@ -1,7 +1,7 @@
 """Sparse voxel grids: ``(subject, bundle, x, y, z, value)``, absent cells are 0.
 
-Neighbours are reached by exploding a few offsets and grouping or joining on equal cells, never by
-comparing ranges.
+Neighbours are reached in dense blocks (:mod:`blocks`), or by exploding a few offsets and grouping or joining on equal cells,
+never by comparing ranges.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit, vec_norm
-from ..plans.components import components
+from .blocks import blobs, boxed
 
 IMAGE = ["subject", "bundle"]
 CELL = ["x", "y", "z"]
@@ -214,64 +214,41 @@ def dilate(mask: DataFrame, iterations: int, shape: Shape) -> DataFrame:
     return mask
 
 
-def _box_offsets(size: int) -> range:
-    return range(-((size - 1) // 2), size // 2 + 1)
-
-
 def dilate_box(mask: DataFrame, size: int, shape: Shape) -> DataFrame:
-    """Grows cells to a cube, an axis at a time."""
-    for i in range(3):
-        mask = _spread(mask, [tuple(o if k == i else 0 for k in range(3)) for o in _box_offsets(size)]).where(inside(shape)).distinct()
-    return mask
+    """Grows cells to a cube."""
+    return boxed(mask, [("grow", size)], shape)
 
 
 def erode_box(mask: DataFrame, size: int, shape: Shape) -> DataFrame:
-    """Keeps cells whose whole cube is set, an axis at a time; outside the grid nothing is."""
-    keys = mask.columns
-    for i in range(3):
-        moved = _spread(mask, [tuple(-o if k == i else 0 for k in range(3)) for o in _box_offsets(size)])
-        mask = moved.where(inside(shape)).groupBy(*keys).agg(F.count("*").alias("n_")).where(F.col("n_") == size).drop("n_")
-    return mask
+    """Keeps cells whose whole cube is set; outside the grid nothing is."""
+    return boxed(mask, [("wear", size)], shape)
 
 
 def close_holes(mask: DataFrame, size: int, shape: Shape, skip: list[str] | None = None) -> DataFrame:
     """Closes all bundles but those whose names begin with one of ``skip``."""
     if not skip:
-        return erode_box(dilate_box(mask, size, shape), size, shape)
+        return boxed(mask, [("grow", size), ("wear", size)], shape)
     out = reduce(lambda a, b: a | b, [F.col("bundle").startswith(s) for s in skip])
     return close_holes(mask.where(~out), size, shape).unionByName(mask.where(out))
 
 
-def cell_index(shape: Shape) -> Column:
-    return (F.col("x").cast("long") * shape[1] + F.col("y")) * shape[2] + F.col("z")
-
-
 def label_blobs(mask: DataFrame, shape: Shape, by: list[str] | None = None) -> DataFrame:
     """``mask`` with ``blob``: the first cell, in x, y, z order, that faces connect each cell to."""
     by = by or IMAGE
-    cells = mask.select(*by, *CELL).distinct()
-    own = cells.withColumn("node", cell_index(shape))
-    edges = None
-    for i in range(3):
-        step = [1 if k == i else 0 for k in range(3)]
-        back = own.withColumns({c: F.col(c) + d for c, d in zip(CELL, step, strict=True)}).withColumnRenamed("node", "b")
-        one = own.withColumnRenamed("node", "a").join(back, [*by, *CELL]).select(*by, "a", "b")
-        edges = one if edges is None else edges.union(one)
-    roots = components(edges, by)
-    return own.join(roots, [*by, "node"], "left").withColumn("blob", F.coalesce("root", "node")).drop("root", "node")
+    return blobs(mask, shape, by).drop("node")
 
 
-def blob_sizes(blobs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return blobs.groupBy(*(by or IMAGE), "blob").agg(F.count("*").alias("n"))
+def blob_sizes(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return found.groupBy(*(by or IMAGE), "blob").agg(F.count("*").alias("n"))
 
 
 def remove_small_blobs(mask: DataFrame, thr: int, shape: Shape, by: list[str] | None = None) -> DataFrame:
     """Drops blobs of at most ``thr`` cells; the largest (the first of several) always stays."""
     by = by or IMAGE
-    blobs = label_blobs(mask, shape, by)
+    found = label_blobs(mask, shape, by)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "blob"))
-    keep = blob_sizes(blobs, by).withColumn("r_", rank).where((F.col("n") > thr) | (F.col("r_") == 1)).select(*by, "blob")
-    return blobs.join(keep, [*by, "blob"], "left_semi").select(*by, *CELL)
+    keep = blob_sizes(found, by).withColumn("r_", rank).where((F.col("n") > thr) | (F.col("r_") == 1)).select(*by, "blob")
+    return found.join(keep, [*by, "blob"], "left_semi").select(*by, *CELL)
 
 
 def has_two_big_blobs(mask: DataFrame, thresholds: dict[str, int], shape: Shape) -> DataFrame:
