@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import let, size_ratio
-from ..plans.components import components
 from ..plans.stash import stash
 from . import bricks
+from .density import density_clusters
 from .voxels import CELL
 
 LINE = ["subject", "bundle", "line_id"]
@@ -291,17 +291,8 @@ def within_eps(points: DataFrame, eps: float, key: str, by: list[str]) -> DataFr
 
 
 def cluster_endpoints(points: DataFrame, key: str, by: list[str], eps: float = 3.0, least: int = 5) -> DataFrame:
-    """Density clusters (Ester et al., 1996): core points have ``least`` within ``eps``, themselves included; linked cores
-    share ``cluster`` (their smallest key), border points take their smallest core's, noise has null."""
-    near = within_eps(points, eps, key, by).select(*by, "a", "b")
-    both = near.union(near.select(*by, F.col("b"), F.col("a")))
-    core = both.groupBy(*by, "a").agg(F.count("*").alias("n_")).where(F.col("n_") + 1 >= least).select(*by, F.col("a"))
-    links = both.join(core, [*by, "a"]).join(core.withColumnRenamed("a", "b"), [*by, "b"]).select(*by, "a", "b")
-    roots = components(links, by).select(*by, F.col("node").alias("a"), F.col("root"))
-    cores = core.join(roots, [*by, "a"], "left").select(*by, "a", F.coalesce("root", "a").alias("cluster"))
-    border = both.join(core, [*by, "a"], "left_anti").join(cores.select(*by, F.col("a").alias("b"), "cluster"), [*by, "b"]).groupBy(*by, "a").agg(F.min("cluster").alias("cluster"))
-    found = cores.union(border).withColumnRenamed("a", key)
-    return points.join(found, [*by, key], "left")
+    """``points`` with ``cluster``, the smallest key of its density cluster; null for noise. See :func:`density_clusters`."""
+    return density_clusters(points, key, by, eps, least)
 
 
 def two_biggest_clusters(df: DataFrame, label: str, by: list[str]) -> DataFrame:

@@ -22,6 +22,11 @@ def changes(table: pa.Table | pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def own_places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each of consecutive groups of these sizes."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables that end where a group of equal keys does. A task holds a batch and one group at the most."""
     held: list[pa.RecordBatch] = []
