@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..plans.stash import stash
-
 from ..functions.student import r_to_p, t_to_p
 from ..functions.vectors import format_number
+from ..plans.stash import stash
+from .permuted import extremes, longest_runs
 
 CELL = ["bundle", "position"]
-#: Subjects of a cohort, at most: its table reaches the driver and is broadcast. Bundles whose sizes do so; permutations that are multiplied at once.
-SUBJECTS, BUNDLES, PORTION = 100_000, 10_000, 256
+#: Subjects of a cohort, at most: its table reaches the driver and is broadcast. Bundles whose sizes do so; rows of a table of permutations.
+SUBJECTS, BUNDLES, DEALT = 100_000, 10_000, 2_000_000
 
 
 def subject_rows(cohort: DataFrame, *columns: str) -> list[Row]:
@@ -31,33 +30,51 @@ def small(cohort: DataFrame, *columns: str) -> DataFrame:
     return F.broadcast(cohort.sparkSession.createDataFrame(subject_rows(cohort, *columns), cohort.select("subject", *columns).schema))
 
 
-def design(cohort: DataFrame, confounds: list[str], group: str | None = None) -> DataFrame:
-    """``subject, w``: rows of the design's pseudo-inverse, one weight for each confound's slope.
-
-    The design (intercept, confounds and, if given, the group) is subjects by a few columns and comes
-    to the driver; more than ``SUBJECTS`` is an error.
-    """
-    names = [*confounds, *([group] if group else [])]
-    rows = subject_rows(cohort, *names)
-    x = np.array([[1.0, *map(float, r[1:])] for r in rows])
-    inverse = np.linalg.pinv(x)[1 : 1 + len(confounds)]
-    return cohort.sparkSession.createDataFrame([(r[0], [float(v) for v in inverse[:, i]]) for i, r in enumerate(rows)], f"subject {dict(cohort.dtypes)['subject']}, w array<double>")
+def slopes_of(sums: np.ndarray, k: int) -> np.ndarray:
+    """Slopes of ``k`` regressors from rows of n, sums of x, products of x (upper triangle) and products with y, y's sum first; least ones where they aren't unique."""
+    n = np.maximum(sums[:, 0], 1)[:, None]
+    x, sy = sums[:, 1 : 1 + k], sums[:, 1 + k : 2 + k]
+    i, j = np.triu_indices(k)
+    xx = np.empty((len(sums), k, k))
+    xx[:, i, j] = xx[:, j, i] = sums[:, 2 + k : 2 + k + len(i)]
+    xy = sums[:, 2 + k + len(i) :] - x * sy / n
+    return (np.linalg.pinv(xx - x[:, :, None] * x[:, None, :] / n[:, :, None], rcond=1e-10, hermitian=True) @ xy[..., None])[..., 0]
 
 
 def unconfound(values: DataFrame, cohort: DataFrame, confounds: list[str], group: str | None = None, by: list[str] | None = None, value: str = "mean") -> DataFrame:
     """Values less the confounds' fitted slopes; the intercept, and the group's part, stay.
 
-    Every subject of the cohort must have a value in every cell; cells that lack one are dropped.
+    A cell's fit is over the subjects that have a value in it, by its normal equations: sums of products, one aggregation. Regressors are
+    counted from their cohort's mean, so that sums keep their digits. Null and NaN values stay as they are and count for no fit; subjects outside the cohort are left out.
     """
     by = by or CELL
-    w = design(cohort, confounds, group)
-    n = cohort.count()
-    joined = values.join(F.broadcast(w), "subject")
-    slopes = joined.groupBy(*by).agg(F.count("*").alias("n_"), *(F.sum(F.col("w")[k] * F.col(value)).alias(f"b{k}_") for k in range(len(confounds))))
-    named = cohort.select("subject", *(F.col(c).cast("double").alias(f"x{k}_") for k, c in enumerate(confounds)))
-    back = values.join(small(named, *named.columns[1:]), "subject")
-    fitted = sum((F.col(f"b{k}_") * F.col(f"x{k}_") for k in range(1, len(confounds))), F.col("b0_") * F.col("x0_"))
-    return back.join(slopes.where(F.col("n_") == n), by).withColumn(value, F.col(value) - fitted).select(*values.columns)
+    names = [*confounds, *([group] if group else [])]
+    k, rows = len(names), subject_rows(cohort, *names)
+    mean = np.array([[float(v) for v in r[1:]] for r in rows]).mean(0) if rows else np.zeros(k)
+    table = [(r[0], *(float(v) - float(m) for v, m in zip(r[1:], mean, strict=True))) for r in rows]
+    x = [f"x{i}_" for i in range(k)]
+    known = values.sparkSession.createDataFrame(table, f"subject {dict(cohort.dtypes)['subject']}, " + ", ".join(f"{c} double" for c in x))
+    joined = values.join(F.broadcast(known), "subject")
+    y = F.col(value).cast("double")
+    has = joined.where(y.isNotNull() & ~F.isnan(y))
+    pairs = [F.col(x[i]) * F.col(x[j]) for i, j in zip(*np.triu_indices(k), strict=True)]
+    parts = [F.lit(1.0), *map(F.col, x), y, *pairs, *(F.col(c) * y for c in x)]
+    sums = has.groupBy(*by).agg(F.array(*(F.sum(p) for p in parts)).alias("sums_"))
+
+    @F.pandas_udf("array<double>")
+    def solved(column: pd.Series) -> pd.Series:
+        return pd.Series(list(slopes_of(np.stack(column.to_numpy()), k))) if len(column) else pd.Series([], dtype=object)
+
+    slopes = sums.select(*by, solved("sums_").alias("b_"))
+    shift = [F.col(x[i]) + F.lit(float(mean[i])) for i in range(len(confounds))]
+    fitted = sum((F.col("b_")[i] * shift[i] for i in range(1, len(confounds))), F.col("b_")[0] * shift[0])
+    return joined.join(slopes, by, "left").withColumn(value, F.col(value) - F.coalesce(fitted, F.lit(0.0))).select(*values.columns)
+
+
+def target_unconfounded(cohort: DataFrame, confounds: list[str], target: str = "target") -> DataFrame:
+    """The cohort with its target less the confounds' slopes; other columns stay."""
+    one = unconfound(cohort.select("subject", F.lit(0).alias("one_"), F.col(target).cast("double").alias(target)), cohort, confounds, by=["one_"], value=target)
+    return cohort.drop(target).join(F.broadcast(small(one, target)), "subject")
 
 
 def student_t(sums: list[Column]) -> Column:
@@ -110,101 +127,19 @@ def permutation_stats(values: DataFrame, perms: DataFrame, mode: str, by: list[s
     :func:`permutation_matrix` for whole matrices.
     """
     by = by or CELL
-    joined = values.select("subject", *by, value).join(F.broadcast(perms), "subject")
+    few = perms.limit(DEALT + 1).count() <= DEALT
+    joined = values.select("subject", *by, value).join(F.broadcast(perms) if few else perms, "subject")
     if mode == "group":
         return t_statistics(joined, ["perm", *by], value, "label")
     return joined.groupBy("perm", *by).agg(F.corr(value, "label").alias("r"), F.count("*").alias("n"))
 
 
-def dealt(seed: int, perms: range, subjects: list[str], labels: np.ndarray) -> np.ndarray:
-    """The labels of some permutations, a row each, over ascending subjects: those of :func:`permutations`."""
-    out = np.empty((len(perms), len(subjects)))
-    for row, perm in enumerate(perms):
-        keys = [hashlib.md5(f"{seed}:{perm}:{s}".encode()).hexdigest() for s in subjects]
-        out[row, sorted(range(len(subjects)), key=keys.__getitem__)] = labels
-    return out
-
-
 def permutation_matrix(values: DataFrame, cohort: DataFrame, column: str, nperm: int, seed: int, mode: str, by: list[str] | None = None, value: str = "mean", family: list[str] | None = None) -> DataFrame:
-    """C5 and the first half of C6 at speed: ``family.., perm, df, stat_max, stat_min, abs_max`` for blocks of cells.
+    """C5 and the first half of C6 at speed: ``family.., perm, df, stat_max, stat_min, abs_max`` over blocks of cells; see :mod:`permuted`.
 
-    A task deals the labels out itself, ``PORTION`` permutations at a time, and multiplies them with its
-    cells' values; only the cohort's subjects and labels, at most ``SUBJECTS``, go along. A cell counts
-    the subjects that it has, so cells differ in degrees of freedom; the extremes are kept for each ``df``, and
-    no row of permutations x cells is made. An undefined statistic counts as 0.
+    A cell counts the subjects that it has, so cells differ in degrees of freedom; the extremes are kept for each ``df``.
     """
-    by, family = by or CELL, family or []
-    import pandas as pd
-
-    rows = subject_rows(cohort, column)
-    subjects, labels = [str(r[0]) for r in rows], np.array([float(r[1]) for r in rows])
-    place = {r[0]: k for k, r in enumerate(rows)}
-    shared = values.sparkSession.sparkContext.broadcast((subjects, labels, place))
-    packed = values.groupBy(*by).agg(F.collect_list(F.struct("subject", value)).alias("v_"))
-    names = [*family, "perm", "df", "stat_max", "stat_min", "abs_max"]
-    kinds = dict(values.dtypes)
-
-    def work(frames):
-        subjects, labels, place = shared.value
-        for pdf in frames:
-            groups = [(k if isinstance(k, tuple) else (k,), part) for k, part in pdf.groupby(family, sort=False)] if family else [((), pdf)]
-            matrices = []
-            for key, part in groups:
-                y = np.full((len(part), len(subjects)), np.nan)
-                for i, row in enumerate(part["v_"]):
-                    for v in row:
-                        if v["subject"] in place:
-                            y[i, place[v["subject"]]] = v[value]
-                matrices.append((key, y))
-            for low in range(0, nperm, PORTION):
-                perms = range(low, min(nperm, low + PORTION))
-                x = dealt(seed, perms, subjects, labels)
-                for key, y in matrices:
-                    stat = permuted_t(x, y) if mode == "group" else permuted_r(x, y)
-                    stat = np.where(np.isfinite(stat), stat, 0.0)
-                    df = np.isfinite(y).sum(1) - 2
-                    for d in np.unique(df):
-                        own = stat[:, df == d]
-                        out = pd.DataFrame({"perm": np.arange(perms.start, perms.stop), "df": int(d), "stat_max": own.max(1), "stat_min": own.min(1), "abs_max": np.abs(own).max(1)})
-                        for c, k in zip(family, key, strict=True):
-                            out[c] = k
-                        yield out[names]
-
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in family), "perm int, df int, stat_max double, stat_min double, abs_max double"])
-    part = packed.select(*family, "v_").mapInPandas(work, schema)
-    return part.groupBy(*family, "perm", "df").agg(F.max("stat_max").alias("stat_max"), F.min("stat_min").alias("stat_min"), F.max("abs_max").alias("abs_max"))
-
-
-def centred(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values less their cell's mean, 0 where a subject has none; and who has one."""
-    have = np.isfinite(y)
-    n = np.maximum(have.sum(1, keepdims=True), 1)
-    filled = np.where(have, y, 0.0)
-    return np.where(have, filled - filled.sum(1, keepdims=True) / n, 0.0), have.astype(float)
-
-
-def permuted_t(labels: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Student's t for each permutation and cell; ``y`` is cells x subjects, NaN where a subject has no value."""
-    y, have = centred(y)
-    n = have.sum(1)[None]
-    n1 = labels @ have.T
-    n0 = n - n1
-    s1 = labels @ y.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ss = (y * y).sum(1)[None] - s1 * s1 / n1 - s1 * s1 / n0
-        var = np.maximum(ss, 0) / (n - 2) * (1 / n0 + 1 / n1)
-        t = (-s1 / n0 - s1 / n1) / np.sqrt(var)
-    return np.where((n0 > 0) & (n1 > 0) & (n > 2) & (ss > 1e-18), t, np.nan)
-
-
-def permuted_r(labels: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Pearson's r for each permutation and cell, likewise."""
-    x = labels - labels.mean(1, keepdims=True)
-    y, have = centred(y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        sx = x @ have.T
-        xx = (x * x) @ have.T - sx * sx / have.sum(1)[None]
-        return (x @ y.T) / np.sqrt(xx * (y * y).sum(1)[None])
+    return extremes(values, subject_rows(cohort, column), nperm, seed, mode, by or CELL, value, family or [])
 
 
 def pick(df: DataFrame, value: str, alpha: float, nperm: int, family: list[str] | None = None) -> DataFrame:
@@ -251,11 +186,12 @@ def max_run(p: DataFrame, thr: float, by: list[str]) -> DataFrame:
     return p.select(*by).distinct().join(top, by, "left").fillna(1, ["max_run"])
 
 
-def cluster_fwe(perm_p: DataFrame, thr: float, alpha: float, nperm: int, family: list[str] | None = None) -> DataFrame:
-    """The cluster size of the permutations, in descending order, at alpha."""
+def cluster_fwe(longest: DataFrame, values: DataFrame, alpha: float, nperm: int, family: list[str] | None = None) -> DataFrame:
+    """The cluster size (longest run, plus one) of the permutations, in descending order, at alpha. Permutations without a row have no run; ``values`` name the families."""
     family = family or []
-    longest = max_run(perm_p, thr, [*family, "perm"]).withColumn("neg_", -F.col("max_run"))
-    return pick(longest, "neg_", alpha, nperm, family).withColumn("cluster_fwe", -F.col("neg_")).drop("neg_")
+    every = (values.select(*family).distinct() if family else values.sparkSession.range(1).select()).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(nperm - 1))))
+    sizes = every.join(longest, [*family, "perm"], "left").withColumn("neg_", -(F.coalesce("longest", F.lit(0)) + 1))
+    return pick(sizes, "neg_", alpha, nperm, family).withColumn("cluster_fwe", -F.col("neg_")).drop("neg_")
 
 
 def with_correction(stats: DataFrame, corrected: DataFrame, joint: bool) -> DataFrame:
@@ -301,19 +237,22 @@ def corrected_threshold(profiles: DataFrame, cohort: DataFrame, nperm: int, alph
     label, family = ("grp" if mode == "group" else "target"), ([] if joint else ["bundle"])
     if correction == "alpha":
         return alpha_fwe(permutation_matrix(profiles, cohort, label, nperm, seed, mode, family=family), alpha, nperm, family, mode)
-    found = permutation_stats(profiles, permutations(cohort, nperm, seed, label), mode)
-    p = found.withColumn("p", t_to_p(F.col("t"), F.col("df")) if mode == "group" else r_to_p(F.col("r"), F.col("n")))
-    return cluster_fwe(end_to_end(p) if joint else p, alpha, alpha, nperm, family)
+    values = end_to_end(profiles) if joint else profiles
+    longest = longest_runs(values, subject_rows(cohort, label), nperm, seed, mode, alpha, "mean", family)
+    return cluster_fwe(longest, values, alpha, nperm, family)
 
 
 def cohort_test(profiles: DataFrame, cohort: DataFrame, nperm: int = 1000, alpha: float = 0.05, seed: int = 1, joint: bool = True, mode: str = "group", correction: str = "alpha", confounds: list[str] | None = None) -> DataFrame:
     """The whole chain as a result table: confounds taken out, a statistic and p by cell, corrected over all bundles (``joint``) or by bundle.
 
     ``mode``: ``group`` (column grp, Student's t) or ``correlation`` (column target, Pearson's r). ``correction``:
-    ``alpha`` or ``cluster``.
+    ``alpha`` or ``cluster``. A correlation takes a fifth of the permutations, and its target loses the confounds' part as well.
     """
     if confounds:
         profiles = stash(unconfound(profiles, cohort, confounds, "grp" if mode == "group" else None), "unconfounded")
+    if mode == "correlation":
+        nperm //= 5
+        cohort = target_unconfounded(cohort, confounds) if confounds else cohort
     stats = ttest_ind(profiles, cohort) if mode == "group" else pearson(profiles, cohort)
     corrected = corrected_threshold(profiles, cohort, nperm, alpha, seed, joint, mode, correction)
     return result_table(stats, corrected, "t" if mode == "group" else "r", joint)

@@ -362,7 +362,7 @@ def t7_mean_profile(spark, d):
 # Cohort tests
 
 
-@query(sql("+j AS (SELECT * FROM profiles JOIN cohort USING (subject)), s AS (SELECT bundle,position,regr_slope(mean,age) AS b FROM j GROUP BY ALL HAVING count(*)=(SELECT count(*) FROM cohort)) SELECT subject,j.bundle,j.position,round(mean-b*age,6) AS mean FROM j JOIN s USING (bundle,position)", "profiles", "cohort"))
+@query(sql("+j AS (SELECT * FROM profiles JOIN cohort USING (subject)), s AS (SELECT bundle,position,regr_slope(mean,age) AS b FROM j GROUP BY ALL ) SELECT subject,j.bundle,j.position,round(mean-coalesce(b*age,0),6) AS mean FROM j JOIN s USING (bundle,position)", "profiles", "cohort"))
 def c1_unconfound(spark, d):
     return rounded(C.unconfound(fx.profiles(spark, d), fx.cohort(spark, d), ["age"]), "mean").select("subject", "bundle", "position", "mean")
 
@@ -393,7 +393,7 @@ def c4_permutations(spark, d):
     return C.permutations(fx.cohort(spark, d), 20, 3, "grp")
 
 
-def shuffled_sql(seed: int, n: int, mode: str = "group") -> str:
+def shuffled_sql(seed: int, n: int, mode: str = "group", profiles: str = "profiles", cohort: str = "cohort") -> str:
     """``pt(perm,bundle,position,t,v)``: the permutations' statistics and degrees of freedom, ``pp`` with p; ``st``, ``sp``: the real ones."""
     if mode == "group":
         stat = lambda g, by, rows: f"SELECT {by}bundle,position,{TSTAT} AS t,n0+n1-2 AS v FROM (SELECT {by}bundle,position,{GROUPED.format(g=g)} FROM {rows} GROUP BY ALL)"
@@ -403,7 +403,8 @@ def shuffled_sql(seed: int, n: int, mode: str = "group") -> str:
         t = "(t*sqrt(v/(1-t*t)))"
     label = "grp" if mode == "group" else "target"
     p = T2P.format(t=t, v="v")
-    return f"{perms_sql(seed, n, label)}, pt AS ({stat('label', 'perm,', 'profiles JOIN perms USING (subject)')}), pp AS (SELECT *, {p} AS p FROM pt WHERE t IS NOT NULL), st AS ({stat(label, '', 'profiles JOIN cohort USING (subject)')}), sp AS (SELECT *, {p} AS p FROM st WHERE t IS NOT NULL)"
+    perms = perms_sql(seed, n, label).replace("FROM cohort", f"FROM {cohort}")
+    return f"{perms}, pt AS ({stat('label', 'perm,', f'{profiles} JOIN perms USING (subject)')}), pp AS (SELECT *, {p} AS p FROM pt WHERE t IS NOT NULL), st AS ({stat(label, '', f'{profiles} JOIN {cohort} USING (subject)')}), sp AS (SELECT *, {p} AS p FROM st WHERE t IS NOT NULL)"
 
 
 @query(sql("+" + PERMS + ", a AS (SELECT perm,bundle,position," + GROUPED.format(g="label") + " FROM profiles JOIN perms USING (subject) GROUP BY ALL) SELECT perm,bundle,position,round(" + TSTAT + ",5) AS t,n0+n1-2 AS df FROM a", "profiles", "cohort"))
@@ -477,7 +478,7 @@ def c8_result_table_by_bundle(spark, d):
 
 @query(sql("+" + shuffled_sql(1, 200, "correlation") + ALPHA.format(family="bundle,", picked=picked_sql("m", "p", 10)) + f", {BEST} {TABLE} JOIN k USING (bundle)", "profiles", "cohort"))
 def c8_correlation_table(spark, d):
-    return C.cohort_test(fx.profiles(spark, d), fx.cohort(spark, d), 200, joint=False, mode="correlation")
+    return C.cohort_test(fx.profiles(spark, d), fx.cohort(spark, d), 1000, joint=False, mode="correlation")
 
 
 JOINED = ", begins AS (SELECT bundle,coalesce(sum(hi) OVER (ORDER BY bundle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS b FROM (SELECT bundle,max(position)+1 AS hi FROM pt GROUP BY 1)), one AS (SELECT perm,position+b AS position,p FROM pp JOIN begins USING (bundle))"
@@ -488,11 +489,39 @@ def c7_cluster_table(spark, d):
     return C.cohort_test(fx.profiles(spark, d), fx.cohort(spark, d), 50, correction="cluster").withColumn("clusterFWE", F.col("clusterFWE").cast("long"))
 
 
-@query()
+def determinant(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    minors = [determinant([r[:k] + r[k + 1 :] for r in m[1:]]) for k in range(len(m))]
+    return "(" + "".join(("+" if k % 2 == 0 else "-") + f"{m[0][k]}*{d}" for k, d in enumerate(minors)) + ")"
+
+
+def unconfounded_sql(name: str, rows: str, by: str, value: str, confounds: list[str], group: str | None = None) -> str:
+    """``name``: ``rows(subject, by.., value)`` with the confounds' slopes taken out, by Cramer's rule on each cell's normal equations."""
+    x = [*confounds, *([group] if group else [])]
+    s = [[f"covar_pop({a},{b})" for b in x] for a in x]
+    y = [f"covar_pop({a},{value})" for a in x]
+    slopes = ",".join(f"{determinant([r[:k] + [y[i]] + r[k + 1 :] for i, r in enumerate(s)])}/{determinant(s)} AS b{k}" for k in range(len(confounds)))
+    fitted = "+".join(f"b{k}*{c}" for k, c in enumerate(confounds))
+    others = "" if value != "target" else ",grp,age,sex"
+    keys = f"{by}," if by else ""
+    return f"{name}_j AS (SELECT * FROM {rows}), {name}_b AS (SELECT {keys}{slopes} FROM {name}_j GROUP BY ALL), {name} AS (SELECT subject,{keys}{value}-({fitted}) AS {value}{others} FROM {name}_j JOIN {name}_b {'USING (' + by + ')' if by else 'ON true'})"
+
+
+CORRECTED = unconfounded_sql("pc", "profiles JOIN cohort USING (subject)", "bundle,position", "mean", ["age", "sex"], "grp")
+CORRECTED_R = unconfounded_sql("pc", "profiles JOIN cohort USING (subject)", "bundle,position", "mean", ["age", "sex"]) + ", " + unconfounded_sql("cc", "cohort", "", "target", ["age", "sex"])
+
+
+@query(sql("+" + CORRECTED + ", " + shuffled_sql(1, 200, profiles="pc") + ALPHA.format(family="", picked=picked_sql("m", "p", 10, "")) + f", {BEST} {TABLE}, k", "profiles", "cohort"))
 def c8_confounded_table(spark, d):
     return C.cohort_test(fx.profiles(spark, d), fx.cohort(spark, d), 200, confounds=["age", "sex"])
 
 
+@query(sql("+" + CORRECTED_R + ", " + shuffled_sql(1, 200, "correlation", "pc", "cc") + ALPHA.format(family="bundle,", picked=picked_sql("m", "p", 10)) + f", {BEST} {TABLE} JOIN k USING (bundle)", "profiles", "cohort"))
+def c8_confounded_correlation(spark, d):
+    return C.cohort_test(fx.profiles(spark, d), fx.cohort(spark, d), 1000, joint=False, mode="correlation", confounds=["age", "sex"])
+
+
 @query(sql("+" + shuffled_sql(1, 100) + ALPHA.format(family="bundle,", picked=picked_sql("m", "p", 5)) + " SELECT bundle,st.position,coalesce(CAST(sp.p<=k.p AS INT),0) AS significant,round(-log10(sp.p),5)+0.0 AS detail FROM st LEFT JOIN sp USING (bundle,position) JOIN k USING (bundle)", "profiles", "cohort"))
 def c9_significant_mask(spark, d):
     p, c = fx.profiles(spark, d), fx.cohort(spark, d)
