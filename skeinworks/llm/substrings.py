@@ -18,6 +18,7 @@ Hashes only choose what is compared: equal windows are equal words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .runs import joined_words
 
 #: Bytes of text in a block; hashes, and suffixes, that meet in a task, about; suffixes that may share a prefix.
 BLOCK_BYTES, PART_HASHES, PART_SUFFIXES, GROUP = 6 << 20, 2_500_000, 400_000, 200_000
+#: Passes over the suffixes, each with its share of the groups: the files of its shuffle are gone before the next.
+PASSES = 2
 #: Of more prefixes than these, groups grow instead.
 PREFIXES = 200_000
 BLOCK, BITS, SUFFIXES, FLAGS = range(4)
@@ -69,6 +72,15 @@ def names_of(raw: bytes) -> pa.Array:
     return binary_array(np.frombuffer(letters, np.uint8), from_bytes(raw[4 : 4 + n]))
 
 
+def numbered_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes in use, most frequent first, and numbers of all in that order: small numbers compress better."""
+    used, at, n = np.unique(codes, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(used), np.int64)
+    place[order] = np.arange(len(used))
+    return used[order], place[at.ravel()]
+
+
 def row(part: int, kind: int, block: int, n: int, **fields: bytes) -> pa.RecordBatch:
     values = [pa.array([part], pa.int64()), pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([n], pa.int64())]
     return pa.RecordBatch.from_arrays([*values, *(pa.array([fields.get(f)], pa.binary()) for f in FIELDS)], ["part", "kind", "block", "n", *FIELDS])
@@ -199,7 +211,7 @@ def nominated(size: int, parts: int):
         np.add.at(cover, start, 1)
         np.add.at(cover, start + size, -1)
         inside = np.cumsum(cover[:-1]) > 0
-        used, codes = np.unique(w.codes[inside], return_inverse=True)
+        used, codes = numbered_words(w.codes[inside])
         yield row(block, SUFFIXES, block, len(at), ids=to_bytes(w.low[at].view(np.uint64)), counts=to_bytes((np.cumsum(inside) - 1)[start]), names=names_bytes(w.names.take(pa.array(used))), codes=to_bytes(codes), places=to_bytes(at))
 
     return work
@@ -231,8 +243,8 @@ def crowded(table: DataFrame, size: int, most: int) -> list[np.ndarray]:
     return found
 
 
-def dealt(table: DataFrame, size: int, parts: int, long: list[np.ndarray]) -> DataFrame:
-    """Suffixes, by their shortest prefix that isn't crowded."""
+def dealt(table: DataFrame, size: int, parts: int, long: list[np.ndarray], turn: int, turns: int) -> DataFrame:
+    """Suffixes, by their shortest prefix that isn't crowded: those of every ``turns``-th part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,11 +258,12 @@ def dealt(table: DataFrame, size: int, parts: int, long: list[np.ndarray]) -> Da
                     on = on[np.isin(prefix[on], above)]
                     prefix[on] = rolled(word, start[on], k + 2)
                 place = (prefix % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
+                mine = np.flatnonzero(place % turns == turn)
+                order = mine[np.argsort(place[mine], kind="stable")]
                 for p, s in slices(place[order], parts):
                     at = order[s]
-                    used, text = np.unique(codes[start[at, None] + np.arange(size)].T, return_inverse=True)
-                    yield row(p, SUFFIXES, b["block"], len(at), ids=to_bytes(low[at].view(np.uint64)), names=names_bytes(names.take(pa.array(used))), codes=to_bytes(text.ravel()), places=to_bytes(number[at]))
+                    used, text = numbered_words(codes[start[at, None] + np.arange(size)].T)
+                    yield row(p, SUFFIXES, b["block"], len(at), ids=to_bytes(low[at].view(np.uint64)), names=names_bytes(names.take(pa.array(used))), codes=to_bytes(text), places=to_bytes(number[at]))
 
     return table.mapInArrow(work, PACKED)
 
@@ -330,6 +343,19 @@ def finished(size: int):
     return work
 
 
+def repeated(table: DataFrame, size: int) -> list[DataFrame]:
+    """The windows of each of the blocks ``table`` that have a smaller id elsewhere, a stored table for each pass."""
+    with scratch() as keep:
+        total = table.agg(F.sum("n")).first()[0] or 0
+        parts, bits = max(8, total // PART_HASHES), min(64, max(24, int(total).bit_length() + 12))
+        found = by_part(asked(table, size, parts, bits), "part", shared, PACKED)
+        suffixes = stash(by_part(found.unionByName(table), "block", nominated(size, parts), PACKED), "suffixes")
+        many = suffixes.agg(F.sum("n")).first()[0] or 0
+        groups = max(8, many // PART_SUFFIXES)
+        long = crowded(suffixes, size, max(GROUP, many // PREFIXES))
+        return [keep(stash(by_part(dealt(suffixes, size, groups, long, k, PASSES), "part", tree(size), PACKED), "flags")) for k in range(PASSES)]
+
+
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
     """``id, n_words, removed, kept`` for each row of ``df``, a stored table.
 
@@ -342,13 +368,5 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cols = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     with scratch() as keep, batches_of(spark, 8):
         table = stash(blocks(cols), "blocks")
-        total = table.agg(F.sum("n")).first()[0] or 0
-        parts, bits = max(8, total // PART_HASHES), min(64, max(24, int(total).bit_length() + 12))
-        found = by_part(asked(table, size, parts, bits), "part", shared, PACKED)
-        suffixes = stash(by_part(found.unionByName(table), "block", nominated(size, parts), PACKED), "suffixes")
-        many = suffixes.agg(F.sum("n")).first()[0] or 0
-        groups = max(8, many // PART_SUFFIXES)
-        long = crowded(suffixes, size, max(GROUP, many // PREFIXES))
-        flags = by_part(dealt(suffixes, size, groups, long), "part", tree(size), PACKED)
-        out = by_part(flags.unionByName(table), "block", finished(size), RESULT)
+        out = by_part(reduce(DataFrame.unionByName, repeated(table, size), table), "block", finished(size), RESULT)
         return keep(stash(out.withColumnRenamed("id", id_col), "kept"))
