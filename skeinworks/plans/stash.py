@@ -60,6 +60,8 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     token = _made.set(own)
 
     def keep(df: DataFrame) -> DataFrame:
+        if not any(t is df for t in own):
+            raise ValueError("only a table that was stashed here can be kept")
         own[:] = [t for t in own if t is not df]
         if outer is not None:
             outer.append(df)
@@ -103,9 +105,13 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.withColumn(name, (F.col("begin_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("at_", "part_", "begin_")
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unstash(*tables: DataFrame) -> None:
     """Deletes tables of :func:`stash` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.stashed_at)
