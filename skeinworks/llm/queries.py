@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.stash import scratch, shared_dir, stash
+from ..plans.stash import delete, scratch, shared_dir, stash
 from . import backoff, chat_bytes, decontam, fixity, huffman, line_labels, manifest, packing, runs, simhash, substrings, token_counts, toxicity
 from .rows import small_batches
 
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages against a replica of them with planted faults: changed letters, lost and added records, and copies of an id of which one changed."""
+    """The pages against a replica in WARC files with planted faults: changed letters, bytes that are no UTF-8, heads that can't be read, lost and added records, and copies of an id of which one changed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     copied = F.pmod("page_id", F.lit(53)) == 2
     twice = pages.where(copied)
@@ -30,7 +30,19 @@ def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = mark(pages.where(F.pmod("page_id", F.lit(101)) != 7), F.pmod("page_id", F.lit(97)) == 5)
     added = pages.where(F.pmod("page_id", F.lit(211)) == 3).withColumn("page_id", F.col("page_id") + (1 << 40))
     theirs = fixity.warc_records(changed.union(added).union(twice).union(mark(twice, F.pmod("page_id", F.lit(3)) == 1)))
-    return fixity.report(ours, theirs).withColumnRenamed("key", "page_id")
+    length = F.lit(b"Content-Length: ")
+    head = F.expr("locate('Content-Length: ', record)").cast("int")
+    plain = F.octet_length("record")
+    broken = F.concat(F.substring("record", 1, head - 1), F.lit(b"Content-Length: ?"), F.substring("record", head + F.octet_length(length), plain))
+    ended = F.concat(F.substring("record", 1, plain - 1), F.lit(b"\xff"))
+    record = F.when(F.pmod("key", F.lit(113)) == 9, broken).when((F.pmod("key", F.lit(89)) == 4) & (plain > 0), ended).otherwise(F.col("record"))
+    with scratch() as keep:
+        folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+        fixity.write_warc(theirs.withColumn("record", record), folder)
+        read = fixity.read_warc(spark, folder)
+        report = fixity.report(ours, read.where("key IS NOT NULL"))
+        delete(spark, folder)
+        return keep(report).withColumnRenamed("key", "page_id")
 
 
 def op2_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +124,11 @@ rec AS (SELECT 'a' AS side, page_id, url, html FROM p UNION ALL SELECT 'a', page
         UNION ALL SELECT 'b', page_id + (1::BIGINT << 40), url, html FROM p WHERE page_id % 211 = 3
         UNION ALL SELECT 'b', page_id, url, html FROM p WHERE page_id % 53 = 2
         UNION ALL SELECT 'b', page_id, url, CASE WHEN page_id % 3 = 1 THEN other ELSE html END FROM p WHERE page_id % 53 = 2),
-w AS (SELECT side, page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+text AS (SELECT side, page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
       || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
       || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html AS r FROM rec),
-h AS (SELECT page_id, page_id >> 12 AS archive, sha256(r) AS hash, CAST(strlen(r) AS BIGINT) AS bytes, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM w GROUP BY ALL),
+w AS (SELECT side, page_id, CASE WHEN side = 'b' AND page_id % 89 = 4 THEN encode(r[:-2]) || unhex('FF') ELSE encode(r) END AS r FROM text WHERE NOT (side = 'b' AND page_id % 113 = 9)),
+h AS (SELECT page_id, page_id >> 12 AS archive, sha256(r) AS hash, CAST(octet_length(r) AS BIGINT) AS bytes, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM w GROUP BY ALL),
 o AS (SELECT *, CAST(coalesce(sum(a * (bytes + 4)) OVER (PARTITION BY archive ORDER BY page_id, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
              row_number() OVER (PARTITION BY page_id, sign(a - b) ORDER BY hash) AS nth FROM h)
 SELECT coalesce(x.archive, y.archive) AS archive, coalesce(x.page_id, y.page_id) AS page_id, x."offset", x.bytes, x.hash, x.a AS copies, least(x.a, x.b) AS matched,

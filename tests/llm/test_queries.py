@@ -494,8 +494,8 @@ def test_fixity_finds_planted_faults(spark, tmp_path):
     fixity.write_warc(ours, str(tmp_path / "warc"))
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "warc").glob("part-*")))
     assert raw.count(b"WARC/1.1\r\n") == len(pages) and raw.endswith(b"\r\n\r\n")
-    back = fixity.read_warc(spark, str(tmp_path / "warc"))
-    assert sorted(back.collect()) == sorted(ours.collect())
+    back = fixity.read_warc(spark, str(tmp_path / "warc")).select("key", "record")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, ours.collect()))
     assert {r["status"] for r in fixity.report(ours, back).collect()} == {"ok"}
 
 
@@ -516,10 +516,47 @@ def test_fixity_of_repeated_ids_and_empty_tables(spark):
 def test_fixity_reads_mismatching_branches_only(spark):
     """Hashes cover the ordered ranges: a longer record changes its own branch and no sibling's."""
     pages = [(i, "u", "x" * (i % 7)) for i in range(4096 * 2)]
-    make = lambda rows: fixity.leaves(fixity.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string")))
-    changed = [(i, u, h + "longer" if i == 300 else h) for i, u, h in pages]
-    nodes = fixity.stash(fixity.trees(fixity.both(make(pages), make(changed))), "nodes")
-    differ = {(r["level"], r["archive"], r["node"]) for r in nodes.where("NOT hash_a <=> hash_b").collect()}
-    assert differ == {(3, 0, 0), (2, 0, 300 >> 8), (1, 0, 300 >> 4), (0, 0, 300)}
-    assert [tuple(r) for r in fixity.audit(nodes).collect()] == [(0, 300)]
-    assert nodes.where("level = 3").count() == 2 and nodes.where("level = 2").count() == 32
+    make = lambda rows: fixity.stash(fixity.tree(fixity.leaves(fixity.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string")))), "nodes")
+    ours = make(pages)
+    bad, levels = fixity.audit(ours, make([(i, u, h + "longer" if i == 300 else h) for i, u, h in pages]))
+    assert [[tuple(r) for r in x.collect()] for x in levels] == [[(0, 0)], [(0, 300 >> 8)], [(0, 300 >> 4)], [(0, 300)]]
+    assert [tuple(r) for r in bad.collect()] == [(0, 300)]
+    assert ours.where("level = 3").count() == 2 and ours.where("level = 2").count() == 32
+    bad, levels = fixity.audit(ours, make(pages))
+    assert bad.count() == 0 and len(levels) == 1
+
+
+def test_fixity_reads_damaged_files(spark, tmp_path):
+    import gzip
+
+    pages = [(i, f"http://x/{i}", f"<p>{i} WARC/1.1 \r\n\r\n {'é' * (i % 5)}</p>") for i in range(12)]
+    ours = fixity.warc_records(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    raw = {r["key"]: bytes(r["record"]) for r in ours.collect()}
+    bad = dict(raw)
+    bad[2] = raw[2][:-1] + b"\xff"  # no UTF-8
+    bad[4] = raw[4].replace(b"Content-Length: ", b"Content-Length: x")
+    bad[6] = raw[6].replace(b"Content-Length: ", b"Content-Length: 9")
+    bad[8] = raw[8].replace(b"WARC-Record-ID", b"WARC-Record+ID")
+    bad[11] = raw[11][:-3]
+    want = {2: "corrupt", 4: "missing", 6: "corrupt", 8: "missing", 11: "corrupt"}
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a.warc").write_bytes(b"\r\n\r\n".join(bad[k] for k in range(12)))
+    read = fixity.read_warc(spark, str(tmp_path / "plain"))
+    assert {r["key"]: r["status"] for r in fixity.report(ours, read.where("key IS NOT NULL")).collect() if r["status"] != "ok"} == want
+    lost = read.where("key IS NULL").orderBy("at").collect()
+    assert [bytes(r["record"]) for r in lost] == [bad[4], bad[8]]
+    (tmp_path / "packed").mkdir()
+    members = [bytearray(gzip.compress(raw[k] + b"\r\n\r\n")) for k in range(12)]
+    members[3][len(members[3]) // 2] ^= 255
+    members[5][:4] = b"oops"
+    members[11] = members[11][:9]
+    (tmp_path / "packed" / "a.warc.gz").write_bytes(b"".join(members))
+    read = fixity.read_warc(spark, str(tmp_path / "packed"))
+    got = {r["key"]: r["status"] for r in fixity.report(ours, read.where("key IS NOT NULL")).collect() if r["status"] != "ok"}
+    assert set(got) == {3, 5, 11} and read.where("key IS NULL").count() >= 2
+    fixity.write_warc(ours, str(tmp_path / "gz"), "gzip")
+    assert {r["status"] for r in fixity.report(ours, fixity.read_warc(spark, str(tmp_path / "gz"))).collect()} == {"ok"}
+    (tmp_path / "odd").mkdir()
+    for k, data in enumerate([b"", b"nothing here", b"\r\n\r\n", b"WARC/1.1\r\n\r\n", raw[1] + b"\r\n\r\n"]):
+        (tmp_path / "odd" / f"{k}.warc").write_bytes(data)
+    assert [r["key"] for r in fixity.read_warc(spark, str(tmp_path / "odd")).collect() if r["key"] is not None] == [1]
