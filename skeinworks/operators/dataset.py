@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import _euler, flip_component, let, rotate_euler, rotate_tensor, tensor_to_vec, unit_hash, vec_norm, vec_to_tensor
 from ..plans.stash import numbered
@@ -212,11 +215,49 @@ def fit_tensor(signal: DataFrame, gradients: list[tuple[float, float, float, flo
 
     The design is shared, so its pseudo-inverse (7 x directions) is a small table and the fit a weighted sum.
     """
-    import numpy as np
-
     b, g = np.array(gradients)[:, 0], np.array(gradients)[:, 1:]
     x = np.column_stack([-b * g[:, i] * g[:, j] * (1 if i == j else 2) for i in range(3) for j in range(i, 3)] + [np.ones(len(b))])
     inverse = np.linalg.pinv(x)[:6]
     w = signal.sparkSession.createDataFrame([(i, [float(v) for v in inverse[:, i]]) for i in range(len(b))], "idx int, w array<double>")
     y = F.log(F.greatest(F.col("value"), F.lit(1e-6)))
     return signal.join(F.broadcast(w), "idx").groupBy(*by).agg(F.array(*(F.sum(F.col("w")[k] * y) for k in range(6))).alias("t"))
+
+
+def weighted_tensors(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Coefficients of each row of log signals (NaN where missing) on the design ``x``: least squares, then once more weighted by the squares of the fitted signals."""
+    have = np.isfinite(y)
+    filled = np.where(have, y, 0.0)
+    weight = have.astype(float)
+    for last in (False, True):
+        normal = np.einsum("nd,di,dj->nij", weight, x, x)
+        beta = (np.linalg.pinv(normal, rcond=1e-12, hermitian=True) @ np.einsum("nd,di,nd->ni", weight, x, filled)[..., None])[..., 0]
+        if not last:
+            log = beta @ x.T
+            log = np.where(have, log, -np.inf)
+            # only the weights' proportions matter
+            weight = np.exp(2 * (log - np.maximum(log.max(axis=1, keepdims=True), -700.0)))
+    return beta
+
+
+def fit_tensor_weighted(signal: DataFrame, gradients: list[tuple[float, float, float, float]], by: list[str]) -> DataFrame:
+    """G19, weighted: ``by.., t, s0``. Directions that a cell lacks count for nothing; values under 1e-6 as that.
+
+    A cell's values come together once, one for each direction at most, and the tasks solve batches of 7 x 7 normal equations.
+    """
+    b, g = np.array(gradients)[:, 0], np.array(gradients)[:, 1:]
+    x = np.column_stack([-b * g[:, i] * g[:, j] * (1 if i == j else 2) for i in range(3) for j in range(i, 3)] + [np.ones(len(b))])
+    packed = signal.where(F.col("idx").between(0, len(b) - 1)).groupBy(*by).agg(F.collect_list(F.struct("idx", F.col("value").cast("double").alias("value"))).alias("v_"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v_")
+            flat = lists.flatten()
+            y = np.full((len(lists), len(b)), np.nan)
+            value = flat.field("value").to_numpy(zero_copy_only=False)
+            y[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), flat.field("idx").to_numpy()] = np.log(np.maximum(value, 1e-6))
+            beta = weighted_tensors(y, x)
+            tensors = pa.ListArray.from_arrays(pa.array(np.arange(len(beta) + 1, dtype=np.int32) * 6), pa.array(beta[:, :6].ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), tensors, pa.array(np.exp(beta[:, 6]))], [*by, "t", "s0"])
+
+    schema = T.StructType([*(packed.schema[c] for c in by), T.StructField("t", T.ArrayType(T.DoubleType())), T.StructField("s0", T.DoubleType())])
+    return packed.mapInArrow(work, schema)

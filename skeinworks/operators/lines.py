@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import let, size_ratio
 from ..plans.stash import stash
-from . import bricks
+from . import bricks, forests
+from .curves import compress, smooth_spline  # noqa: F401
 from .density import density_clusters
 from .voxels import CELL
 
@@ -159,7 +160,7 @@ def filter_endpoints(lines: DataFrame, start: DataFrame, end: DataFrame) -> Data
 
 
 def smooth(lines: DataFrame, reach: int = 2) -> DataFrame:
-    """Moving mean of up to ``reach`` points on both sides; ends stay."""
+    """L9, plainly: moving mean of up to ``reach`` points on both sides; ends stay."""
     pts = F.col("points")
 
     def one(p: Column, i: Column) -> Column:
@@ -170,39 +171,6 @@ def smooth(lines: DataFrame, reach: int = 2) -> DataFrame:
     return lines.withColumn("points", F.transform(pts, one))
 
 
-def compress(lines: DataFrame, tol: float = 0.1) -> DataFrame:
-    """Drops points that lie within ``tol`` of the polyline through those that stay (Ramer, 1972); ends stay."""
-    import numpy as np
-    import pandas as pd
-
-    def thin(p: np.ndarray) -> np.ndarray:
-        keep = np.zeros(len(p), bool)
-        keep[[0, -1]] = True
-        todo = [(0, len(p) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            d = p[b] - p[a]
-            rel = p[a + 1 : b] - p[a]
-            size = float(d @ d)
-            t = np.clip(rel @ d / size, 0, 1) if size > 0 else np.zeros(len(rel))
-            far = np.linalg.norm(rel - t[:, None] * d, axis=1)
-            k = int(far.argmax())
-            if far[k] > tol:
-                keep[a + 1 + k] = True
-                todo += [(a, a + 1 + k), (a + 1 + k, b)]
-        return p[keep]
-
-    def work(frames):
-        for pdf in frames:
-            out = pdf.copy()
-            out["points"] = [[dict(zip(CELL, map(float, q), strict=True)) for q in thin(np.array([[r["x"], r["y"], r["z"]] for r in pts], float))] if len(pts) else [] for pts in pdf["points"]]
-            yield pd.DataFrame(out)
-
-    return lines.mapInPandas(work, lines.schema)
-
-
 def pad_lines(lines: DataFrame, n: int, point: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
     """Appends ``point`` up to ``n`` points."""
     filler = F.struct(*(F.lit(float(v)).alias(c) for c, v in zip(CELL, point, strict=True)))
@@ -301,15 +269,10 @@ def two_biggest_clusters(df: DataFrame, label: str, by: list[str]) -> DataFrame:
     return df.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(w)).where("rank <= 2")
 
 
-def classify_endpoints(points: DataFrame, label: str, seed: int = 0) -> DataFrame:
-    """A forest of ten trees, trained on the labelled points (0 and 1), labels all."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    vec = VectorAssembler(inputCols=CELL, outputCol="features_")
-    known = vec.transform(points.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")))
-    model = RandomForestClassifier(featuresCol="features_", labelCol=label, numTrees=10, seed=seed, predictionCol="side").fit(known)
-    return model.transform(vec.transform(points)).select(*points.columns, F.col("side").cast("int").alias("side"))
+def classify_endpoints(points: DataFrame, label: str, key: str, by: list[str] | None = None, trees: int = 10, seed: int = 0) -> DataFrame:
+    """``points`` with ``side``: each group's forest, grown on its points with a ``label`` of 0 or 1, labels all of the group's."""
+    by = by or ["subject", "bundle"]
+    return forests.labelled(points, forests.grown(points, label, key, by, trees=trees, seed=seed), key, by)
 
 
 def two_means(points: DataFrame, key: str, by: list[str], rounds: int = 50) -> DataFrame:

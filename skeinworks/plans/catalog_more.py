@@ -181,6 +181,17 @@ def g19_fit_tensor(spark, d):
     return fitted.select("vec_id", F.round(X.fractional_anisotropy(F.col("l")[0], F.col("l")[1], F.col("l")[2]), 6).alias("fa"))
 
 
+#: Thirty measurements: one without weighting, and the directions above at three strengths.
+MEASURED = [GRADIENTS[0]] + [((1.0, 0.5, 2.0)[k // 12], *GRADIENTS[1 + k % 12][1:]) for k in range(29)]
+
+
+@query()
+def g19_fit_tensor_weighted(spark, d):
+    signal = fx.predictions(spark, d).select("vec_id", (F.col("direction") - 1).alias("idx"), F.col("prob").alias("value"))
+    fitted = D.fit_tensor_weighted(signal, MEASURED, ["vec_id"]).withColumn("l", X.eigenvalues("t"))
+    return fitted.select("vec_id", F.round(X.fractional_anisotropy(F.col("l")[0], F.col("l")[1], F.col("l")[2]), 6).alias("fa"), r6("s0"))
+
+
 # Polylines
 
 
@@ -259,6 +270,11 @@ def l9_smooth(spark, d):
     return L.explode_points(L.smooth(fx.lines(spark, d), 2)).select(*L.LINE, "pos", r6("x"))
 
 
+@query()
+def l9_smooth_spline(spark, d):
+    return L.explode_points(L.smooth_spline(fx.lines(spark, d), 5.0)).select(*L.LINE, "pos", *(r6(c, c) for c in C3))
+
+
 @query()
 def l10_compress(spark, d):
     return L.compress(fx.lines(spark, d), 5.0).select(*L.LINE, F.size("points").alias("n_points"))
@@ -303,10 +319,20 @@ def l14_split_endpoints(spark, d):
     return L.split_endpoints(ends_keyed(spark, d), "k", I, 12.0, 3).select(*I, "k", "side")
 
 
+def sided(spark, d):
+    """Ends of lines, the clusters' sides as labels, and the side that each bundle's forest gives all of them."""
+    return L.classify_endpoints(L.split_endpoints(ends_keyed(spark, d), "k", I, 12.0, 3).withColumnRenamed("side", "known"), "known", "k")
+
+
 @query()
 def l15_classify_endpoints(spark, d):
-    p = ends_keyed(spark, d).withColumn("known", F.when(F.col("z") < 10, 0).when(F.col("z") > 40, 1))
-    return L.classify_endpoints(p, "known").select(*I, "k", "side")
+    return sided(spark, d).select(*I, "k", "known", "side")
+
+
+@query()
+def l16_clustered_endpoint_masks(spark, d):
+    """The whole chain: clusters, a forest for each bundle, masks of both ends."""
+    return L.endpoint_masks(sided(spark, d), "side")
 
 
 @query(sql("SELECT DISTINCT subject,bundle,CASE WHEN pos=0 THEN 'b' ELSE 'e' END AS \"end\",CAST(trunc(x) AS INT) AS x,CAST(trunc(y) AS INT) AS y,CAST(trunc(z) AS INT) AS z FROM (SELECT *, max(pos) OVER (PARTITION BY subject,bundle,line_id) AS last FROM line_points) WHERE pos=0 OR pos=last UNION SELECT subject,bundle,'e',CAST(trunc(x) AS INT),CAST(trunc(y) AS INT),CAST(trunc(z) AS INT) FROM (SELECT *, max(pos) OVER (PARTITION BY subject,bundle,line_id) AS last FROM line_points) WHERE pos=0 AND last=0", "line_points"))
