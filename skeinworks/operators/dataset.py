@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import _euler, flip_component, let, rotate_euler, rotate_tensor, tensor_to_vec, unit_hash, vec_norm, vec_to_tensor
-from ..plans.stash import numbered
+from ..plans.stash import numbered, stash
+from ..plans.streams import by_group, changes
 from . import voxels as V
 from .voxels import CELL, IMAGE
 
@@ -67,10 +70,50 @@ def sample_without_replacement(df: DataFrame, n: int, seed: int, by: list[str],
     return df.withColumn("r_", F.row_number().over(w)).where(F.col("r_") <= n).drop("r_")
 
 
+@F.pandas_udf(T.LongType())
+def _ordered(v: pd.Series) -> pd.Series:
+    """Whole numbers in the order of the doubles; -0.0 as 0.0."""
+    bits = (v.to_numpy(np.float64) + 0.0).view(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+
+
+@F.pandas_udf(T.DoubleType())
+def _double(v: pd.Series) -> pd.Series:
+    u = v.to_numpy(np.int64)
+    return pd.Series(np.where(u < 0, u ^ np.int64(0x7FFFFFFFFFFFFFFF), u).view(np.float64))
+
+
+def order_statistics(df: DataFrame, by: list[str], value: str, ranks: DataFrame) -> DataFrame:
+    """``by.., t, value``: of each row of ``ranks(by.., t, k)`` the group's value of rank ``k``, from 0, exactly.
+
+    Values as whole numbers are narrowed 16 bits a round, for all groups and ranks at once: counts by those bits, of the values whose
+    higher bits are wanted, add up to the bits of each rank. No task has more of a group than 65,536 counts a rank.
+    """
+    rows = df.select(*by, _ordered(F.col(value).cast("double")).alias("u_"))
+    state = stash(ranks.select(*by, "t", F.col("k").cast("long").alias("k"), F.lit(0).cast("long").alias("high_")), "ranks")
+    for shift in (48, 32, 16, 0):
+        bits = F.shiftright("u_", shift).alias("bits_")
+        cut = rows.select(*by, bits)
+        if shift < 48:
+            wanted = state.select(*by, "high_").distinct()
+            cut = cut.withColumn("high_", F.shiftright("bits_", 16)).join(wanted, [*by, "high_"], "left_semi")
+        counts = cut.groupBy(*by, "bits_").agg(F.count("*").alias("n_")).withColumn("high_", F.shiftright("bits_", 16) if shift < 48 else F.lit(0).cast("long"))
+        upto = F.sum("n_").over(Window.partitionBy(*by, "t").orderBy("bits_"))
+        placed = counts.join(state, [*by, "high_"]).withColumn("upto_", upto).where((F.col("upto_") > F.col("k")) & (F.col("upto_") - F.col("n_") <= F.col("k")))
+        state = stash(placed.select(*by, "t", (F.col("k") - F.col("upto_") + F.col("n_")).alias("k"), F.col("bits_").alias("high_")), "ranks")
+    return state.select(*by, "t", _double("high_").alias("value"))
+
+
 def quantile_band(df: DataFrame, by: list[str], lo: float = 0.02, hi: float = 0.98, value: str = "value") -> DataFrame:
-    """Two quantiles, linearly interpolated."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("q_"))
-    return q.select(*by, F.col("q_")[0].alias("low"), F.col("q_")[1].alias("high"))
+    """``by.., low, high``: exact quantiles, linear between neighbouring values. Nulls and NaN don't count. A group may have any number of values."""
+    some = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    sizes = stash(some.groupBy(*by).agg((F.count("*") - 1).alias("n_")), "sizes")
+    place = {"low": F.col("n_") * lo, "high": F.col("n_") * hi}
+    wanted = F.explode(F.array(*(F.struct(F.lit(f"{q}{side}").alias("t"), f(p).alias("k")) for q, p in place.items() for side, f in (("0", F.floor), ("1", F.ceil)))))
+    found = order_statistics(some, by, value, sizes.select(*by, wanted.alias("w_")).select(*by, "w_.t", "w_.k"))
+    wide = found.groupBy(*by).agg(*(F.max(F.when(F.col("t") == t, F.col("value"))).alias(t) for t in ("low0", "low1", "high0", "high1"))).join(sizes, by)
+    between = lambda q: F.col(f"{q}0") + (F.col(f"{q}1") - F.col(f"{q}0")) * (place[q] - F.floor(place[q]))
+    return wide.select(*by, between("low").alias("low"), between("high").alias("high"))
 
 
 def load_dyads(d1: DataFrame, d2: DataFrame, d3: DataFrame | None, fractions: list[DataFrame], shape: tuple[int, int, int], flip_x: bool = True) -> DataFrame:
@@ -146,24 +189,37 @@ def augment_downsample(df: DataFrame, shape: tuple[int, int, int], zoom: float)
     return V.resample_nearest(V.resample_nearest(df, shape, low), low, shape)
 
 
-def batch_score(df: DataFrame, model: Callable, axes: tuple[str, ...] = ("x", "y", "z"), samples: int = 1) -> DataFrame:
-    """Runs ``model(pandas frame of one slice) -> frame with bundle, x, y, z, prob`` on every slice of each axis.
-
-    Out: ``subject, bundle, x, y, z, direction (1, 2, 3), sample, prob``. The model goes along with the task; a slice is one group.
-    """
-    import pandas as pd
+def sample_seed(seed: int, subject: object, direction: int, index: int, sample: int) -> int:
+    """A number under 2^32 for one sample of one slice: the same in every run and partitioning."""
+    return int(hashlib.md5(f"{seed}:{subject}:{direction}:{index}:{sample}".encode()).hexdigest()[:8], 16)
 
-    def scorer(direction: int) -> Callable:
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            subject = pdf["subject"].iloc[0]
-            got = [model(pdf).assign(subject=subject, direction=direction, sample=s) for s in range(samples)]
-            return pd.concat(got)[["subject", "bundle", *CELL, "direction", "sample", "prob"]]
 
-        return run
+def batch_score(df: DataFrame, model: Callable, axes: tuple[str, ...] = ("x", "y", "z"), samples: int = 1, seed: int | None = None) -> DataFrame:
+    """Runs ``model(pandas frame of one slice) -> frame with bundle, x, y, z, prob`` on every slice of each axis.
 
-    schema = "subject int, bundle string, x int, y int, z int, direction int, sample int, prob double"
-    out = [df.groupBy("subject", axis).applyInPandas(scorer(k), schema) for k, axis in enumerate(axes, 1)]
-    return reduce(lambda a, b: a.union(b), out)
+    Out: ``subject, bundle, x, y, z, direction (1, 2, 3), sample, prob``. The slices of all axes are dealt out in one shuffle, and a task holds a few at a time.
+    With a ``seed`` the model is called as ``model(frame, seed=..)``, each sample of a slice with a :func:`sample_seed` of its own, so that samples differ and can be repeated.
+    """
+    sides = F.array(*(F.struct(F.lit(k).alias("direction_"), F.col(axis).cast("int").alias("index_")) for k, axis in enumerate(axes, 1)))
+    rows = df.select("*", F.inline(sides))
+    keys = ["subject", "direction_", "index_"]
+    names = ["subject", "bundle", *CELL, "direction", "sample", "prob"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+    schema = T.StructType([df.schema["subject"], T.StructField("bundle", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in [*CELL, "direction", "sample"]), T.StructField("prob", T.DoubleType())])
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        begin = changes(table, keys)
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), table.num_rows], strict=True):
+            one = table.slice(a, b - a)
+            subject, direction, index = (one.column(c)[0].as_py() for c in keys)
+            frame = one.drop_columns(["direction_", "index_"]).to_pandas()
+            for s in range(samples):
+                got = model(frame) if seed is None else model(frame, seed=sample_seed(seed, subject, direction, index, s))
+                got = got.assign(direction=direction, sample=s)
+                head = one.column("subject").combine_chunks().take(pa.array(np.zeros(len(got), np.int64)))
+                yield pa.RecordBatch.from_arrays([head, *(pa.array(got[c], k) for c, k in zip(names[1:], kinds, strict=True))], names)
+
+    return by_group(rows, keys, work, schema)
 
 
 def mean_fusion(pred: DataFrame, thr: float = 0.5, probs: bool = False, directions: int = 3, by: list[str] | None = None) -> DataFrame:

@@ -291,6 +291,20 @@ def l12_centroid(spark, d):
     return rounded(L.centroid(fx.lines(spark, d)), *C3)
 
 
+@query()
+def l12_threshold_clusters(spark, d):
+    from ..operators.bundles import threshold_clusters
+
+    return threshold_clusters(L.resample(fx.lines(spark, d).where(F.size("points") > 1), 12), 18.0)
+
+
+@query()
+def l12_split_bundles(spark, d):
+    from ..operators.bundles import split_bundles, threshold_clusters
+
+    return split_bundles(threshold_clusters(L.resample(fx.lines(spark, d).where(F.size("points") > 1), 12), 18.0))
+
+
 @query(sql("SELECT subject,bundle,line_id,'b' AS \"end\",round(arg_min(x,pos),6) AS x FROM line_points GROUP BY ALL UNION ALL SELECT subject,bundle,line_id,'e',round(arg_max(x,pos),6) FROM line_points GROUP BY ALL", "line_points"))
 def l13_endpoints(spark, d):
     return L.endpoints(fx.lines(spark, d)).select(*L.LINE, "end", r6("x"))
@@ -732,6 +746,21 @@ def d8_batch_score(spark, d):
     return rounded(D.batch_score(fx.voxels(spark, d), stub_model), "prob")
 
 
+def noisy_model(pdf, seed):
+    return pdf.assign(prob=pdf["value"] * 0.5 + seed / 2**33)
+
+
+SEEDED = "(concat('0x',substr(md5('5:'||subject||':'||k||':'||CASE k WHEN 1 THEN x WHEN 2 THEN y ELSE z END||':'||s),1,8))::BIGINT)"
+
+
+@query(sql(f"+p AS (SELECT *,value*0.5+{SEEDED}/8589934592.0 AS prob FROM voxels, range(1,4) r(k), range(4) q(s)), f AS (SELECT subject,bundle,x,y,z,s,sum(prob)/3 AS prob FROM p GROUP BY ALL) SELECT subject,bundle,x,y,z,round(stddev_pop(prob),6)+0.0 AS value FROM f GROUP BY ALL", "voxels"))
+def d8_uncertainty(spark, d):
+    """Four stochastic samples of each slice, fused over the axes, and their spread."""
+    pred = D.batch_score(fx.voxels(spark, d), noisy_model, samples=4, seed=5)
+    fused = D.mean_fusion(pred, probs=True, by=[*I, *C3, "sample"]).withColumnRenamed("value", "prob")
+    return rounded(D.uncertainty(fused), "value")
+
+
 @query()
 def d9_segment(spark, d):
     return D.segment(fx.voxels(spark, d), stub_model, GRID, 36, {}, 1)
