@@ -126,7 +126,7 @@ def profile_band(profiles: DataFrame, cohort: DataFrame, z: float = 1.96) -> Dat
 def bootstrap_band(profiles: DataFrame, cohort: DataFrame, draw: Column, replicates: int = 200) -> DataFrame:
     """T-6 by resampling subjects: ``draw`` is a weight for (replicate ``r``, subject), say Poisson counts from a hash."""
     rows = profiles.join(cohort.select("subject", "grp"), "subject").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w_", draw)
-    per = rows.groupBy("bundle", "position", "grp", "r").agg((F.sum(F.col("w_") * F.col("mean")) / F.sum("w_")).alias("m"))
+    per = rows.groupBy("bundle", "position", "grp", "r").agg(F.try_divide(F.sum(F.col("w_") * F.col("mean")), F.sum("w_")).alias("m"))
     q = per.groupBy("bundle", "position", "grp").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q_"), F.avg("m").alias("m"))
     return q.select("bundle", "position", "grp", "m", F.col("q_")[0].alias("low"), F.col("q_")[1].alias("high"))
 
