@@ -66,10 +66,12 @@ def j7_best_match_slots(spark, d):
 DRAW = "CAST(floor(" + HASH.format("'6:' || r || ':' || subject") + "*3) AS INT)"
 
 
-@query(sql(f"+m AS (SELECT bundle,position,grp,r,sum(w*mean)/nullif(sum(w),0) AS m FROM (SELECT *, {DRAW} AS w FROM profiles JOIN cohort USING (subject), range(50) t(r)) GROUP BY ALL) SELECT bundle,position,grp,round(avg(m),6) AS m,round(quantile_cont(m,0.025),6) AS low,round(quantile_cont(m,0.975),6) AS high FROM m GROUP BY ALL", "profiles", "cohort"))
+@query(sql(f"+m AS (SELECT bundle,position,grp,r,sum(w*mean)/nullif(sum(w),0) AS m FROM (SELECT *, {DRAW} AS w FROM profiles JOIN cohort USING (subject), range(50) t(r)) GROUP BY ALL) SELECT bundle,position,grp,round(avg(m)*pi(),6) AS m,round(quantile_cont(m,0.025)*pi(),6) AS low,round(quantile_cont(m,0.975)*pi(),6) AS high FROM m GROUP BY ALL", "profiles", "cohort"))
 def t6_bootstrap_band(spark, d):
+    """Times pi, so that no value lies on a rounding tie."""
     u = X.unit_hash("6", F.col("r"), F.col("subject"))
-    return rounded(P.bootstrap_band(fx.profiles(spark, d), fx.cohort(spark, d), F.floor(u * 3), 50), "m", "low", "high")
+    band = P.bootstrap_band(fx.profiles(spark, d), fx.cohort(spark, d), F.floor(u * 3), 50)
+    return band.select("bundle", "position", "grp", *(F.round(F.col(c) * F.pi(), 6).alias(c) for c in ("m", "low", "high")))
 
 
 @query(sql(f"+{HITS} SELECT subject,bundle,line_id FROM lr WHERE start_region IN ('A_left','A_right','N_left') AND end_region IN ('A_left','A_right','N_left')", "line_points", "regions"))
