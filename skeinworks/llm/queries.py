@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages against a replica in WARC files with planted faults: changed letters, bytes that are no UTF-8, heads that can't be read, lost and added records, and copies of an id of which one changed."""
+    """The pages against a replica in gzipped WARC files with planted faults: changed letters, bytes that are no UTF-8, heads that can't be read, lost and added records, and copies of an id of which one changed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     copied = F.pmod("page_id", F.lit(53)) == 2
     twice = pages.where(copied)
@@ -38,7 +38,7 @@ def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.when(F.pmod("key", F.lit(113)) == 9, broken).when((F.pmod("key", F.lit(89)) == 4) & (plain > 0), ended).otherwise(F.col("record"))
     with scratch() as keep:
         folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-        fixity.write_warc(theirs.withColumn("record", record), folder)
+        fixity.write_warc(theirs.withColumn("record", record), folder, "gzip")
         read = fixity.read_warc(spark, folder)
         report = fixity.report(ours, read.where("key IS NOT NULL"))
         delete(spark, folder)
