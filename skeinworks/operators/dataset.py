@@ -246,13 +246,25 @@ def uncertainty(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     return pred.groupBy(*(by or [*IMAGE, *CELL])).agg(F.stddev_pop("prob").alias("value"))
 
 
-def segment(raw: DataFrame, model: Callable, shape: tuple[int, int, int], target: int, bundles_rules: dict | None = None, blob_thr: int = 50, hole_size: int | None = None) -> DataFrame:
-    """NaN to 0, square, score on three axes, fuse, bundle rules, undo the scaling, remove small blobs. One plan for all subjects."""
+def segment(raw: DataFrame, model: Callable, shape: tuple[int, int, int], target: int, bundles_rules: dict | None = None, blob_thr: int = 50, hole_size: int | None = None, crop: bool = True) -> DataFrame:
+    """NaN to 0, crop, square, score on three axes, fuse, bundle rules, undo scaling and crop, remove small blobs. One plan for all subjects.
+
+    All subjects are cropped to one box, that of all cells that aren't 0: six numbers reach the driver. Without such cells there is no mask.
+    """
     filled = V.fill_nan(raw)
-    square, how = V.square_and_scale(filled, shape, target)
+    low, size = (0, 0, 0), shape
+    if crop:
+        ends = filled.where("value <> 0").agg(*(f(c).alias(f"{n}{c}") for c in CELL for f, n in ((F.min, "lo"), (F.max, "hi")))).first()
+        if ends["lox"] is not None:
+            low = tuple(ends[f"lo{c}"] for c in CELL)
+            size = tuple(ends[f"hi{c}"] - ends[f"lo{c}"] + 1 for c in CELL)
+    inner = filled.where(reduce(lambda a, b: a & b, [F.col(c).between(lo, lo + n - 1) for c, lo, n in zip(CELL, low, size, strict=True)]))
+    moved = inner.withColumns({c: F.col(c) - lo for c, lo in zip(CELL, low, strict=True)})
+    square, how = V.square_and_scale(moved, size, target)
     fused = mean_fusion(batch_score(square, model), probs=True)
-    masks = V.bundle_specific_postprocess(fused, (target,) * 3, bundles_rules)
-    return V.postprocess(V.unscale(masks, how), blob_thr, shape, hole_size)
+    masks = V.unscale(V.bundle_specific_postprocess(fused, (target,) * 3, bundles_rules), how)
+    back = masks.withColumns({c: (F.col(c) + lo).cast("int") for c, lo in zip(CELL, low, strict=True)})
+    return V.postprocess(back, blob_thr, shape, hole_size)
 
 
 def multi_part(df: DataFrame, parts: dict[str, list[str]], run: Callable[[DataFrame], DataFrame]) -> DataFrame:

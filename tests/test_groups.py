@@ -80,3 +80,15 @@ def test_samples_differ_and_repeat(spark):
         by_slice.setdefault((s, direction, (x, y, z)[direction - 1]), {}).setdefault(sample, set()).add(prob)
     assert all(len(v) == 3 and len({min(p) for p in v.values()}) == 3 for v in by_slice.values())
     assert rows[0][-1] == dataset.sample_seed(9, 1, 1, 0, 0) / 2**32
+
+
+def test_segment_crops_and_puts_back(spark):
+    """Cells far from the origin come out as those of the box alone, moved; scaling a box to its own size changes nothing."""
+    rng = np.random.default_rng(6)
+    cells = {(x, y, z) for x in range(6) for y in range(6) for z in range(6) if rng.random() < 0.7} | {(0, 0, 0), (5, 5, 5)}
+    rows = lambda by: [(s, "A", x + by, y + by, z + by, 0.9) for s in (1, 2) for x, y, z in sorted(cells)] + [(1, "A", 0, 0, 0, 0.0), (1, "A", 1, 1, 1, float("nan"))]
+    model = lambda pdf: pdf.assign(prob=pdf["value"])[["bundle", "x", "y", "z", "prob"]]
+    df = spark.createDataFrame(rows(9), "subject int, bundle string, x int, y int, z int, value double")
+    got = {tuple(r) for r in dataset.segment(df, model, (20, 20, 20), 6, {}, 0).select("subject", "x", "y", "z").collect()}
+    assert got == {(s, x + 9, y + 9, z + 9) for s in (1, 2) for x, y, z in cells}
+    assert dataset.segment(df.where("value = 0"), model, (20, 20, 20), 6, {}, 0).count() == 0
