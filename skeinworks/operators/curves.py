@@ -6,13 +6,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 CELL = ["x", "y", "z"]
 #: Points that are worked on at a time, padding included.
 POINTS = 1 << 18
 
 
+def flattened(points: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of lines one below the other, and the number of each line's; null lines have none."""
+    flat = points.flatten()
+    xyz = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in CELL], axis=1).reshape(-1, 3)
+    return xyz, np.array(points.value_lengths().fill_null(0).to_numpy(), np.int64)
+
+
+def as_lines(xyz: np.ndarray, counts: np.ndarray, null: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xyz[:, k])) for k in range(3)], CELL)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null, False)), values)
+
+
 def on_points(lines: DataFrame, change: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """``lines`` with their points changed: ``change`` gets a batch's points one below the other and the number of each line's, and returns such. Null stays null."""
 
@@ -20,17 +34,62 @@ def on_points(lines: DataFrame, change: Callable[[np.ndarray, np.ndarray], tuple
         for batch in batches:
             at = batch.schema.get_field_index("points")
             points = batch.column(at)
-            flat = points.flatten()
-            xyz = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in CELL], axis=1).reshape(-1, 3)
-            xyz, counts = change(xyz, np.array(points.value_lengths().fill_null(0).to_numpy(), np.int64))
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xyz[:, k])) for k in range(3)], CELL)
-            new = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(points.is_null().to_numpy(zero_copy_only=False), False)), values)
+            new = as_lines(*change(*flattened(points)), points.is_null().to_numpy(zero_copy_only=False))
             yield batch.set_column(at, pa.field("points", new.type), new)
 
     return lines.mapInArrow(work, lines.schema)
 
 
+def arc_places(xyz: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each point's length along its line, summed from the line's begin. Lines of one length are summed together."""
+    out = np.zeros(len(xyz))
+    first = np.cumsum(counts) - counts
+    for n in np.unique(counts[counts > 1]).tolist():
+        at = first[counts == n, None] + np.arange(n)
+        d = np.diff(xyz[at], axis=1)
+        out[at[:, 1:]] = np.cumsum(np.sqrt(d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2), axis=1)
+    return out
+
+
+def evenly(xyz: np.ndarray, counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` points of each line at equal steps of arc length; lines without points get none, a single point is repeated.
+
+    Points and targets are sorted together by line and length, so a line costs what its points and targets do.
+    """
+    n = np.where(counts > 0, np.maximum(n, 0), 0)
+    place = arc_places(xyz, counts)
+    first = np.cumsum(counts) - counts
+    line, target_line = np.repeat(np.arange(len(counts)), counts), np.repeat(np.arange(len(counts)), n)
+    i = np.arange(len(target_line)) - np.repeat(np.cumsum(n) - n, n)
+    last = first + np.maximum(counts, 1) - 1
+    target = place[last[target_line]] * i / np.maximum(n - 1, 1)[target_line] if len(target_line) else np.zeros(0)
+    order = np.lexsort((np.repeat([0, 1], [len(line), len(i)]), np.concatenate([place, target]), np.concatenate([line, target_line])))
+    passed = np.cumsum(order < len(line))
+    k = np.empty(len(i), np.int64)
+    asks = order >= len(line)
+    k[order[asks] - len(line)] = passed[asks] - 1
+    # never the line's own end, so that there is a point behind
+    k = np.clip(k, first[target_line], np.maximum(last - 1, first)[target_line])
+    ahead = np.minimum(k + 1, last[target_line])
+    gap = place[ahead] - place[k]
+    share = np.clip(np.divide(target - place[k], gap, out=np.zeros(len(k)), where=gap > 0), 0, 1)
+    return xyz[k] + (xyz[ahead] - xyz[k]) * share[:, None], n
+
+
+def resample(lines: DataFrame, n: int | Column) -> DataFrame:
+    """L2: every line with ``n`` equally spaced points; ``n`` may differ from line to line. Empty lines stay empty, null ones null."""
+    rows = lines.withColumn("n_", (n if isinstance(n, Column) else F.lit(n)).cast("int"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("points")
+            points = batch.column(at)
+            new = as_lines(*evenly(*flattened(points), batch.column("n_").fill_null(0).to_numpy().astype(np.int64)), points.is_null().to_numpy(zero_copy_only=False))
+            yield batch.set_column(at, pa.field("points", new.type), new).drop_columns(["n_"])
+
+    return rows.mapInArrow(work, lines.schema)
+
+
 def spline_bands(t: np.ndarray) -> tuple[np.ndarray, ...]:
     """For knots, a line each row: the diagonals of R (0, 1) and of Q'Q (0, 1, 2), and Q's three entries for each inner knot (Reinsch, 1967)."""
     h = np.diff(t, axis=1)

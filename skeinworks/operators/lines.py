@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import let, size_ratio
+from ..functions.vectors import size_ratio
 from ..plans.stash import stash
 from . import bricks, forests
-from .curves import compress, smooth_spline  # noqa: F401
+from .curves import compress, resample, smooth_spline  # noqa: F401
 from .density import density_clusters
 from .voxels import CELL
 
@@ -39,34 +39,6 @@ def lerp(p: Column, q: Column, w: Column) -> Column:
     return F.struct(*((p[c] + (q[c] - p[c]) * w).alias(c) for c in CELL))
 
 
-def resampled(points: Column, n: Column) -> Column:
-    """``n`` points at equal steps of arc length; both ends stay, a single point is repeated.
-
-    A running sum of gaps gives each point's place; the place of the target is found by counting.
-    """
-    cum = F.aggregate(gaps(points), F.array(F.lit(0.0)), lambda s, g: F.concat(s, F.array(F.element_at(s, -1) + g)))
-
-    def placed(k: Column, cum: Column, target: Column) -> Column:
-        low, high = F.element_at(cum, k), F.element_at(cum, F.least(k + 1, F.size(cum)))
-        w = F.when(high > low, (target - low) / (high - low)).otherwise(F.lit(0.0))
-        return let(F.greatest(F.lit(0.0), F.least(w, F.lit(1.0))), lambda w: lerp(F.element_at(points, k), F.element_at(points, F.least(k + 1, F.size(points))), w))
-
-    def at(i: Column, cum: Column, n: Column) -> Column:
-        def found(target: Column) -> Column:
-            # The last place at or before the target, but never the line's end itself.
-            k = F.least(F.greatest(F.size(F.filter(cum, lambda c: c <= target)), F.lit(1)), F.greatest(F.size(cum) - 1, F.lit(1)))
-            return let(k, lambda k: placed(k, cum, target))
-
-        return let(F.element_at(cum, -1) * i / F.greatest(n - 1, F.lit(1)), found)
-
-    return let(cum, lambda cum: let(n.cast("int"), lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(i, cum, n))))
-
-
-def resample(lines: DataFrame, n: int | Column) -> DataFrame:
-    """L2: every line with ``n`` equally spaced points."""
-    return lines.withColumn("points", resampled(F.col("points"), n if isinstance(n, Column) else F.lit(n)))
-
-
 def resample_by_rows(points: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     """The same on exploded points, for lines too long for a row's array: window sums, then interval lookup by join on the line."""
     by = by or LINE
@@ -105,7 +77,7 @@ def resample_same_step(lines: DataFrame, most: int, by: list[str] | None = None)
     measured = segment_lengths(lines).drop("gaps")
     step = measured.groupBy(*(by or ["subject", "bundle"])).agg((F.max("length") / most).alias("step_"))
     n = F.when(F.col("step_") > 0, F.greatest((F.col("length") / F.col("step_")).cast("int"), F.lit(1))).otherwise(F.lit(1))
-    return measured.join(step, by or ["subject", "bundle"]).withColumn("points", resampled(F.col("points"), n)).drop("length", "step_")
+    return resample(measured.join(step, by or ["subject", "bundle"]).withColumn("want_", n), F.col("want_")).drop("length", "step_", "want_")
 
 
 def cell_of(p: Column, half: float = 0.5) -> dict[str, Column]:

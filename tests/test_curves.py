@@ -84,3 +84,22 @@ def test_thinned_lines_equal_recursion(spark):
     smooth = {r["line_id"]: r["points"] for r in curves.smooth_spline(df, 2.0).collect()}
     assert smooth[90] is None and smooth[91] == [] and [len(smooth[k]) for k in range(7)] == counts.tolist()
     assert np.allclose(np.array(smooth[3]), curves.smoothed(lines[3][None], 2.0)[0])
+
+
+def test_resampled_lines(spark):
+    rng = np.random.default_rng(7)
+    lines = [np.cumsum(rng.normal(size=(n, 3)), axis=0) for n in (1, 2, 3, 30, 31, 400)] + [np.repeat(rng.normal(size=(5, 3)), 3, axis=0), np.zeros((4, 3))]
+    counts = np.array([0, *(len(p) for p in lines), 0])
+    n = np.array([5, 4, 7, 1, 50, 2, 33, 20, 3, 0])
+    out, sizes = curves.evenly(np.concatenate(lines), counts, n)
+    assert sizes.tolist() == [0, 4, 7, 1, 50, 2, 33, 20, 3, 0]
+    at = 0
+    for p, k in zip(lines, sizes[1:-1].tolist(), strict=True):
+        s = np.concatenate([[0], np.cumsum(np.linalg.norm(np.diff(p, axis=0), axis=1))])
+        keep = np.append(True, np.diff(s) > 0)
+        want = np.stack([np.interp(np.linspace(0, s[-1], k) if k > 1 else [0], s[keep], p[keep, c]) for c in range(3)], axis=1)
+        assert np.allclose(out[at : at + k], want)
+        at += k
+    rows = [(k, [tuple(map(float, q)) for q in p]) for k, p in enumerate(lines)] + [(90, None), (91, [])]
+    got = {r["line_id"]: r["points"] for r in curves.resample(spark.createDataFrame(rows, "line_id int, points array<struct<x:double,y:double,z:double>>"), 6).collect()}
+    assert got[90] is None and got[91] == [] and all(len(got[k]) == 6 for k in range(len(lines))) and np.allclose(got[3][0], lines[3][0]) and np.allclose(got[3][-1], lines[3][-1])
