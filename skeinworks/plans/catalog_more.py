@@ -402,9 +402,11 @@ def t7_mean_profile(spark, d):
 # Cohort tests
 
 
-@query(sql("+j AS (SELECT * FROM profiles JOIN cohort USING (subject)), s AS (SELECT bundle,position,regr_slope(mean,age) AS b FROM j GROUP BY ALL ) SELECT subject,j.bundle,j.position,round(mean-coalesce(b*age,0),6) AS mean FROM j JOIN s USING (bundle,position)", "profiles", "cohort"))
+@query(sql("+j AS (SELECT * FROM profiles JOIN cohort USING (subject)), s AS (SELECT bundle,position,regr_slope(mean,age) AS b FROM j GROUP BY ALL ) SELECT subject,j.bundle,j.position,round((mean-coalesce(b*age,0))*pi(),6) AS mean FROM j JOIN s USING (bundle,position)", "profiles", "cohort"))
 def c1_unconfound(spark, d):
-    return rounded(C.unconfound(fx.profiles(spark, d), fx.cohort(spark, d), ["age"]), "mean").select("subject", "bundle", "position", "mean")
+    """Times pi, so that no value lies on a rounding tie."""
+    out = C.unconfound(fx.profiles(spark, d), fx.cohort(spark, d), ["age"])
+    return out.select("subject", "bundle", "position", F.round(F.col("mean") * F.pi(), 6).alias("mean"))
 
 
 TSTAT = "CASE WHEN n0>0 AND n1>0 AND n0+n1>2 AND (n0*v0+n1*v1)>1e-18 THEN (m0-m1)/sqrt((n0*v0+n1*v1)/(n0+n1-2)*(1.0/n0+1.0/n1)) END"
@@ -447,10 +449,10 @@ def shuffled_sql(seed: int, n: int, mode: str = "group", profiles: str = "profil
     return f"{perms}, pt AS ({stat('label', 'perm,', f'{profiles} JOIN perms USING (subject)')}), pp AS (SELECT *, {p} AS p FROM pt WHERE t IS NOT NULL), st AS ({stat(label, '', f'{profiles} JOIN {cohort} USING (subject)')}), sp AS (SELECT *, {p} AS p FROM st WHERE t IS NOT NULL)"
 
 
-@query(sql("+" + PERMS + ", a AS (SELECT perm,bundle,position," + GROUPED.format(g="label") + " FROM profiles JOIN perms USING (subject) GROUP BY ALL) SELECT perm,bundle,position,round(" + TSTAT + ",5) AS t,n0+n1-2 AS df FROM a", "profiles", "cohort"))
+@query(sql("+" + PERMS + ", a AS (SELECT perm,bundle,position," + GROUPED.format(g="label") + " FROM profiles JOIN perms USING (subject) GROUP BY ALL) SELECT perm,bundle,position,round(" + TSTAT + ",5)+0.0 AS t,n0+n1-2 AS df FROM a", "profiles", "cohort"))
 def c5_permutation_stats(spark, d):
     perms = C.permutations(fx.cohort(spark, d), 20, 3, "grp")
-    return C.permutation_stats(fx.profiles(spark, d), perms, "group").select("perm", "bundle", "position", F.round("t", 5).alias("t"), "df")
+    return C.permutation_stats(fx.profiles(spark, d), perms, "group").select("perm", "bundle", "position", (F.round("t", 5) + F.lit(0.0)).alias("t"), "df")
 
 
 EXTREMES = "SELECT bundle,perm,CAST(v AS INT) AS df,round(max(coalesce(t,0)),5)+0.0 AS stat_max,round(min(coalesce(t,0)),5)+0.0 AS stat_min,round(max(abs(coalesce(t,0))),5)+0.0 AS abs_max FROM pt GROUP BY ALL"
