@@ -32,7 +32,7 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def kept(df: DataFrame, text_col: str, choose: Callable[[], Callable[[pa.Array], np.ndarray]], most: int = 4 << 20) -> DataFrame:
+def kept(df: DataFrame, text_col: str, choose: Callable[[], Callable[[pa.Array], np.ndarray]], most: int = 2 << 20) -> DataFrame:
     """Rows of ``df``, all columns, for which the function that ``choose`` makes in a task says so. No shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
