@@ -35,8 +35,9 @@ def segment_lengths(lines: DataFrame) -> DataFrame:
     return lines.withColumn("gaps", gaps(F.col("points"))).withColumn("length", total(F.col("gaps")))
 
 
-def lerp(p: Column, q: Column, w: Column) -> Column:
-    return F.struct(*((p[c] + (q[c] - p[c]) * w).alias(c) for c in CELL))
+def lerp(p: Column, q: Column, j: Column, k: Column) -> Column:
+    """The point ``j`` of ``k`` steps from ``p`` to ``q``; multiplied first, so that whole coordinates on the way stay whole."""
+    return F.struct(*((p[c] + (q[c] - p[c]) * j / k).alias(c) for c in CELL))
 
 
 def resample_by_rows(points: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def subsegment(lines: DataFrame, step: float) -> DataFrame:
     def split(i: Column) -> Column:
         p, q = F.element_at(points, i), F.element_at(points, i + 1)
         k = F.greatest(F.ceil(distance(p, q) / step).cast("int"), F.lit(1))
-        return F.transform(F.sequence(F.lit(0), k - 1), lambda j: lerp(p, q, j / k))
+        return F.transform(F.sequence(F.lit(0), k - 1), lambda j: lerp(p, q, j, k))
 
     n = F.size(points)
     body = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), split))
