@@ -16,3 +16,9 @@ def ladders(spark):
 def test_density_map_of_whole_steps(ladders):
     found = {(r["y"], r["n"]) for r in L.density_map(ladders, 1.0).collect()}
     assert found == {(y, 61 - max(y, 1)) for y in range(61)}
+
+
+def test_binary_map_of_whole_steps(ladders):
+    up = ladders.select("subject", F.format_string("%d", "line_id").alias("bundle"), "line_id", "points")
+    found = {(r["bundle"], r["y"]) for r in L.binary_map(up, 1.0).collect()}
+    assert found == {(str(n), y) for n in range(1, 61) for y in range(n + 1)}
