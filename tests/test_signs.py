@@ -7,7 +7,7 @@ import pytest
 
 from skeinworks.plans import catalog, catalog_more  # noqa: F401
 
-NAMES = ["f11_tensor_layout", "f4_flip_component"]
+NAMES = ["f11_tensor_layout", "f4_flip_component", "f5_weighted_mean"]
 
 
 @pytest.fixture(scope="module")
