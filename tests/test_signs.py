@@ -7,7 +7,7 @@ import pytest
 
 from skeinworks.plans import catalog, catalog_more  # noqa: F401
 
-NAMES = ["f11_tensor_layout", "f4_flip_component", "f5_weighted_mean", "f7_rotate_euler"]
+NAMES = ["f11_tensor_layout", "f4_flip_component", "f5_weighted_mean", "f7_rotate_euler", "f8_rotate_tensor"]
 
 
 @pytest.fixture(scope="module")
