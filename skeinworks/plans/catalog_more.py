@@ -157,10 +157,11 @@ def g17_model_shape(spark, d):
     return there.withColumn("way", F.lit("there")).unionByName(V.from_model_shape(there, GRID, recipe).withColumn("way", F.lit("back")))
 
 
-@query(sql(f"+g AS (SELECT DISTINCT bundle,CAST(x+a AS INT) AS x,CAST(y+b AS INT) AS y,CAST(z+c AS INT) AS z FROM vectors, {CROSS} WHERE x%3=0) SELECT vec_id,[" + ",".join(f"round(pred[{k}]/({N3.format('pred')}+1e-20),6)" for k in (1, 2, 3)) + "] AS v FROM vectors SEMI JOIN g USING (bundle,x,y,z)", "vectors"))
+@query(sql(f"+g AS (SELECT DISTINCT bundle,CAST(x+a AS INT) AS x,CAST(y+b AS INT) AS y,CAST(z+c AS INT) AS z FROM vectors, {CROSS} WHERE x%3=0) SELECT vec_id,[" + ",".join(f"round(pred[{k}]/({N3.format('pred')}+1e-20),6)+0.0" for k in (1, 2, 3)) + "] AS v FROM vectors SEMI JOIN g USING (bundle,x,y,z)", "vectors"))
 def g18_mask_and_normalize(spark, d):
+    """x and y run to 10, z as far as the table goes."""
     v = fx.vectors(spark, d).withColumn("subject", F.lit(0)).withColumn("v", F.col("pred"))
-    return V.mask_and_normalize(v, v.where("x % 3 = 0"), 1, (10, 10, 1000)).select("vec_id", r6v("v", "v"))
+    return V.mask_and_normalize(v, v.where("x % 3 = 0"), 1, (10, 10, (1 << 31) - 1)).select("vec_id", r6v("v", "v"))
 
 
 GRADIENTS = [(0.0, 0.0, 0.0, 0.0)] + [(1.0, a / n, b / n, c / n) for a, b, c in ((1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, -1, 0), (1, 0, -1), (0, 1, -1), (1, 1, 1), (1, -1, 1), (1, 1, -1)) for n in [(a * a + b * b + c * c) ** 0.5]]

@@ -7,7 +7,7 @@ import pytest
 
 from skeinworks.plans import catalog, catalog_more  # noqa: F401
 
-NAMES = ["f11_tensor_layout", "f4_flip_component", "f5_weighted_mean", "f7_rotate_euler", "f8_rotate_tensor", "f9_vec_to_tensor"]
+NAMES = ["f11_tensor_layout", "f4_flip_component", "f5_weighted_mean", "f7_rotate_euler", "f8_rotate_tensor", "f9_vec_to_tensor", "g18_mask_and_normalize"]
 
 
 @pytest.fixture(scope="module")
