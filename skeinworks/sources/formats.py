@@ -33,6 +33,8 @@ TRK_HEAD = 1000
 POINTS = pa.list_(pa.struct([(c, pa.float64()) for c in "xyz"]))
 #: Bytes of a range, and of what is read and decoded at a time.
 RANGE, PIECE = 32 << 20, 4 << 20
+#: Ranges of a read, about, that are smaller than ``RANGE``: beyond that number they grow with the files.
+RANGES = 1024
 
 
 @dataclass
@@ -68,15 +70,16 @@ def listed(path: str, endings: tuple[str, ...]) -> list[fs.FileInfo]:
 
 
 class Files(DataSource):
-    """What the formats share. Options: ``path``; ``range_bytes`` of a range in reading."""
+    """What the formats share. Options: ``path``; ``range_bytes`` of a range in reading (more where that would make over ``RANGES``)."""
 
     endings: tuple[str, ...] = ()
 
     def _ranges(self) -> list[Stretch]:
         path, most = self.options["path"], int(self.options.get("range_bytes", RANGE))
         _, top = opened(path)
-        out = []
-        for f in listed(path, self.endings):
+        out, files = [], listed(path, self.endings)
+        most = max(most, min(RANGE, sum(f.size for f in files) // RANGES))
+        for f in files:
             name = f.path[len(top) :].lstrip("/") or f.path.rpartition("/")[2]
             step = most if self.divisible(f.path) else max(1, f.size)
             out += [Stretch(path if f.path == top else f"{path.rstrip('/')}/{name}", name, f.size, at, min(at + step, f.size)) for at in range(0, max(1, f.size), step)]
@@ -358,8 +361,10 @@ class Tck(Files):
             f.seek(offset + place * wide)
             begun, held = first == 0, np.zeros((0, 3))
             start = 0
-            while place < n:
-                more = np.frombuffer(f.read(min(PIECE // wide, n - place) * wide), kind).reshape(-1, 3).astype(np.float64)
+            while place < n and (begun or place < last):
+                # behind the range only as much as its last line takes
+                want = min(PIECE // wide, max(last - place, len(held), 256))
+                more = np.frombuffer(f.read(min(want, n - place) * wide), kind).reshape(-1, 3).astype(np.float64)
                 gaps = np.flatnonzero(~np.isfinite(more).all(axis=1))
                 stop = np.flatnonzero(np.isinf(more[gaps]).any(axis=1))
                 over = bool(len(stop))

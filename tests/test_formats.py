@@ -112,3 +112,44 @@ def test_header_of_written_image(tmp_path):
     affine = np.array([[-1.25, 0, 0, 90], [0, 1.25, 0, -126], [0, 0, 1.25, -72], [0, 0, 0, 1.0]])
     head = formats.image_head(formats.head_bytes((3, 4, 5, 1), affine, 16), "x")
     assert head.shape == (3, 4, 5, 1) and head.kind == np.dtype("<f4") and np.allclose(head.affine, affine)
+
+
+def test_small_ranges_read_little_and_stay_few(tmp_path):
+    from pyarrow import fs
+
+    from skeinworks.sources import formats
+
+    lines = np.full((60_000, 3), np.nan)
+    lines[np.arange(60_000) % 6 < 5] = 1.5
+    body = lines.astype("<f8").tobytes() + np.full(3, np.inf).tobytes()
+    (tmp_path / "a.tck").write_bytes(b"mrtrix tracks\ndatatype: Float64LE\nfile: . 64\nEND\n".ljust(64, b"\0") + body)
+    read = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+    class Store:
+        def open_input_file(self, at):
+            return Counted(fs.LocalFileSystem().open_input_file(at))
+
+    source = formats.Tck({"path": str(tmp_path), "range_bytes": "100"})
+    parts = source._ranges()
+    assert len(parts) <= formats.RANGES + 1
+    first = [i for p in parts for batch in source.rows(Store(), str(tmp_path / "a.tck"), p) for i in batch.column("line_id").to_pylist()]
+    assert first == list(range(0, 60_000, 6))
+    # a range reads a head, itself and at most a few short pieces behind it
+    assert sum(read) < len(body) + len(parts) * (4096 + 3 * 256 * 24)
