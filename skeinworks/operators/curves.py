@@ -90,6 +90,65 @@ def resample(lines: DataFrame, n: int | Column) -> DataFrame:
     return rows.mapInArrow(work, lines.schema)
 
 
+def split_gaps(xyz: np.ndarray, counts: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where each point of :func:`subsegment` stands: its steps from the point before, in that many, by rows of ``xyz``.
+
+    Gives three numbers for each new point (row, step, steps) and the number of each line's new points.
+    """
+    d = np.diff(xyz, axis=0, append=xyz[-1:])
+    with np.errstate(invalid="ignore"):
+        gap = np.ceil(np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]) / step)
+    k = np.where(np.isfinite(gap) & (gap > 1), gap, 1).astype(np.int64)
+    ends = np.cumsum(counts)
+    k[ends[counts > 0] - 1] = 1
+    row = np.repeat(np.arange(len(k)), k)
+    total = np.concatenate([[0], np.cumsum(k)])
+    return np.stack([row, np.arange(len(row)) - total[row], k[row]]), total[ends] - total[ends - counts]
+
+
+def subsegment(lines: DataFrame, step: float) -> DataFrame:
+    """L3: splits gaps evenly so that none exceeds ``step``. A gap without a length stays whole, and what is null at either of its ends is null at its begin.
+
+    A step's share is multiplied before it is divided, so that whole coordinates on the way stay whole.
+    """
+
+    def between(v: pa.Array, row: np.ndarray, j: np.ndarray, k: np.ndarray, last: np.ndarray) -> pa.Array:
+        x = v.to_numpy(zero_copy_only=False).astype(np.float64)
+        behind = np.where(last[row], row, row + 1)
+        with np.errstate(invalid="ignore"):
+            out = np.where(last[row], x[row], x[row] + (x[behind] - x[row]) * j / k)
+        null = v.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(out, mask=null[row] | null[behind]) if null.any() else pa.array(out)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("points")
+            points = batch.column(at)
+            counts = np.array(points.value_lengths().fill_null(0).to_numpy(), np.int64)
+            fields = dict(zip((f.name for f in points.type.value_type), points.flatten().flatten(), strict=True))
+            xyz = np.stack([fields[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in CELL], axis=1).reshape(-1, 3)
+            if not len(xyz):
+                yield batch
+                continue
+            last = np.zeros(len(xyz), bool)
+            last[np.cumsum(counts)[counts > 0] - 1] = True
+            (row, j, k), many = split_gaps(xyz, counts, step)
+            null, ends = points.is_null().to_numpy(zero_copy_only=False), np.cumsum(many)
+            a = 0
+            while a < batch.num_rows:
+                # as many lines as have POINTS new points, one at least
+                begin = int(ends[a] - many[a])
+                b = max(a + 1, int(np.searchsorted(ends, begin + POINTS, "right")))
+                part = slice(begin, int(ends[b - 1]))
+                new = pa.StructArray.from_arrays([between(fields[c], row[part], j[part], k[part], last) for c in CELL], CELL)
+                offsets = np.concatenate([[0], ends[a:b] - begin]).astype(np.int32)
+                array = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null[a:b], False)), new)
+                yield batch.slice(a, b - a).set_column(at, pa.field("points", array.type), array)
+                a = b
+
+    return lines.mapInArrow(work, lines.schema)
+
+
 def spline_bands(t: np.ndarray) -> tuple[np.ndarray, ...]:
     """For knots, a line each row: the diagonals of R (0, 1) and of Q'Q (0, 1, 2), and Q's three entries for each inner knot (Reinsch, 1967)."""
     h = np.diff(t, axis=1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import size_ratio
 from ..plans.stash import stash
 from . import bricks, forests
-from .curves import compress, resample, smooth_spline  # noqa: F401
+from .curves import compress, resample, smooth_spline, subsegment  # noqa: F401
 from .density import density_clusters
 from .voxels import CELL
 
@@ -35,11 +35,6 @@ def segment_lengths(lines: DataFrame) -> DataFrame:
     return lines.withColumn("gaps", gaps(F.col("points"))).withColumn("length", total(F.col("gaps")))
 
 
-def lerp(p: Column, q: Column, j: Column, k: Column) -> Column:
-    """The point ``j`` of ``k`` steps from ``p`` to ``q``; multiplied first, so that whole coordinates on the way stay whole."""
-    return F.struct(*((p[c] + (q[c] - p[c]) * j / k).alias(c) for c in CELL))
-
-
 def resample_by_rows(points: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     """The same on exploded points, for lines too long for a row's array: window sums, then interval lookup by join on the line."""
     by = by or LINE
@@ -59,20 +54,6 @@ def resample_by_rows(points: DataFrame, n: int, by: list[str] | None = None) ->
     return hit.select(*by, F.col("i_").alias("pos"), *((F.col(c) + (F.col(f"{c}_to") - F.col(c)) * F.least(share, F.lit(1.0))).alias(c) for c in CELL))
 
 
-def subsegment(lines: DataFrame, step: float) -> DataFrame:
-    """L3: splits gaps evenly so that none exceeds ``step``."""
-    points = F.col("points")
-
-    def split(i: Column) -> Column:
-        p, q = F.element_at(points, i), F.element_at(points, i + 1)
-        k = F.greatest(F.ceil(distance(p, q) / step).cast("int"), F.lit(1))
-        return F.transform(F.sequence(F.lit(0), k - 1), lambda j: lerp(p, q, j, k))
-
-    n = F.size(points)
-    body = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), split))
-    return lines.withColumn("points", F.when(n > 1, F.concat(body, F.array(F.element_at(points, -1)))).otherwise(points))
-
-
 def resample_same_step(lines: DataFrame, most: int, by: list[str] | None = None) -> DataFrame:
     """L4: the step that gives a bundle's longest line ``most`` points; shorter lines get fewer, at least one."""
     measured = segment_lengths(lines).drop("gaps")

@@ -22,3 +22,23 @@ def test_binary_map_of_whole_steps(ladders):
     up = ladders.select("subject", F.format_string("%d", "line_id").alias("bundle"), "line_id", "points")
     found = {(r["bundle"], r["y"]) for r in L.binary_map(up, 1.0).collect()}
     assert found == {(str(n), y) for n in range(1, 61) for y in range(n + 1)}
+
+
+def test_lines_of_all_kinds(spark):
+    """Null and empty lines, one point, the same point twice, a coordinate missing, a gap without end; many points beside few."""
+    kind = "subject int, bundle string, line_id long, points array<struct<x: double, y: double, z: double>>"
+    whole = [(0.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 1.0, 0.0), (3.0, 1.0, 4.0)]
+    odd = [None, [], [(1.0, 2.0, 3.0)], whole, [(0.0, None, 0.0), (2.0, 0.0, 0.0)], [(0.0, 0.0, 0.0), (float("inf"), 0.0, 0.0)], [(0.0, 0.0, 0.0), (400000.0, 0.0, 0.0)]]
+    rows = L.subsegment(spark.createDataFrame([(1, "A", i, p) for i, p in enumerate(odd)], kind).coalesce(1), 0.5)
+    assert rows.schema["points"].dataType == spark.createDataFrame([], kind).schema["points"].dataType
+    got = {r["line_id"]: r["points"] and [tuple(p) for p in r["points"]] for r in rows.where("line_id < 6").collect()}
+    assert got[0] is None and got[1] == [] and got[2] == odd[2]
+    assert got[3] == [(0.0, 0.0, 0.0), (0.0, 0.5, 0.0), (0.0, 1.0, 0.0), *((3 * j / 10, 1.0, 4 * j / 10) for j in range(11))]
+    assert got[4] == [(0.0, None, 0.0), (2.0, 0.0, 0.0)] and len(got[5]) == 2 and got[5][1] == (float("inf"), 0.0, 0.0)
+    far = rows.where("line_id = 6").select(F.size("points").alias("n"), F.expr("points[799999].x").alias("x")).first()
+    assert far["n"] == 800001 and far["x"] == 400000.0 * 799999 / 800000
+
+
+def test_splitting_is_done_by_arrays(ladders):
+    plan = L.subsegment(ladders, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambdafunction" not in plan.lower()
