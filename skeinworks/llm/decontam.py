@@ -1,9 +1,9 @@
 """Benchmark passages in documents: latent semantic retrieval, then exact checks.
 
 1. Document frequencies of hashed words over all documents give each word its weight (idf).
-2. A randomised singular value decomposition (Halko, Martinsson and Tropp, 2011) of TF-IDF passages, the
-   benchmark's and a bounded sample of the documents', its products summed over Spark tasks, gives the latent
-   space. Its rank is well under the number of passages; the benchmark's weigh more, so that it keeps their directions.
+2. The latent space is cut out of the span of the benchmark's TF-IDF passages: a truncated singular value decomposition
+   (Rayleigh and Ritz) of these passages and of all documents, whose products in that span are summed over Spark tasks.
+   Its rank is well under the number of passages; the benchmark's weigh more, so that it keeps their directions.
 3. Every document is read in blocks of 16 words. All windows of consecutive blocks are projected, and the
    cosines with all passages of their size are taken in the latent space.
 4. A candidate is a leak if the longest common subsequence of words covers enough of the passage,
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stash import stash, unstash
+from ..plans.stash import stash
 from .columns import distinct, gathered, hash_column, own_places, pieces, plain_words, release
 from .rows import kept
 
@@ -34,9 +34,12 @@ SIZES = (32, 48, 64, 96, 128)
 PASSAGES, SPACES = 256, 8
 #: Rank of a space: this share of its passages, and some dimensions for what all texts have in common.
 SHARE, SHARED = 0.6, 16
-#: Documents of the sample, about, the longest that is taken, in bytes, and the words of a passage there;
-#: how much more the benchmark's passages weigh; words of the sample that get a place in the space, at most.
-SAMPLE, SAMPLE_BYTES, SAMPLE_WORDS, WEIGHT, VOCABULARY = 512, 10_000, 64, 4.0, 1 << 12
+#: How much more the benchmark's passages weigh in the space than all documents.
+WEIGHT = 4.0
+#: Numbers of the block of documents that is multiplied at a time in the fit.
+DENSE = 1 << 20
+#: For :func:`sampled`.
+SAMPLE, SAMPLE_BYTES = 512, 10_000
 #: Least latent cosine and least shares of a passage and of its answer; a passage of fewer words than ``SHORT`` must be there whole.
 COSINE, COMMON, ANSWER, SHORT = 0.7, 0.5, 0.4, 8
 #: Benchmark items that reach the driver at a time.
@@ -97,7 +100,7 @@ def document_frequencies(documents: DataFrame, text_col: str = "text") -> tuple[
 
 
 def sampled(documents: DataFrame, n: int, text_col: str = "text") -> DataFrame:
-    """``text``: about ``SAMPLE`` documents by the hash of their text, written once. They shape the space, not what is searched."""
+    """``text``: about ``SAMPLE`` documents by the hash of their text, written once, for trials of the fit. No query takes it: :func:`prepared` fits on all documents."""
     text = F.col(f"`{text_col}`").cast("string")
     some = documents.select(text.alias("text")).where((F.octet_length("text") <= SAMPLE_BYTES) & (F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE))) == 0))
     return stash(some.distinct().limit(2 * SAMPLE), "sample")
@@ -144,66 +147,67 @@ def word_hashes(text: str | None) -> np.ndarray:
     return hash_column(names)[codes]
 
 
-def latent_space(passages: Passages, idf: np.ndarray, sample: DataFrame, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """The space's slots and their rows of right singular vectors, of rank ``SHARE`` of the passages and ``SHARED``.
+def latent_space(passages: Passages, idf: np.ndarray, texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The space's slots and their rows of right singular vectors, of rank ``SHARE`` of the passages and ``SHARED``."""
+    return latent_spaces([passages], idf, texts)[0]
 
-    The passages, with those of ``sample(text)``, are dealt to tasks; each adds up its share of ``A' (A X)`` for a
-    random ``X``, then, with ``X`` made orthonormal, twice more, and at last of the small Gram matrix.
-    """
-    spark = sample.sparkSession
-    own = np.unique(np.concatenate([*passages.words, np.zeros(0, np.uint64)]) % np.uint64(SLOTS)).astype(np.int64)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def latent_spaces(parts: list[Passages], idf: np.ndarray, texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """:func:`latent_space` of each of ``parts``, in one pass over ``texts(text)``.
+
+    The benchmark's passages span the space that a passage's cosines need; its best directions are those of most weight
+    in the passages and in all texts together. Each task adds up its texts' products in that span, a small matrix a space.
+    A text counts once, by its distinct words that some passage has, at unit length; all texts together weigh ``1 / WEIGHT`` of the passages.
+    """
+    own = []
+    for p in parts:
+        sets = [np.unique(w % np.uint64(SLOTS)).astype(np.int64) for w in p.words]
+        slots = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]))
+        rows = np.zeros((len(sets), len(slots)))
+        for row, found in zip(rows, sets, strict=True):
+            row[np.searchsorted(slots, found)] = idf[found]
+            row /= max(1e-9, float(np.linalg.norm(row)))
+        _, values, span = np.linalg.svd(rows, full_matrices=False)
+        keep = values > 1e-6 * values.max(initial=0)
+        own.append((slots, values[keep] ** 2, span[keep].T))
+    shared = texts.sparkSession.sparkContext.broadcast((idf, [(slots, span.astype(np.float32)) for slots, _, span in own]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, spaces = shared.value
+        totals = [np.zeros((span.shape[1], span.shape[1])) for _, span in spaces]
         for batch in pieces(batches, "text", 4 << 20):
             codes, names, counts = plain_words(batch.column("text"))
-            h, ends = hash_column(names)[codes], np.cumsum(counts)
-            parts = [h[at : min(at + SAMPLE_WORDS, b)] for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True) for at in range(a, b, SAMPLE_WORDS)]
-            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(np.ones(len(parts)))], ["words", "weight"])
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(np.frombuffer(w, np.uint64) % np.uint64(SLOTS)) for w in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]).astype(np.int64))], ["slot"])
-
-    others = stash(sample.mapInArrow(cut, "words binary, weight double"), "passages")
-    known = others.mapInArrow(seen, "slot long").groupBy("slot").count().where("count > 1").orderBy(F.desc("count"), "slot").limit(VOCABULARY).collect()
-    vocabulary = np.union1d(own, np.array([r["slot"] for r in known], np.int64))
-    k = min(int(np.ceil(SHARE * len(passages.words))) + SHARED, len(passages.words), len(vocabulary))
-    mine = spark.createDataFrame([(w.tobytes(), WEIGHT) for w in passages.words], "words binary, weight double")
-    rows = mine.repartition(max(1, len(passages.words) // 512)).union(others)
-
-    def product(x: np.ndarray, gram: bool) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((vocabulary, idf[vocabulary], x))
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, weight, x = shared.value
-            total = np.zeros((x.shape[1] if gram else len(names), x.shape[1]))
-            for batch in batches:
-                for raw, more in zip(batch.column("words").to_pylist(), batch.column("weight").to_pylist(), strict=True):
-                    slots = np.unique(np.frombuffer(raw, np.uint64) % np.uint64(SLOTS)).astype(np.int64)
-                    at = np.minimum(np.searchsorted(names, slots), len(names) - 1)
-                    at = at[names[at] == slots]
-                    w = more * weight[at] / max(1e-9, float(np.sqrt((weight[at] ** 2).sum())))
-                    y = w @ x[at]
-                    if gram:
-                        total += np.outer(y, y)
-                    else:
-                        total[at] += np.outer(w, y)
-            for at in range(0, len(total), 512):
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at : at + 512].astype(np.float32).tobytes()], pa.binary())], ["at", "part"])
-
-        got = collected(rows.coalesce(8).mapInArrow(add, "at long, part binary"), np.float32).reshape(-1, x.shape[1])
-        shared.destroy()
-        release()
-        return got
-
-    x = np.random.default_rng(seed).standard_normal((len(vocabulary), min(len(vocabulary), k + 16)), np.float32)
-    for _ in range(3):
-        x = np.linalg.qr(product(x, False))[0]
-    values, vectors = np.linalg.eigh(product(x, True))
-    best = np.argsort(-values)[:k]
-    unstash(others)
-    return vocabulary, (x @ vectors[:, best]).astype(np.float32)
+            slot = (hash_column(names) % np.uint64(SLOTS)).astype(np.int64)
+            keys = distinct(np.repeat(np.arange(len(counts)), counts) * SLOTS + slot[codes])
+            text, slot = keys // SLOTS, keys % SLOTS
+            for (slots, span), total in zip(spaces, totals, strict=True):
+                at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
+                known = slots[at] == slot
+                row, at = text[known], at[known]
+                step = max(1, DENSE // len(slots))
+                for first in range(0, len(counts), step):
+                    a, b = np.searchsorted(row, [first, first + step])
+                    block = np.zeros((min(step, len(counts) - first), len(slots)), np.float32)
+                    block[row[a:b] - first, at[a:b]] = idf[slots[at[a:b]]]
+                    block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-9)
+                    y = block @ span
+                    total += y.T @ y
+        for k, total in enumerate(totals):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total.tobytes()], pa.binary())], ["at", "part"])
+
+    got = collected(texts.select("text").where(F.length("text") > 0).mapInArrow(add, "at long, part binary"), np.float64)
+    shared.destroy()
+    release()
+    out, at = [], 0
+    for p, (slots, values, span) in zip(parts, own, strict=True):
+        size = len(values)
+        theirs = got[at : at + size * size].reshape(size, size) if len(got) else np.zeros((size, size))
+        at += size * size
+        weight = values.sum() / max(1e-9, WEIGHT * np.trace(theirs))
+        heavy, vectors = np.linalg.eigh(np.diag(values) + weight * theirs)
+        k = min(int(np.ceil(SHARE * len(p.words))) + SHARED, size)
+        out.append((slots, (span @ vectors[:, np.argsort(-heavy)[:k]]).astype(np.float32)))
+    return out
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -310,20 +314,20 @@ def prepared(documents: DataFrame, benchmark: DataFrame, text_col: str) -> Itera
     spark = documents.sparkSession
     n, df = document_frequencies(documents, text_col)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
-    sample = sampled(documents, n, text_col)
+    texts = documents.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
     blocks = max(1, -(-items.count() // ITEMS))
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         for parts in Passages([(r["item_id"], r["text"]) for r in mine]).passes():
-            yield spark.sparkContext.broadcast((idf, [(*latent_space(p, idf, sample), p) for p in parts]))
+            yield spark.sparkContext.broadcast((idf, [(*space, p) for space, p in zip(latent_spaces(parts, idf, texts), parts, strict=True)]))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cosine: float = COSINE) -> DataFrame:
     """``id, item_id, cosine, common, answer`` for each document and benchmark item that it holds.
 
-    All documents are read, whole, once for the frequencies and once for each ``SPACES`` times ``PASSAGES``
-    passages; what a task holds is bounded by that number. The benchmark's texts reach the driver block by
+    All documents are read, whole, once for the frequencies and, for each ``SPACES`` times ``PASSAGES``
+    passages, once for the fit and once for the search; what a task holds is bounded by that number. The benchmark's texts reach the driver block by
     block. Null and empty texts on either side are in no leak; null ids stay null; a repeated
     benchmark row counts once, a repeated document row is reported each time.
     """

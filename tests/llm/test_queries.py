@@ -560,3 +560,29 @@ def test_fixity_reads_damaged_files(spark, tmp_path):
     for k, data in enumerate([b"", b"nothing here", b"\r\n\r\n", b"WARC/1.1\r\n\r\n", raw[1] + b"\r\n\r\n"]):
         (tmp_path / "odd" / f"{k}.warc").write_bytes(data)
     assert [r["key"] for r in fixity.read_warc(spark, str(tmp_path / "odd")).collect() if r["key"] is not None] == [1]
+
+
+def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    """No sample is taken, and the space's directions are those of the whole: the same from one task or many, and of a plain computation."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    monkeypatch.setattr(decontam, "sampled", None)
+    assert decontam.leaks(docs, bench).count() > 0
+    n, df = decontam.document_frequencies(docs)
+    idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
+    passages = decontam.Passages([(r[0], r[1]) for r in bench.collect()]).part(0, 60)
+    slots, basis = decontam.latent_space(passages, idf, docs.select("text").repartition(3))
+    own = {s: k for k, s in enumerate(slots.tolist())}
+
+    def rows(words):
+        out = np.zeros((len(words), len(own)))
+        for row, w in zip(out, words, strict=True):
+            for s in set((w % np.uint64(decontam.SLOTS)).tolist()) & set(own):
+                row[own[s]] = idf[s]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    mine, theirs = rows(passages.words), rows([decontam.word_hashes(r["text"]) for r in docs.collect()])
+    project = np.linalg.pinv(mine) @ mine
+    theirs = theirs @ project
+    whole = mine.T @ mine + (mine**2).sum() / (decontam.WEIGHT * (theirs**2).sum()) * theirs.T @ theirs
+    best = np.sort(np.linalg.eigvalsh(whole))[::-1][: basis.shape[1]]
+    assert np.isclose(np.trace(basis.T @ whole @ basis), best.sum(), rtol=1e-3)
