@@ -586,3 +586,11 @@ def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
     whole = mine.T @ mine + (mine**2).sum() / (decontam.WEIGHT * (theirs**2).sum()) * theirs.T @ theirs
     best = np.sort(np.linalg.eigvalsh(whole))[::-1][: basis.shape[1]]
     assert np.isclose(np.trace(basis.T @ whole @ basis), best.sum(), rtol=1e-3)
+
+
+def test_stage_without_leaks_takes_no_sample(spark, monkeypatch):
+    """The pipeline's stage keeps what the search over the whole finds nothing in."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    monkeypatch.setattr(decontam, "sampled", None)
+    bad = {r["doc_id"] for r in decontam.leaks(docs, bench).collect()}
+    assert bad and {r["doc_id"] for r in decontam.unleaked(docs, bench).collect()} == {r["doc_id"] for r in docs.collect()} - bad
