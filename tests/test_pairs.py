@@ -5,6 +5,7 @@ import math
 import random
 
 from skeinworks.operators import lines as L
+from skeinworks.plans import fixtures as fx
 
 
 def test_pairs_equal_brute_force(spark, monkeypatch):
@@ -26,3 +27,24 @@ def test_copies_meet_once(spark):
     assert pairs.count() == 1000 * 999 // 2
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(akeys") < plan.index("Join Inner")
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Behind the join of rows of points, where pairs are made, there is no shuffle."""
+    df = spark.range(300).selectExpr("1 AS g", "id AS k", "id / 100 AS x", "0D AS y", "0D AS z")
+    pairs = L.within_eps(df, 8.0, "k", ["g"])
+    assert pairs.count() == 300 * 299 // 2
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan[: plan.index("Join Inner")]
+
+
+def test_points_eps_apart_by_rounding(spark):
+    df = spark.createDataFrame([(1, 1, -1e-17, 0.0, 0.0), (1, 2, 8.0, 0.0, 0.0), (1, 3, float("inf"), 0.0, 0.0)], "g int, k long, x double, y double, z double")
+    assert [tuple(r) for r in L.within_eps(df, 8.0, "k", ["g"]).collect()] == [(1, 1, 2, 8.0)]
+
+
+def test_first_points(spark):
+    d = "/root/testdata/sf0.001"
+    got, want = fx.line_starts(spark, d), fx.line_points(spark, d).where("pos = 0")
+    assert got.dtypes == want.dtypes
+    assert sorted(got.collect()) == sorted(want.collect())
